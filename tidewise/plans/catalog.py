@@ -157,3 +157,122 @@ def _prior(spark, sf):
 def _avg7(spark, sf):
     return trailing_avg(fixtures.events(spark, sf)).select(
         "event_id", F.round("avg_amount_7d", 6).alias("avg_amount_7d"))
+
+
+# ---- 2.2 profiling ------------------------------------------------------------------
+from tidewise.operators import profile as P  # noqa: E402
+
+# Attribute columns of a transaction (identifiers and event time left out):
+# the table on which repeated rows are counted.
+ATTRIBUTES = ["user_signup_date", "amount", "avg_amount_7d", "prior_transactions_24h",
+              "is_international", "merchant_category", "transaction_type", "device_type", "is_fraud"]
+
+
+@query("describe_numeric")
+def _describe_numeric(spark, sf):
+    return P.describe(V.typed(spark, sf))
+
+
+@query("describe_all")
+def _describe_all(spark, sf):
+    return P.describe(V.typed(spark, sf), include="all")
+
+
+@query("target_distribution")
+def _target_distribution(spark, sf):
+    return P.value_counts(V.typed(spark, sf), R.target).orderBy(F.desc("n"))
+
+
+@query("target_share")
+def _target_share(spark, sf):
+    return P.value_shares(V.typed(spark, sf), R.target)
+
+
+@query("positive_rate_mean")
+def _positive_rate_mean(spark, sf):
+    return P.positive_rate(V.typed(spark, sf), R.target, "mean")
+
+
+@query("positive_rate_valid")
+def _positive_rate_valid(spark, sf):
+    return P.positive_rate(V.typed(spark, sf), R.target, "valid")
+
+
+@query("missing_by_column")
+def _missing_by_column(spark, sf):
+    return P.missing(V.typed(spark, sf))
+
+
+@query("missing_top5")
+def _missing_top5(spark, sf):
+    return P.missing(V.typed(spark, sf), top=5, places=1)
+
+
+@query("duplicate_rows")
+def _duplicate_rows(spark, sf):
+    return P.duplicate_count(V.typed(spark, sf).select(*ATTRIBUTES))
+
+
+@query("outliers_3sigma")
+def _outliers_3sigma(spark, sf):
+    return P.outliers(V.typed(spark, sf), target=R.target)
+
+
+@query("outliers_top3")
+def _outliers_top3(spark, sf):
+    return P.outliers(V.typed(spark, sf), min_count=10, include_target=True, top=3)
+
+
+@query("negative_values")
+def _negative_values(spark, sf):
+    return P.negatives(V.typed(spark, sf))
+
+
+@query("target_quality")
+def _target_quality(spark, sf):
+    return P.target_quality(V.typed(spark, sf), R.target)
+
+
+@query("category_cardinality")
+def _category_cardinality(spark, sf):
+    return P.cardinality(V.typed(spark, sf), key=R.key)
+
+
+@query("overview")
+def _overview(spark, sf):
+    return P.overview(V.typed(spark, sf), R.target)
+
+
+@query("column_summary")
+def _column_summary(spark, sf):
+    return P.column_summary(V.typed(spark, sf))
+
+
+@query("class_imbalance")
+def _class_imbalance(spark, sf):
+    return P.class_imbalance(V.typed(spark, sf), R.target)
+
+
+@query("quality_issues")
+def _quality_issues(spark, sf):
+    return P.issues(V.typed(spark, sf), R.target)
+
+
+@query("histograms")
+def _histograms(spark, sf):
+    return P.histograms(V.typed(spark, sf), target=R.target)
+
+
+@query("correlation_matrix")
+def _correlation_matrix(spark, sf):
+    return P.correlations(V.typed(spark, sf))
+
+
+@query("boxplot_by_target")
+def _boxplot_by_target(spark, sf):
+    return P.box_stats(V.typed(spark, sf), by=R.target)
+
+
+@query("data_summary")
+def _data_summary(spark, sf):
+    return P.data_summary(V.typed(spark, sf), R.key)

@@ -241,3 +241,193 @@ def _features():
 _sources()
 _cleaning()
 _features()
+
+
+# ---- 2.2 profiling ------------------------------------------------------------------
+TYPED_NUMERIC = ["avg_amount_7d", "prior_transactions_24h", "is_international", "is_fraud"]
+TYPED_STRINGS = ["transaction_id", "user_id", "timestamp", "user_signup_date", "amount",
+                 "merchant_category", "transaction_type", "device_type"]
+TYPED_TYPES = {"transaction_id": "string", "user_id": "string", "timestamp": "string",
+               "user_signup_date": "string", "amount": "string", "avg_amount_7d": "double",
+               "prior_transactions_24h": "bigint", "is_international": "bigint",
+               "merchant_category": "string", "transaction_type": "string",
+               "device_type": "string", "is_fraud": "double"}
+ATTRIBUTES = ["user_signup_date", "amount", "avg_amount_7d", "prior_transactions_24h",
+              "is_international", "merchant_category", "transaction_type", "device_type", "is_fraud"]
+
+
+def _top(c: str, what: str) -> str:
+    return (f"(SELECT {what} FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM typed "
+            f"WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+
+
+def _describe_sql(include_all: bool) -> str:
+    parts = []
+    for c in RAW_COLS:
+        if c in TYPED_NUMERIC:
+            extra = ("CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
+                     "CAST(NULL AS BIGINT) AS freq, ") if include_all else ""
+            parts.append(
+                f"SELECT '{c}' AS column, count({c}) AS count, {extra}round(avg({c}), 6) AS mean, "
+                f"round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+                f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+                f"round(quantile_cont({c}, 0.75), 6) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM typed")
+        elif include_all:
+            nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("mean", "std", "min", "q25", "q50", "q75", "max"))
+            parts.append(
+                f"SELECT '{c}' AS column, count({c}) AS count, count(DISTINCT {c}) AS \"unique\", "
+                f"{_top(c, 'v')} AS top, {_top(c, 'n')} AS freq, {nulls} FROM typed")
+    return " UNION ALL ".join(parts)
+
+
+def _per_col(template: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(template.format(c=c, i=RAW_COLS.index(c) if c in RAW_COLS else i)
+                              for i, c in enumerate(cols))
+
+
+def _moments_sql(cols):
+    return "SELECT " + ", ".join(
+        f"avg({c}) AS mean_{c}, stddev_samp({c}) AS std_{c}, count({c}) AS cnt_{c}" for c in cols) + " FROM typed"
+
+
+def _outlier_rows(cols):
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column, "
+        f"CAST(count_if(std_{c} > 0 AND abs({c} - mean_{c}) > 3 * std_{c}) AS BIGINT) AS n_outliers, "
+        f"max(cnt_{c}) AS cnt FROM typed, moments" for i, c in enumerate(cols))
+
+
+def _profiling():
+    SQL["describe_numeric"] = with_views(_describe_sql(False), "typed")
+    SQL["describe_all"] = with_views(_describe_sql(True), "typed")
+    SQL["target_distribution"] = with_views(
+        "SELECT is_fraud, count(*) AS n FROM typed WHERE is_fraud IS NOT NULL GROUP BY 1", "typed")
+    SQL["target_share"] = with_views(
+        "SELECT is_fraud, n, round(n * 100.0 / sum(n) OVER (), 1) AS share FROM "
+        "(SELECT is_fraud, count(*) AS n FROM typed WHERE is_fraud IS NOT NULL GROUP BY 1)", "typed")
+    SQL["positive_rate_mean"] = with_views(
+        "SELECT round(avg(is_fraud) * 100, 6) AS positive_rate FROM typed", "typed")
+    SQL["positive_rate_valid"] = with_views(
+        "SELECT round(coalesce(count_if(is_fraud = 1) * 100.0 / nullif(count(is_fraud), 0), 0.0), 6) "
+        "AS positive_rate FROM typed", "typed")
+    miss = _per_col("SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column, "
+                    "CAST(count_if({c} IS NULL) AS BIGINT) AS missing, count(*) AS n FROM typed", RAW_COLS)
+    SQL["missing_by_column"] = with_views(
+        "SELECT \"column\", missing, round(missing * 100.0 / n, 2) AS pct FROM m WHERE missing > 0",
+        "typed", extra=[("m", miss)])
+    SQL["missing_top5"] = with_views(
+        "SELECT CAST(rank AS INTEGER) AS rank, \"column\", missing, pct, more_columns FROM ("
+        "SELECT row_number() OVER (ORDER BY missing DESC, position) AS rank, \"column\", missing, "
+        "round(missing * 100.0 / n, 1) AS pct, greatest(count(*) OVER () - 5, 0) AS more_columns "
+        "FROM m WHERE missing > 0) WHERE rank <= 5", "typed", extra=[("m", miss)])
+    SQL["duplicate_rows"] = with_views(
+        "SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS k FROM typed "
+        f"GROUP BY {', '.join(ATTRIBUTES)})", "typed")
+    non_target = [c for c in TYPED_NUMERIC if c != "is_fraud"]
+    SQL["outliers_3sigma"] = with_views(
+        "SELECT \"column\", n_outliers FROM o WHERE n_outliers > 0", "typed",
+        extra=[("moments", _moments_sql(non_target)), ("o", _outlier_rows(non_target))])
+    SQL["outliers_top3"] = with_views(
+        "SELECT CAST(rank AS INTEGER) AS rank, \"column\", n_outliers FROM (SELECT row_number() OVER "
+        "(ORDER BY n_outliers DESC, position) AS rank, \"column\", n_outliers FROM o "
+        "WHERE n_outliers > 0 AND cnt >= 10) WHERE rank <= 3", "typed",
+        extra=[("moments", _moments_sql(TYPED_NUMERIC)), ("o", _outlier_rows(TYPED_NUMERIC))])
+    SQL["negative_values"] = with_views(
+        f"SELECT 'amount' AS column, CAST(count_if({num('amount')} < 0) AS BIGINT) AS negatives FROM typed UNION ALL "
+        "SELECT 'avg_amount_7d', CAST(count_if(avg_amount_7d < 0) AS BIGINT) FROM typed UNION ALL "
+        "SELECT 'prior_transactions_24h', CAST(count_if(prior_transactions_24h < 0) AS BIGINT) FROM typed", "typed")
+    SQL["target_quality"] = with_views(
+        "SELECT (SELECT count(*) FROM v) AS n_distinct, "
+        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM (SELECT x FROM v ORDER BY x LIMIT 100)) AS distinct_values, "
+        "(SELECT CAST(count_if(is_fraud IS NULL) AS BIGINT) FROM typed) AS n_missing, "
+        "(SELECT CAST(count_if(x NOT IN (0.0, 1.0)) AS BIGINT) FROM v) AS n_unexpected, "
+        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM (SELECT x FROM v ORDER BY x LIMIT 100) "
+        "WHERE x NOT IN (0.0, 1.0)) AS unexpected_values", "typed",
+        extra=[("v", "SELECT DISTINCT is_fraud AS x FROM typed WHERE is_fraud IS NOT NULL")])
+    card_cols = [c for c in TYPED_STRINGS if c != "transaction_id"]
+    card = " UNION ALL ".join(
+        f"SELECT '{c}' AS column, (SELECT count(DISTINCT {c}) FROM typed) AS n_unique, "
+        f"(SELECT string_agg(v, ', ' ORDER BY k) FROM (SELECT {c} AS v, min(transaction_id) AS k FROM typed "
+        f"WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k LIMIT 5)) AS sample" for c in card_cols)
+    SQL["category_cardinality"] = with_views(card, "typed")
+    SQL["column_summary"] = with_views(" UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column, '{TYPED_TYPES[c]}' AS type, "
+        f"count({c}) AS non_null, round((count(*) - count({c})) * 100.0 / count(*), 1) AS missing_pct, "
+        f"count(DISTINCT {c}) AS n_unique FROM typed" for i, c in enumerate(RAW_COLS)), "typed")
+    all_cols = ", ".join(RAW_COLS)
+    missing_cells = " + ".join(f"count_if({c} IS NULL)" for c in RAW_COLS)
+    SQL["overview"] = with_views(
+        "SELECT n_rows, CAST(12 AS INTEGER) AS n_cols, round(coalesce(cells * 100.0 / nullif(n_rows * 12, 0), 0.0), 1) "
+        "AS missing_cells_pct, duplicate_rows, round(rate, 1) AS positive_rate FROM "
+        f"(SELECT count(*) AS n_rows, {missing_cells} AS cells, "
+        "coalesce(count_if(is_fraud = 1) * 100.0 / nullif(count(is_fraud), 0), 0.0) AS rate FROM typed), "
+        f"(SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS k FROM typed GROUP BY {all_cols}))",
+        "typed")
+    SQL["class_imbalance"] = with_views(
+        "SELECT positive_rate, positive_rate < 10 AS imbalanced FROM (SELECT round(coalesce(count_if(is_fraud = 1) * 100.0 "
+        "/ nullif(count(is_fraud), 0), 0.0), 6) AS positive_rate FROM typed)", "typed")
+    issues = f"""
+        SELECT 0 AS ord, 'missing_values' AS kind, round(missing * 100.0 / n, 6) AS severity, "column",
+               (SELECT count(*) FROM m WHERE missing > 0) AS n
+        FROM (SELECT * FROM m WHERE missing > 0 ORDER BY missing DESC, position LIMIT 1)
+        UNION ALL
+        SELECT 1, 'duplicates', round(d * 100.0 / (SELECT count(*) FROM typed), 6), NULL, d
+        FROM (SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS d FROM (SELECT count(*) AS k FROM typed GROUP BY {all_cols})) WHERE d > 0
+        UNION ALL
+        SELECT 2, 'target_missing', round(t * 100.0 / n, 6), 'is_fraud', t
+        FROM (SELECT count_if(is_fraud IS NULL) AS t, count(*) AS n FROM typed) WHERE t > 0
+        UNION ALL
+        SELECT 3, 'target_unexpected', 90.0, 'is_fraud', u
+        FROM (SELECT count(DISTINCT is_fraud) AS u FROM typed WHERE is_fraud NOT IN (0.0, 1.0)) WHERE u > 0
+        UNION ALL
+        SELECT 4, 'class_imbalance', 80.0, 'is_fraud', NULL
+        FROM (SELECT coalesce(count_if(is_fraud = 1) * 100.0 / nullif(count(is_fraud), 0), 0.0) AS r FROM typed) WHERE r < 10
+        UNION ALL
+        SELECT 5, 'outliers', CAST(n_outliers AS DOUBLE), "column", n_outliers
+        FROM (SELECT * FROM o WHERE n_outliers > 0 AND cnt >= 10 ORDER BY n_outliers DESC, position LIMIT 1)"""
+    SQL["quality_issues"] = with_views(
+        "SELECT CAST(rank AS INTEGER) AS rank, kind, CAST(severity AS DOUBLE) AS severity, CAST(\"column\" AS VARCHAR) AS \"column\", "
+        "CAST(n AS BIGINT) AS n FROM (SELECT row_number() OVER (ORDER BY severity DESC, ord) AS rank, * FROM i) "
+        "WHERE rank <= 5", "typed",
+        extra=[("m", miss), ("moments", _moments_sql(TYPED_NUMERIC)), ("o", _outlier_rows(TYPED_NUMERIC)),
+               ("i", issues)])
+    hist_cols = non_target
+    edges = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{c}' AS column, CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE CAST(min({c}) AS DOUBLE) END AS a, "
+        f"CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE CAST(max({c}) AS DOUBLE) END AS b FROM typed"
+        for i, c in enumerate(hist_cols))
+    hits = " UNION ALL ".join(
+        f"SELECT {i} AS i, CAST(least(floor(({c} - a) * 30 / (b - a)), 29) AS INTEGER) AS bin FROM typed, "
+        f"(SELECT a, b FROM edges WHERE i = {i}) WHERE {c} IS NOT NULL" for i, c in enumerate(hist_cols))
+    SQL["histograms"] = with_views(
+        "SELECT e.column, CAST(g.bin AS INTEGER) AS bin, round(e.a + g.bin * ((e.b - e.a) / 30), 6) AS lo, "
+        "round(e.a + (g.bin + 1) * ((e.b - e.a) / 30), 6) AS hi, CAST(coalesce(h.n, 0) AS BIGINT) AS n "
+        "FROM edges e CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g "
+        "LEFT JOIN (SELECT i, bin, count(*) AS n FROM hits GROUP BY 1, 2) h ON h.i = e.i AND h.bin = g.bin "
+        "WHERE e.a IS NOT NULL", "typed", extra=[("edges", edges), ("hits", hits)])
+
+    def corr(a, b):
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+        den = f"(stddev_pop({a}) FILTER (WHERE {both}) * stddev_pop({b}) FILTER (WHERE {both}))"
+        return (f"round(CASE WHEN {den} = 0 THEN NULL ELSE covar_pop({a}, {b}) FILTER (WHERE {both}) / {den} END, 6)")
+    SQL["correlation_matrix"] = with_views(" UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {corr(a, b)} AS r FROM typed"
+        for a in TYPED_NUMERIC for b in TYPED_NUMERIC), "typed")
+    box_cols = non_target
+    quart = " UNION ALL ".join(
+        f"SELECT is_fraud AS g, '{c}' AS column, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, "
+        f"quantile_cont({c}, 0.75) AS q3 FROM typed WHERE is_fraud IS NOT NULL GROUP BY is_fraud" for c in box_cols)
+    whisk = " UNION ALL ".join(
+        f"SELECT q.g, q.column, min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END) AS whisker_lo, "
+        f"max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END) AS whisker_hi, "
+        f"CAST(count_if(x < q.q1 - 1.5 * (q.q3 - q.q1) OR x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_fliers "
+        f"FROM (SELECT is_fraud AS g, CAST({c} AS DOUBLE) AS x FROM typed) t JOIN quart q ON q.g = t.g AND q.column = '{c}' "
+        f"GROUP BY q.g, q.column" for c in box_cols)
+    SQL["boxplot_by_target"] = with_views(
+        "SELECT q.g AS is_fraud, q.column, round(q.q1, 6) AS q1, round(q.med, 6) AS median, round(q.q3, 6) AS q3, "
+        "CAST(w.whisker_lo AS DOUBLE) AS whisker_lo, CAST(w.whisker_hi AS DOUBLE) AS whisker_hi, w.n_fliers "
+        "FROM quart q JOIN whisk w ON q.g = w.g AND q.column = w.column", "typed",
+        extra=[("quart", quart), ("whisk", whisk)])
+
+
+_profiling()
