@@ -276,3 +276,129 @@ def _boxplot_by_target(spark, sf):
 @query("data_summary")
 def _data_summary(spark, sf):
     return P.data_summary(V.typed(spark, sf), R.key)
+
+
+# ---- 2.6 evaluation ---------------------------------------------------------------------
+from tidewise.operators import evaluate as E  # noqa: E402
+
+for _metric in ("accuracy", "precision", "recall", "f1"):
+    def _metric_query(spark, sf, _m=_metric):
+        return E.evaluate(V.scored(spark, sf)).select(_m)
+    QUERIES[f"metric_{_metric}"] = _metric_query
+
+
+@query("confusion_matrix")
+def _confusion_matrix(spark, sf):
+    return E.confusion(V.scored(spark, sf))
+
+
+@query("classification_report")
+def _classification_report(spark, sf):
+    return E.class_report(V.scored(spark, sf))
+
+
+@query("evaluate_grouped")
+def _evaluate_grouped(spark, sf):
+    return E.evaluate(V.scored(spark, sf), by=["transaction_type"])
+
+
+# ---- 2.7 recommendations -------------------------------------------------------------------
+from tidewise.operators import recommend as RC  # noqa: E402
+
+
+def _validated(spark, sf):
+    v = RC.validate(V.responses(spark, sf))
+    return v.withColumn("features_to_add", F.array_join("features_to_add", ","))
+
+
+@query("parse_responses")
+def _parse_responses(spark, sf):
+    return RC.parse_responses(V.responses(spark, sf)).select("response_id", "body", "ok")
+
+
+@query("valid_features")
+def _valid_features(spark, sf):
+    return _validated(spark, sf).select("response_id", "features_to_add")
+
+
+@query("valid_model")
+def _valid_model(spark, sf):
+    return _validated(spark, sf).select("response_id", "model_name")
+
+
+@query("clamp_hyperparameters")
+def _clamp(spark, sf):
+    return _validated(spark, sf).select("response_id", "model_name", *RC.PARAMS)
+
+
+@query("valid_stop")
+def _valid_stop(spark, sf):
+    return _validated(spark, sf).select("response_id", "should_stop")
+
+
+@query("validate_recommendations")
+def _validate_recommendations(spark, sf):
+    return _validated(spark, sf)
+
+
+# ---- 2.8 history, decision, diagnostics -----------------------------------------------------
+from tidewise.operators import history as H  # noqa: E402
+
+
+@query("history_append")
+def _history_append(spark, sf):
+    h = V.history(spark, sf)
+    latest = h.filter("iteration = 5")
+    return H.append_round(h.filter("iteration < 5"), latest.select(*reversed(latest.columns)))
+
+
+@query("history_features")
+def _history_features(spark, sf):
+    return H.features_used(V.history(spark, sf)).select(
+        "run_id", "iteration", F.array_join("features_used", ",").alias("features_used"))
+
+
+@query("history_unused_features")
+def _history_unused(spark, sf):
+    return H.features_available(V.history(spark, sf)).select(
+        "run_id", "iteration", F.array_join("features_unused", ",").alias("features_unused"))
+
+
+@query("history_model_config")
+def _history_model_config(spark, sf):
+    h = H.model_config(V.history(spark, sf))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("config_params"),
+                                                 lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ")
+    return h.select("run_id", "iteration", "config_model", text.alias("config_params"))
+
+
+@query("decide")
+def _decide(spark, sf):
+    return H.decide(V.history(spark, sf))
+
+
+@query("best_round")
+def _best_round(spark, sf):
+    return H.best_round(V.history(spark, sf)).select("run_id", "iteration", "model_name", "f1",
+                                                     "accuracy", "prec", "recall")
+
+
+@query("round_metrics")
+def _round_metrics(spark, sf):
+    return H.round_metrics(V.history(spark, sf))
+
+
+@query("f1_change_total")
+def _f1_change_total(spark, sf):
+    return H.f1_change(V.history(spark, sf))
+
+
+for _code in H.CODES:
+    def _diag_query(spark, sf, _c=_code):
+        return H.diagnose(V.history(spark, sf), [_c])
+    QUERIES[f"diag_{_code}"] = _diag_query
+
+
+@query("diagnose")
+def _diagnose(spark, sf):
+    return H.diagnose(V.history(spark, sf))

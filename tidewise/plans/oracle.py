@@ -431,3 +431,203 @@ def _profiling():
 
 
 _profiling()
+
+
+# ---- 2.6 evaluation ---------------------------------------------------------------------
+SCORED = ("SELECT transaction_id, transaction_type, device_type, is_fraud AS label, "
+          "CASE WHEN amount > 100 THEN 1.0 ELSE 0.0 END AS prediction FROM clean")
+VIEWS["scored"] = SCORED
+ORDER.append("scored")
+NEEDS["scored"] = ["clean"]
+
+
+def _metric_exprs():
+    tp = "count_if(label = 1 AND prediction = 1)"
+    fp = "count_if(label <> 1 AND prediction = 1)"
+    fn = "count_if(label = 1 AND prediction <> 1)"
+    r = lambda a, b: f"round(coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0), 4)"
+    return {"accuracy": r("count_if(label = prediction)", "count(*)"),
+            "precision": r(tp, f"{tp} + {fp}"), "recall": r(tp, f"{tp} + {fn}"),
+            "f1": r(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")}
+
+
+def _evaluation():
+    m = _metric_exprs()
+    for k, e in m.items():
+        SQL[f"metric_{k}"] = with_views(f"SELECT {e} AS {k} FROM scored", "scored")
+    SQL["evaluate_grouped"] = with_views(
+        "SELECT transaction_type, " + ", ".join(f"{e} AS {k}" for k, e in m.items())
+        + " FROM scored GROUP BY transaction_type", "scored")
+    cm = ("SELECT l.c AS label, p.c AS prediction, coalesce(n, 0) AS n FROM classes l CROSS JOIN classes p "
+          "LEFT JOIN (SELECT label, prediction, count(*) AS n FROM scored GROUP BY 1, 2) k "
+          "ON k.label = l.c AND k.prediction = p.c")
+    classes = ("SELECT DISTINCT c FROM (SELECT label AS c FROM scored UNION ALL SELECT prediction FROM scored) "
+               "WHERE c IS NOT NULL")
+    SQL["confusion_matrix"] = with_views(cm, "scored", extra=[("classes", classes)])
+    per = ("SELECT c, tp, support, pred, coalesce(CAST(tp AS DOUBLE) / nullif(pred, 0), 0.0) AS p, "
+           "coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS r, "
+           "coalesce(CAST(2 * tp AS DOUBLE) / nullif(pred + support, 0), 0.0) AS f FROM "
+           "(SELECT label AS c, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp, sum(n) AS support FROM cm GROUP BY 1) a "
+           "JOIN (SELECT prediction AS c2, sum(n) AS pred FROM cm GROUP BY 1) b ON a.c = b.c2")
+    report = (
+        "SELECT CAST(c AS VARCHAR) AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, "
+        "CAST(support AS BIGINT) AS support FROM per UNION ALL "
+        "SELECT 'accuracy', NULL, NULL, round(coalesce(CAST(sum(tp) AS DOUBLE) / nullif(sum(support), 0), 0.0), 4), "
+        "CAST(sum(support) AS BIGINT) FROM per UNION ALL "
+        "SELECT 'macro avg', round(avg(p), 4), round(avg(r), 4), round(avg(f), 4), CAST(sum(support) AS BIGINT) FROM per UNION ALL "
+        "SELECT 'weighted avg', round(sum(p * support) / sum(support), 4), round(sum(r * support) / sum(support), 4), "
+        "round(sum(f * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM per")
+    SQL["classification_report"] = with_views(report, "scored", extra=[("classes", classes), ("cm", cm), ("per", per)])
+
+
+_evaluation()
+
+
+# ---- 2.7 recommendations -------------------------------------------------------------------
+VALID_FEATURES_SQL = ("['account_age_days', 'hour_of_day', 'day_of_week', 'amount_to_avg_ratio', "
+                      "'is_high_amount', 'log_amount', 'is_new_account', 'is_night_txn', 'amount_deviation', "
+                      "'high_velocity', 'amount_squared', 'amount_x_velocity', 'is_weekend', 'txn_per_avg_ratio']")
+DEFAULT_FEATURES_SQL = ("'account_age_days,hour_of_day,day_of_week,amount_to_avg_ratio,is_high_amount,"
+                        "log_amount,is_new_account'")
+
+
+def _recommendations():
+    s = "regexp_replace(response_text, '^\\s+|\\s+$', '', 'g')"
+    unf = f"regexp_replace(regexp_replace({s}, '(?m)^[^\\S\\n]*```[^\\n]*(\\n|$)', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+    parsed = (f"SELECT response_id, CASE WHEN starts_with({s}, '```') THEN {unf} ELSE {s} END AS body FROM responses")
+    p = ("SELECT response_id, body, CASE WHEN json_valid(body) THEN coalesce(json_type(body) = 'OBJECT', false) ELSE false END AS ok, "
+         "CASE WHEN json_valid(body) THEN body END AS j FROM parsed")
+    num = "('BIGINT', 'UBIGINT', 'DOUBLE')"
+    feats = (f"CASE WHEN ok AND json_type(j, '$.features_to_add') = 'ARRAY' AND len(kf) > 0 "
+             f"THEN array_to_string(kf, ',') ELSE {DEFAULT_FEATURES_SQL} END")
+    kf = (f"list_filter(list_transform(json_extract(j, '$.features_to_add[*]'), lambda e: CASE WHEN json_type(e) = 'VARCHAR' "
+          f"THEN json_extract_string(e, '$') END), lambda x: list_contains({VALID_FEATURES_SQL}, x))")
+    name = ("CASE WHEN json_type(j, '$.model_config') = 'OBJECT' AND json_type(j, '$.model_config.model_name') = 'VARCHAR' "
+            "THEN json_extract_string(j, '$.model_config.model_name') END")
+    model = (f"CASE WHEN ok AND coalesce({name} IN ('LogisticRegression', 'RandomForestClassifier', "
+             f"'GradientBoostingClassifier', 'SVC'), false) THEN {name} ELSE 'RandomForestClassifier' END")
+    use_hp = (f"coalesce(ok AND {name} IN ('LogisticRegression', 'RandomForestClassifier', 'GradientBoostingClassifier', 'SVC') "
+              "AND (json_type(j, '$.model_config.hyperparameters') = 'OBJECT' OR json_type(j, '$.model_config.hyperparameters') IS NULL), false)")
+    v = lambda k: f"json_extract(j, '$.model_config.hyperparameters.{k}')"
+    isnum = lambda k: f"json_type({v(k)}) IN {num}"
+    x = lambda k: f"CAST(json_extract_string(j, '$.model_config.hyperparameters.{k}') AS DOUBLE)"
+    clamp = lambda k, lo, hi: f"greatest({lo}, least({hi}, {x(k)}))"
+    c_expr = (f"CASE WHEN use_hp AND model = 'LogisticRegression' THEN CASE WHEN {isnum('C')} THEN {clamp('C', 0.01, 10.0)} END "
+              f"WHEN use_hp AND model = 'SVC' THEN CASE WHEN {isnum('C')} THEN {clamp('C', 0.1, 10.0)} END END")
+    ne = (f"CASE WHEN NOT use_hp THEN 100 WHEN model IN ('RandomForestClassifier', 'GradientBoostingClassifier') "
+          f"THEN CASE WHEN {isnum('n_estimators')} THEN CAST(trunc({clamp('n_estimators', 50, 300)}) AS BIGINT) END END")
+    md = (f"CASE WHEN use_hp AND model = 'RandomForestClassifier' THEN CASE WHEN {isnum('max_depth')} THEN CAST(trunc({clamp('max_depth', 5, 30)}) AS BIGINT) END "
+          f"WHEN use_hp AND model = 'GradientBoostingClassifier' THEN CASE WHEN {isnum('max_depth')} THEN CAST(trunc({clamp('max_depth', 3, 10)}) AS BIGINT) END END")
+    lr = (f"CASE WHEN use_hp AND model = 'GradientBoostingClassifier' THEN CASE WHEN {isnum('learning_rate')} "
+          f"THEN {clamp('learning_rate', 0.01, 0.3)} END END")
+    kern = ("CASE WHEN use_hp AND model = 'SVC' AND json_type(" + v('kernel') + ") = 'VARCHAR' AND "
+            "json_extract_string(j, '$.model_config.hyperparameters.kernel') IN ('rbf', 'linear') "
+            "THEN json_extract_string(j, '$.model_config.hyperparameters.kernel') END")
+    stop = "coalesce(ok AND json_type(j, '$.should_stop') = 'BOOLEAN' AND json_extract_string(j, '$.should_stop') = 'true', false)"
+    reason = ("CASE WHEN NOT ok THEN 'Fallback defaults applied.' WHEN json_type(j, '$.reasoning') = 'VARCHAR' "
+              "THEN json_extract_string(j, '$.reasoning') ELSE coalesce(CAST(json_extract(j, '$.reasoning') AS VARCHAR), '') END")
+    base = f"SELECT response_id, ok, j, {feats} AS features_to_add, {model} AS model, {use_hp} AS use_hp FROM (SELECT *, {kf} AS kf FROM p)"
+    full = (f"SELECT response_id, ok, features_to_add, model AS model_name, {c_expr} AS C, {ne} AS n_estimators, "
+            f"{md} AS max_depth, {lr} AS learning_rate, {kern} AS kernel, {stop} AS should_stop, {reason} AS reasoning FROM base")
+    ex = [("parsed", parsed), ("p", p), ("base", base), ("v", full)]
+    SQL["parse_responses"] = with_views("SELECT response_id, body, ok FROM p", "responses", extra=ex[:2])
+    SQL["valid_features"] = with_views("SELECT response_id, features_to_add FROM v", "responses", extra=ex)
+    SQL["valid_model"] = with_views("SELECT response_id, model_name FROM v", "responses", extra=ex)
+    SQL["clamp_hyperparameters"] = with_views(
+        "SELECT response_id, model_name, C, n_estimators, max_depth, learning_rate, kernel FROM v", "responses", extra=ex)
+    SQL["valid_stop"] = with_views("SELECT response_id, should_stop FROM v", "responses", extra=ex)
+    SQL["validate_recommendations"] = with_views("SELECT * FROM v", "responses", extra=ex)
+
+
+_recommendations()
+
+
+# ---- 2.8 history ---------------------------------------------------------------------------
+MODEL_LABEL = "replace(split_part(model_report, chr(10), 1), 'Model: ', '')"
+HIST_COLS = ("run_id, CAST(iteration AS INTEGER) AS iteration, model_name, model_report, feature_report, "
+             "tp, fp, fn, tn, accuracy, prec, recall, f1, should_stop")
+
+
+def _diag_sql(code: str) -> str:
+    """SQL for one diagnostic: (run_id, iteration, level, code, model, value)."""
+    sel = lambda lvl, val, it="CAST(iteration AS INTEGER)", mdl=MODEL_LABEL: (
+        f"SELECT run_id, {it} AS iteration, '{lvl}' AS level, '{code}' AS code, {mdl} AS model, "
+        f"round(CAST({val} AS DOUBLE), 6) AS value")
+    rec, prec, acc, f1 = "coalesce(recall, 0.0)", "coalesce(prec, 0.0)", "coalesce(accuracy, 0.0)", "coalesce(f1, 0.0)"
+    if code == "zero_recall":
+        return sel("warning", rec) + f" FROM history WHERE {rec} = 0"
+    if code == "low_recall":
+        return sel("warning", rec) + f" FROM history WHERE {rec} > 0 AND {rec} < 0.3"
+    if code == "zero_precision":
+        return sel("warning", prec) + f" FROM history WHERE {prec} = 0 AND {rec} > 0"
+    if code == "accuracy_paradox":
+        return sel("warning", acc) + f" FROM history WHERE {acc} > 0.85 AND {f1} < 0.15"
+    prev = ("SELECT h.*, coalesce(p.f1, 0.0) AS prev_f1 FROM history h JOIN history p "
+            "ON p.run_id = h.run_id AND p.iteration = h.iteration - 1")
+    if code == "f1_regression":
+        return sel("warning", "prev_f1 - coalesce(f1, 0.0)") + f" FROM ({prev}) WHERE coalesce(f1, 0.0) < prev_f1 AND prev_f1 > 0"
+    if code == "f1_gain":
+        return sel("positive", "coalesce(f1, 0.0) - prev_f1") + f" FROM ({prev}) WHERE coalesce(f1, 0.0) > prev_f1"
+    flags = ("SELECT run_id, count(*) AS n_rounds, count(DISTINCT (length(coalesce(feature_report, '')) - "
+             "length(replace(coalesce(feature_report, ''), 'Created:', ''))) // 8) AS n_sizes, "
+             "bool_and(contains(lower(coalesce(feature_report, '')), 'default feature set')) AS default_only, "
+             "bool_or(contains(coalesce(feature_report, ''), 'LLM-recommended')) AS recommended "
+             "FROM history GROUP BY run_id HAVING count(*) > 1")
+    nil = ("CAST(NULL AS INTEGER)", "CAST(NULL AS VARCHAR)")
+    if code == "feature_set_changed":
+        return sel("insight", "n_sizes", *nil) + f" FROM ({flags}) WHERE n_sizes > 1"
+    if code == "default_only":
+        return sel("warning", "NULL", *nil) + f" FROM ({flags}) WHERE default_only"
+    if code == "recommendation_used":
+        return sel("positive", "NULL", *nil) + f" FROM ({flags}) WHERE recommended AND NOT default_only"
+    best = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(f1, 0.0) DESC, iteration) AS rn "
+            "FROM history) WHERE rn = 1 AND coalesce(f1, 0.0) > 0")
+    return sel("insight", "coalesce(f1, 0.0)") + f" FROM ({best})"
+
+
+DIAG_CODES = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox", "f1_regression",
+              "f1_gain", "feature_set_changed", "default_only", "recommendation_used", "best_model"]
+
+
+def _history():
+    SQL["history_append"] = with_views(f"SELECT {HIST_COLS} FROM history", "history")
+    created = "regexp_extract_all(feature_report, '(?m)^\\s*Created:\\s*([^=\\s]+)', 1)"
+    used = f"list_filter({created}, lambda x: list_contains({VALID_FEATURES_SQL}, x))"
+    SQL["history_features"] = with_views(
+        f"SELECT run_id, CAST(iteration AS INTEGER) AS iteration, array_to_string({used}, ',') AS features_used FROM history",
+        "history")
+    SQL["history_unused_features"] = with_views(
+        f"SELECT run_id, CAST(iteration AS INTEGER) AS iteration, array_to_string(list_filter({VALID_FEATURES_SQL}, "
+        f"lambda x: NOT list_contains({used}, x)), ',') AS features_unused FROM history", "history")
+    first = "split_part(model_report, chr(10), 1)"
+    pat = "'^Model:\\s*(\\w+)\\((.*?)\\)'"
+    inner = f"regexp_extract({first}, {pat}, 2)"
+    pairs = (f"list_transform(list_filter(list_transform(string_split({inner}, ','), lambda x: trim(x)), lambda x: contains(x, '=')), "
+             f"lambda x: trim(split_part(x, '=', 1)) || '=' || trim(substr(x, strpos(x, '=') + 1)))")
+    SQL["history_model_config"] = with_views(
+        f"SELECT run_id, CAST(iteration AS INTEGER) AS iteration, CASE WHEN regexp_matches({first}, {pat}) "
+        f"THEN regexp_extract({first}, {pat}, 1) ELSE 'LogisticRegression' END AS config_model, "
+        f"CASE WHEN regexp_matches({first}, {pat}) THEN array_to_string(list_sort({pairs}), ', ') ELSE 'C=1.0' END "
+        f"AS config_params FROM history", "history")
+    reason = ("CASE WHEN iteration >= 2 THEN 'max_iterations' WHEN coalesce(f1, 0.0) >= 0.85 THEN 'f1_threshold' "
+              "WHEN coalesce(should_stop, false) AND iteration >= 1 THEN 'advisor_stop' ELSE 'continue' END")
+    SQL["decide"] = with_views(
+        f"SELECT run_id, CAST(iteration AS INTEGER) AS iteration, {reason} = 'continue' AS should_continue, "
+        f"CAST(iteration + 1 AS INTEGER) AS next_iteration, {reason} AS reason FROM history", "history")
+    SQL["best_round"] = with_views(
+        "SELECT run_id, CAST(iteration AS INTEGER) AS iteration, model_name, f1, accuracy, prec, recall FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(f1, 0.0) DESC, iteration) AS rn FROM history) "
+        "WHERE rn = 1", "history")
+    SQL["round_metrics"] = with_views(
+        f"SELECT run_id, CAST(iteration AS INTEGER) AS iteration, {MODEL_LABEL} AS model, m.metric, "
+        "CASE m.metric WHEN 'accuracy' THEN accuracy WHEN 'precision' THEN prec WHEN 'recall' THEN recall ELSE f1 END AS value "
+        "FROM history CROSS JOIN (VALUES ('accuracy'), ('precision'), ('recall'), ('f1')) m(metric)", "history")
+    SQL["f1_change_total"] = with_views(
+        "SELECT run_id, count(*) AS n_rounds, round(arg_max(coalesce(f1, 0.0), iteration) - arg_min(coalesce(f1, 0.0), iteration), 6) "
+        "AS f1_change FROM history GROUP BY run_id HAVING count(*) > 1", "history")
+    for code in DIAG_CODES:
+        SQL[f"diag_{code}"] = with_views(_diag_sql(code), "history")
+    SQL["diagnose"] = with_views(" UNION ALL ".join(_diag_sql(c) for c in DIAG_CODES), "history")
+
+
+_history()

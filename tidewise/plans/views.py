@@ -45,3 +45,13 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.responses(spark, sf)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions by a fixed rule over the clean table (label = target),
+    so every evaluation step has an SQL oracle."""
+    from pyspark.sql import functions as F
+    c = clean(spark, sf)
+    return c.select("transaction_id", "transaction_type", "device_type",
+                    F.col(ROLES.target).alias("label"),
+                    F.when(F.col("amount") > 100, 1.0).otherwise(0.0).alias("prediction"))
