@@ -150,7 +150,7 @@ def _narrow(df, vals, preds, wide, grid_p) -> None:
             t.est = n_in
 
 
-def _resolve(df, vals, preds, narrow) -> None:
+def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
     """One scan: each row goes to the targets whose bracket holds it
     (value) or lies above it (NULL marker = counted below)."""
     hits = []
@@ -159,7 +159,7 @@ def _resolve(df, vals, preds, narrow) -> None:
         hits.append(F.when(p & _in(v, t.lo, t.hi), F.struct(F.lit(j).alias("t"), v.alias("v"))))
         if t.lo is not None:
             hits.append(F.when(p & _below(v, t.lo),
-                               F.struct(F.lit(j).alias("t"), F.lit(None).cast("double").alias("v"))))
+                               F.struct(F.lit(j).alias("t"), F.lit(None).cast(dtype).alias("v"))))
     exploded = df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
     counts = (exploded.groupBy(F.col("h.t").alias("t"), F.col("h.v").alias("v"))
               .agg(F.count(F.lit(1)).alias("c")).collect())
@@ -185,6 +185,41 @@ def _resolve(df, vals, preds, narrow) -> None:
         t.done = True
 
 
+def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
+                     ranks, dtype: str = "double") -> list[list[float | None]]:
+    """The k-th smallest value (0-based) of each series for the ranks that
+    ``ranks(i, n)`` returns once the series' count ``n`` is known. Values
+    keep ``dtype`` throughout (use ``bigint`` for exact 64-bit keys)."""
+    vals = [c.cast(dtype) for c, _ in series]
+    preds = [p if p is not None else F.lit(True) for _, p in series]
+    grid_p = [j / GRID for j in range(GRID + 1)]
+    aggs = []
+    for i, (v, p) in enumerate(zip(vals, preds)):
+        aggs.append(F.count(F.when(p, v)).alias(f"n{i}"))
+        aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"g{i}"))
+    row = df.agg(*aggs).first()
+    targets, plan = [], []
+    for i in range(len(series)):
+        n, ids = row[f"n{i}"], []
+        for k in ranks(i, n):
+            if not 0 <= k < n:
+                ids.append(None)
+                continue
+            t = _Target(series=i, k=k)
+            _bracket(t, row[f"g{i}"], n, 0, n)
+            targets.append(t)
+            ids.append(len(targets) - 1)
+        plan.append(ids)
+    while any(not t.done for t in targets):
+        wide = [t for t in targets if not t.done and t.est > LIMIT]
+        if wide:
+            _narrow(df, vals, preds, wide, grid_p)
+        narrow = [t for t in targets if not t.done and t.est <= LIMIT]
+        if narrow:
+            _resolve(df, vals, preds, narrow, dtype)
+    return [[targets[j].value if j is not None else None for j in ids] for ids in plan]
+
+
 def quantile(df: DataFrame, col: str | Column, q: float, where: Column | None = None) -> float | None:
     c = F.col(col) if isinstance(col, str) else col
     return quantiles(df, [(c, where)], [[q]])[0][0]

@@ -217,9 +217,10 @@ class OneHot:
         return OneHotModel(one_hot_fit(df, self.cols))
 
 
-def drop_roles(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+def drop_roles(df: DataFrame, roles: Roles | None = None, keep: list[str] | None = None) -> DataFrame:
     roles = roles or Roles()
-    return df.drop(*[c for c in roles.drop_cols if c in df.columns])
+    keep = set(keep or [])
+    return df.drop(*[c for c in roles.drop_cols if c in df.columns and c not in keep])
 
 
 @dataclass
@@ -228,8 +229,8 @@ class FeatureTableModel:
     onehot: OneHotModel
     roles: Roles
 
-    def transform(self, clean: DataFrame) -> DataFrame:
-        return drop_roles(self.onehot.transform(self.features.transform(clean)), self.roles)
+    def transform(self, clean: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        return drop_roles(self.onehot.transform(self.features.transform(clean)), self.roles, keep)
 
 
 def fit_feature_table(clean: DataFrame, names: list[str] | None = None,
@@ -241,6 +242,7 @@ def fit_feature_table(clean: DataFrame, names: list[str] | None = None,
 
 
 def build_features(clean: DataFrame, names: list[str] | None = None,
-                   roles: Roles | None = None) -> DataFrame:
-    """clean -> selected features -> one-hot -> drop identifiers: the modelling table."""
-    return fit_feature_table(clean, names, roles).transform(clean)
+                   roles: Roles | None = None, keep: list[str] | None = None) -> DataFrame:
+    """clean -> selected features -> one-hot -> drop identifiers: the
+    modelling table (``keep`` retains e.g. the row key)."""
+    return fit_feature_table(clean, names, roles).transform(clean, keep)

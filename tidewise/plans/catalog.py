@@ -402,3 +402,89 @@ for _code in H.CODES:
 @query("diagnose")
 def _diagnose(spark, sf):
     return H.diagnose(V.history(spark, sf))
+
+
+# ---- 2.5 split, scaling, training, scoring ------------------------------------------------------
+from tidewise.operators import modeling as M  # noqa: E402
+
+# Fixed parameters of the linear_score query (a hand-set linear rule).
+SCORE_COEF = {"amount": 0.02, "amount_to_avg_ratio": 0.5, "is_high_amount": 1.0, "hour_of_day": -0.01}
+SCORE_INTERCEPT = -2.5
+
+
+def _fk(spark, sf):
+    return V.features(spark, sf, keep_key=True)
+
+
+def _feature_cols(df):
+    return [c for c in df.columns if c not in (R.key, R.target)]
+
+
+@query("fill_zero")
+def _fill_zero(spark, sf):
+    df = _fk(spark, sf)
+    return M.fill_zero(df, _feature_cols(df))
+
+
+def _split(spark, sf):
+    df = _fk(spark, sf)
+    return M.stratified_split(M.fill_zero(df, _feature_cols(df)), R.target, R.key)
+
+
+@query("stratified_split")
+def _stratified_split(spark, sf):
+    return _split(spark, sf).select(R.key, R.target, "split")
+
+
+@query("balanced_weights")
+def _balanced_weights(spark, sf):
+    tr = _split(spark, sf).filter("split = 'train'")
+    return M.balanced_weights(tr, R.target).select(R.key, R.target, F.round("weight", 6).alias("weight"))
+
+
+@query("standard_scale")
+def _standard_scale(spark, sf):
+    sp = _split(spark, sf)
+    feats = _feature_cols(sp.drop("split"))
+    scaled = M.Scaler(feats).fit(sp.filter("split = 'train'")).transform(sp)
+    return scaled.select(R.key, "split", *[F.round(c, 6).alias(c) for c in feats])
+
+
+@query("assemble")
+def _assemble(spark, sf):
+    df = _fk(spark, sf)
+    feats = _feature_cols(df)
+    return M.to_array(M.assemble(M.fill_zero(df, feats), feats)).select(R.key, "features")
+
+
+def _train_query(config):
+    def run(spark, sf):
+        return M.train(_fk(spark, sf), R.target, R.key, config).test_predictions()
+    return run
+
+
+QUERIES["train_logistic"] = _train_query({"model_name": "LogisticRegression", "hyperparameters": {"C": 1.0}})
+QUERIES["train_random_forest"] = _train_query({"model_name": "RandomForestClassifier",
+                                               "hyperparameters": {"n_estimators": 100}})
+QUERIES["train_gbt"] = _train_query({"model_name": "GradientBoostingClassifier", "hyperparameters": {}})
+QUERIES["train_svc_linear"] = _train_query({"model_name": "SVC", "hyperparameters": {"C": 1.0, "kernel": "linear"}})
+QUERIES["train_svc_rbf"] = _train_query({"model_name": "SVC", "hyperparameters": {"C": 1.0}})
+QUERIES["train"] = _train_query(None)
+
+
+@query("predict")
+def _predict(spark, sf):
+    df = _fk(spark, sf)
+    return M.train(df, R.target, R.key).predict(df)
+
+
+@query("linear_score")
+def _linear_score(spark, sf):
+    out = E.linear_score(V.features(spark, sf, keep_key=True), SCORE_COEF, SCORE_INTERCEPT)
+    return out.select(R.key, F.round("score", 6).alias("score"), "prediction")
+
+
+@query("feature_importance")
+def _feature_importance(spark, sf):
+    return M.train(_fk(spark, sf), R.target, R.key,
+                   {"model_name": "RandomForestClassifier", "hyperparameters": {"n_estimators": 50}}).importance()

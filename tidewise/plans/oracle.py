@@ -631,3 +631,41 @@ def _history():
 
 
 _history()
+
+
+# ---- 2.5 split, scaling, scoring ---------------------------------------------------------------
+FEATS_K = FEATURE_TABLE.replace("SELECT ", "SELECT transaction_id, ", 1)
+VIEWS["feats_k"] = FEATS_K
+ORDER.append("feats_k")
+NEEDS["feats_k"] = ["clean"]
+FEATURE_COLS = (NUMERIC + DEFAULT_FEATURES
+                + [f"{c}_{v}" for c, vals in CATEGORIES.items() for v in vals[1:]])
+
+
+def _modeling():
+    filled = "SELECT transaction_id, is_fraud, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in FEATURE_COLS) + " FROM feats_k"
+    split = ("SELECT *, CASE WHEN row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || transaction_id)) "
+             "<= ceil(0.2 * count(*) OVER (PARTITION BY is_fraud)) THEN 'test' ELSE 'train' END AS split FROM zfilled")
+    ex = [("zfilled", filled), ("split", split)]
+    SQL["fill_zero"] = with_views("SELECT * FROM zfilled", "feats_k", extra=ex[:1])
+    SQL["stratified_split"] = with_views("SELECT transaction_id, is_fraud, split FROM split", "feats_k", extra=ex)
+    SQL["balanced_weights"] = with_views(
+        "SELECT transaction_id, is_fraud, round(count(*) OVER () / ((SELECT count(DISTINCT is_fraud) FROM split WHERE split = 'train') "
+        "* count(*) OVER (PARTITION BY is_fraud)), 6) AS weight FROM split WHERE split = 'train'", "feats_k", extra=ex)
+    stats = "SELECT " + ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in FEATURE_COLS
+    ) + " FROM split WHERE split = 'train'"
+    SQL["standard_scale"] = with_views(
+        "SELECT transaction_id, split, " + ", ".join(
+            f"round((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END, 6) AS {c}"
+            for c in FEATURE_COLS) + " FROM split, stats", "feats_k", extra=ex + [("stats", stats)])
+    coef = {"amount": 0.02, "amount_to_avg_ratio": 0.5, "is_high_amount": 1.0, "hour_of_day": -0.01}
+    score = "CAST(-2.5 AS DOUBLE)"
+    for c, w in coef.items():
+        score = f"({score} + coalesce(CAST({c} AS DOUBLE), 0.0) * {w})"
+    SQL["linear_score"] = with_views(
+        f"SELECT transaction_id, round({score}, 6) AS score, CASE WHEN {score} > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS prediction "
+        "FROM feats_k", "feats_k")
+
+
+_modeling()

@@ -35,8 +35,9 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return Cleaner(ROLES).fit(r).transform(r)
 
 
-def features(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
-    return build_features(clean(spark, sf), names, ROLES)
+def features(spark: SparkSession, sf: str, names: list[str] | None = None,
+             keep_key: bool = False) -> DataFrame:
+    return build_features(clean(spark, sf), names, ROLES, [ROLES.key] if keep_key else None)
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
