@@ -201,6 +201,10 @@ def outliers(df: DataFrame, cols: list[str] | None = None, k: float = 3.0, min_c
     columns with none are left out. Pass 1 is a one-row aggregate that is
     broadcast to pass 2 (no shuffle of the data)."""
     cols = cols or numeric_columns(df, None if include_target else target)
+    if not cols:
+        schema = ("rank int, column string, n_outliers bigint" if top is not None
+                  else "column string, n_outliers bigint")
+        return df.sparkSession.createDataFrame([], schema)
     stats = _moments(df, cols)
     joined = df.select(*[_c(c) for c in cols]).crossJoin(F.broadcast(stats))
     aggs = []

@@ -488,3 +488,17 @@ def _linear_score(spark, sf):
 def _feature_importance(spark, sf):
     return M.train(_fk(spark, sf), R.target, R.key,
                    {"model_name": "RandomForestClassifier", "hyperparameters": {"n_estimators": 50}}).importance()
+
+
+# ---- 2.9 the improvement loop --------------------------------------------------------------------
+from tidewise.plans import loop as LP  # noqa: E402
+
+
+@query("profile_and_clean")
+def _profile_and_clean(spark, sf):
+    return LP.analyse(V.raw(spark, sf), R).clean
+
+
+@query("improve_loop")
+def _improve_loop(spark, sf):
+    return LP.improve(V.clean(spark, sf), R)
