@@ -59,10 +59,14 @@ def _below(c: Column, lo) -> Column:
 
 
 def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
-              probs: list[list[float]], limit: int = LIMIT) -> list[list[float | None]]:
+              probs: list[list[float]], limit: int = LIMIT,
+              extra: list[Column] | None = None, extra_out: dict | None = None) -> list[list[float | None]]:
     """``series[i] = (value expression, predicate or None)``; returns, for
     each series, the exact interpolated quantile at each of ``probs[i]``
-    (NULL when the series is empty)."""
+    (NULL when the series is empty). ``extra`` aggregates ride along in the
+    first pass; their values are put into ``extra_out``."""
+    if not series and not extra:
+        return []
     vals = [c.cast("double") for c, _ in series]
     preds = [p if p is not None else F.lit(True) for _, p in series]
     grid_p = [j / GRID for j in range(GRID + 1)]
@@ -72,7 +76,9 @@ def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
     for i, (v, p) in enumerate(zip(vals, preds)):
         aggs.append(F.count(F.when(p, v)).alias(f"n{i}"))
         aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"g{i}"))
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs, *(extra or [])).first()
+    if extra_out is not None:
+        extra_out.update(row.asDict())
     targets: list[_Target] = []
     plan: list[list[tuple[int, int, float]]] = []  # per series, per prob: (t0, t1, frac)
     for i in range(len(series)):
@@ -151,14 +157,23 @@ def _narrow(df, vals, preds, wide, grid_p) -> None:
 
 
 def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
-    """One scan: each row goes to the targets whose bracket holds it
-    (value) or lies above it (NULL marker = counted below)."""
+    """One scan: each row goes to the brackets that hold it (value) or lie
+    above it (NULL marker = counted below). Targets of the same series with
+    the same bracket share one bracket group."""
+    groups: dict[tuple, int] = {}
+    members: list[list[_Target]] = []
+    for t in narrow:
+        key = (t.series, t.lo, t.hi)
+        if key not in groups:
+            groups[key] = len(members)
+            members.append([])
+        members[groups[key]].append(t)
     hits = []
-    for j, t in enumerate(narrow):
-        v, p = vals[t.series], preds[t.series]
-        hits.append(F.when(p & _in(v, t.lo, t.hi), F.struct(F.lit(j).alias("t"), v.alias("v"))))
-        if t.lo is not None:
-            hits.append(F.when(p & _below(v, t.lo),
+    for (series, lo, hi), j in groups.items():
+        v, p = vals[series], preds[series]
+        hits.append(F.when(p & _in(v, lo, hi), F.struct(F.lit(j).alias("t"), v.alias("v"))))
+        if lo is not None:
+            hits.append(F.when(p & _below(v, lo),
                                F.struct(F.lit(j).alias("t"), F.lit(None).cast(dtype).alias("v"))))
     exploded = df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
     counts = (exploded.groupBy(F.col("h.t").alias("t"), F.col("h.v").alias("v"))
@@ -166,23 +181,24 @@ def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
     per: dict[int, list] = {}
     for r in counts:
         per.setdefault(r["t"], []).append((r["v"], r["c"]))
-    for j, t in enumerate(narrow):
+    for j, ts in enumerate(members):
         rows = per.get(j, [])
         below = sum(c for v, c in rows if v is None)
         pairs = sorted((v, c) for v, c in rows if v is not None)
         n_in = sum(c for _, c in pairs)
-        rank = t.k - below
-        if not (0 <= rank < n_in):
-            t.lo = t.hi = None
-            t.est = LIMIT + 1
-            continue
-        acc = 0
-        for v, c in pairs:
-            acc += c
-            if rank < acc:
-                t.value = v
-                break
-        t.done = True
+        for t in ts:
+            rank = t.k - below
+            if not (0 <= rank < n_in):
+                t.lo = t.hi = None
+                t.est = LIMIT + 1
+                continue
+            acc = 0
+            for v, c in pairs:
+                acc += c
+                if rank < acc:
+                    t.value = v
+                    break
+            t.done = True
 
 
 def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],

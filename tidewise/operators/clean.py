@@ -119,11 +119,14 @@ class Cleaner:
         r = self.roles
         numeric, strings = r.present(df, "numeric"), r.present(df, "categorical")
         prepared = normalise_strings(coerce_numeric(df, numeric), strings)
-        nulls = prepared.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric + strings]
-                             ).first() if numeric + strings else {}
-        null_num = {c: nulls[c] for c in numeric}
-        null_str = {c: nulls[c] for c in strings}
-        medians = fit_medians(prepared, [c for c in numeric if null_num[c] > 0])
+        # one pass: null counts + the first quantile pass of every numeric column
+        nulls: dict = {}
+        qs = quantiles(prepared, [(F.col(c), None) for c in numeric], [[0.5]] * len(numeric),
+                       extra=[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numeric + strings]
+                       or [F.count(F.lit(1)).alias("_n")], extra_out=nulls)
+        null_num = {c: nulls[f"null_{c}"] for c in numeric}
+        null_str = {c: nulls[f"null_{c}"] for c in strings}
+        medians = {c: q[0] for c, q in zip(numeric, qs) if null_num[c] > 0}
         modes = fit_modes(prepared, [c for c in strings if null_str[c] > 0])
         return CleanerModel(r, numeric, strings, medians, modes, null_num, null_str, self.formats)
 

@@ -40,6 +40,10 @@ DEFAULT_MODEL_CONFIG = {"model_name": "LogisticRegression", "hyperparameters": {
 SEED = 42
 RFF_COMPONENTS = 200
 MAX_TREE_DEPTH = 30
+# Deep (unbounded) trees: a larger node-statistics budget lets one pass over
+# the data split more nodes, and cached node ids avoid re-walking every
+# tree per level (same trees, ~6x faster at sf 0.1).
+TREE_TUNING = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 
 
 def fill_zero(df: DataFrame, features: list[str]) -> DataFrame:
@@ -174,7 +178,7 @@ def make_estimator(model_name: str, hyperparameters: dict | None, n_train: float
         return GBTClassifier(maxIter=int(hp.get("n_estimators", 150)),
                              stepSize=float(hp.get("learning_rate", 0.1)),
                              maxDepth=int(hp.get("max_depth", 5)), lossType="logistic",
-                             seed=SEED, **common)
+                             seed=SEED, **TREE_TUNING, **common)
     if model_name == "SVC":
         c = float(hp.get("C", 1.0))
         return LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=100,
@@ -184,9 +188,9 @@ def make_estimator(model_name: str, hyperparameters: dict | None, n_train: float
         depth = MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
         return RandomForestClassifier(numTrees=int(hp.get("n_estimators", 100)), maxDepth=depth,
                                       featureSubsetStrategy="sqrt", seed=SEED,
-                                      weightCol=weight_col, **common)
+                                      weightCol=weight_col, **TREE_TUNING, **common)
     return RandomForestClassifier(numTrees=100, maxDepth=MAX_TREE_DEPTH, featureSubsetStrategy="sqrt",
-                                  seed=SEED, weightCol=weight_col, **common)
+                                  seed=SEED, weightCol=weight_col, **TREE_TUNING, **common)
 
 
 @dataclass

@@ -669,3 +669,5 @@ def _modeling():
 
 
 _modeling()
+
+SQL["profile_and_clean"] = SQL["clean"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewise.operators.clean import Cleaner
 from tidewise.operators.features import build_features
 from tidewise.roles import Roles
+from tidewise.session import materialize
 from tidewise.sources import fixtures
 from tidewise.sources.tables import apply_types, coerce_target, fit_types, load_csv
 
@@ -15,7 +16,9 @@ ROLES = Roles()
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.raw(spark, sf)
+    """The raw view, written once per call: every fit pass and the final
+    transform read the written table instead of re-running the window."""
+    return materialize(fixtures.raw(spark, sf), "raw")
 
 
 def loaded(spark: SparkSession, sf: str) -> DataFrame:
