@@ -46,46 +46,40 @@ def _r6(c: Column) -> Column:
 def describe(df: DataFrame, cols: list[str] | None = None, include: str = "number") -> DataFrame:
     """pandas ``describe``: count, mean, std (n-1), min, quartiles, max per
     numeric column; with ``include="all"`` also unique / top / freq for
-    string columns. Quartiles are exact (interpolated)."""
+    string columns. Quartiles are exact (interpolated). The moments ride
+    along in the first quantile pass, so a numeric describe reads the table
+    twice (plus one group count for string top values)."""
     num = cols or numeric_columns(df)
     strs = string_columns(df) if include == "all" else []
     allc = [f.name for f in df.schema.fields if f.name in set(num) | set(strs)]
-    qs = quantiles(df, [(_c(c), None) for c in num], [[0.25, 0.5, 0.75]] * len(num)) if num else []
-    qmap = dict(zip(num, qs))
     aggs = []
     for i, c in enumerate(allc):
         aggs.append(F.count(_c(c)).alias(f"n{i}"))
-        if c in qmap:
+        if c in num:
             x = _c(c).cast("double")
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         else:
             aggs.append(F.count_distinct(_c(c)).alias(f"u{i}"))
-    one = df.agg(*aggs)
+    row: dict = {}
+    qs = quantiles(df, [(_c(c), None) for c in num], [[0.25, 0.5, 0.75]] * len(num),
+                   extra=aggs, extra_out=row)
+    qmap = dict(zip(num, qs))
     tops = top_values(df, strs) if strs else {}
-    dbl = lambda v: F.lit(v).cast("double")
-    entries = []
+    r6 = lambda v: None if v is None else round(v, 6)
+    out = []
     for i, c in enumerate(allc):
         if c in qmap:
             q = qmap[c]
-            fields = [F.lit(None).cast("bigint").alias("unique"), F.lit(None).cast("string").alias("top"),
-                      F.lit(None).cast("bigint").alias("freq"),
-                      _r6(F.col(f"m{i}")).alias("mean"), _r6(F.col(f"s{i}")).alias("std"),
-                      F.col(f"lo{i}").alias("min"), _r6(dbl(q[0])).alias("q25"),
-                      _r6(dbl(q[1])).alias("q50"), _r6(dbl(q[2])).alias("q75"),
-                      F.col(f"hi{i}").alias("max")]
+            out.append((c, row[f"n{i}"], None, None, None, r6(row[f"m{i}"]), r6(row[f"s{i}"]),
+                        row[f"lo{i}"], r6(q[0]), r6(q[1]), r6(q[2]), row[f"hi{i}"]))
         else:
             top, freq = tops.get(c, (None, None))
-            fields = [F.col(f"u{i}").alias("unique"), F.lit(top).cast("string").alias("top"),
-                      F.lit(freq).cast("bigint").alias("freq")] + [
-                dbl(None).alias(n) for n in ("mean", "std", "min", "q25", "q50", "q75", "max")]
-            if include != "all":
-                continue
-        entries.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), *fields))
-    out = _rows(one, entries)
-    if include != "all":
-        out = out.drop("unique", "top", "freq")
-    return out
+            out.append((c, row[f"n{i}"], row[f"u{i}"], top, freq) + (None,) * 7)
+    schema = ("column string, count bigint, unique bigint, top string, freq bigint, mean double, "
+              "std double, min double, q25 double, q50 double, q75 double, max double")
+    res = df.sparkSession.createDataFrame(out, schema)
+    return res if include == "all" else res.drop("unique", "top", "freq")
 
 
 def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None]]:
@@ -250,7 +244,9 @@ def cardinality(df: DataFrame, cols: list[str] | None = None, key: str = "transa
     grouped = (df.select(_c(key).alias("_key"), pairs.alias("p"))
                .select("_key", "p.*").filter("v IS NOT NULL")
                .groupBy("pos", "column", "v").agg(F.min("_key").alias("first_key")))
-    counts = grouped.groupBy("pos", "column").agg(F.count(F.lit(1)).alias("n_unique"))
+    # count(first_key) keeps this branch's subtree identical to the one
+    # below, so the scan + exchange of ``grouped`` is planned once and reused
+    counts = grouped.groupBy("pos", "column").agg(F.count("first_key").alias("n_unique"))
     w = Window.partitionBy("pos").orderBy("first_key")
     firsts = (grouped.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= sample)
               .groupBy("pos").agg(F.array_join(F.transform(
@@ -279,13 +275,11 @@ def column_summary(df: DataFrame) -> DataFrame:
 def overview(df: DataFrame, target: str) -> DataFrame:
     """Rows, columns, % missing cells (1 decimal), duplicate rows, positive rate (valid rule)."""
     n_cols = len(df.columns)
-    miss = _missing_one(df).select(
-        F.col("_n").alias("n_rows"),
-        sum((F.col(f"m{i}") for i in range(n_cols)), F.lit(0)).alias("_cells_missing"))
     t = _c(target).cast("double")
-    rate = df.agg(F.coalesce(F.try_divide(F.count_if(t == 1) * 100.0, F.count(t)), F.lit(0.0))
-                  .alias("_rate"))
-    return (miss.crossJoin(duplicate_count(df)).crossJoin(rate)
+    miss = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  sum((F.count_if(_c(c).isNull()) for c in df.columns), F.lit(0)).alias("_cells_missing"),
+                  F.coalesce(F.try_divide(F.count_if(t == 1) * 100.0, F.count(t)), F.lit(0.0)).alias("_rate"))
+    return (miss.crossJoin(duplicate_count(df))
             .select("n_rows", F.lit(n_cols).alias("n_cols"),
                     F.round(F.coalesce(F.try_divide(F.col("_cells_missing") * 100.0,
                                                     F.col("n_rows") * n_cols), F.lit(0.0)), 1)
@@ -307,24 +301,45 @@ def issues(df: DataFrame, target: str, top: int = 5) -> DataFrame:
     """Ranked data-quality issues: (rank, kind, severity, column, n).
     Severity: worst missing %, duplicate %, missing-target %, 90 for
     unexpected target values, 80 for imbalance (< 10 %), the worst outlier
-    count (>= 10 values, target included). Ties keep the list order."""
+    count (>= 10 values, target included). Ties keep the list order.
+    Three scans: one aggregate (missing counts, target checks, outlier
+    moments), the outlier counts against the broadcast moments, and the
+    duplicate group count."""
     from pyspark.sql import Window
     cols = df.columns
     n_cols = len(cols)
-    one = _missing_one(df)
+    num = numeric_columns(df)
+    t = _c(target).cast("double")
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(_c(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.count_if(t.isNull()).alias("_tnan"),
+             F.coalesce(F.try_divide(F.count_if(t == 1) * 100.0, F.count(t)), F.lit(0.0)).alias("_rate"),
+             F.count_distinct(F.when(~t.isin(0.0, 1.0), t)).alias("_unexp")]
+    for i, c in enumerate(num):
+        x = _c(c).cast("double")
+        aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.count(x).alias(f"cnt{i}")]
+    one = df.agg(*aggs)
+    if num:
+        moments = one.select(*[F.col(f"{p}{i}") for i in range(len(num)) for p in ("mean", "std")])
+        joined = df.select(*[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(num)]) \
+            .crossJoin(F.broadcast(moments))
+        counted = joined.agg(*[F.count_if((F.col(f"std{i}") > 0) &
+                                          (F.abs(F.col(f"x{i}") - F.col(f"mean{i}")) > 3 * F.col(f"std{i}")))
+                               .alias(f"o{i}") for i in range(len(num))])
+        per = one.crossJoin(counted).select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col"), F.col(f"o{i}").alias("o"),
+                     F.col(f"cnt{i}").alias("cnt")) for i, c in enumerate(num)])).alias("e")).select("e.*") \
+            .filter("o > 0 AND cnt >= 10")
+        w = Window.partitionBy().orderBy(F.desc("o"), F.asc("pos"))
+        outl = per.select(F.col("col").alias("_ocol"), F.col("o").alias("_on"),
+                          F.row_number().over(w).alias("_r")).filter("_r = 1").drop("_r")
+    else:
+        outl = df.sparkSession.createDataFrame([], "_ocol string, _on bigint")
     worst = F.greatest(*[F.col(f"m{i}") for i in range(n_cols)]) if n_cols > 1 else F.col("m0")
     # worst column: first column holding the maximum missing count
     worst_col = F.coalesce(*[F.when(F.col(f"m{i}") == worst, F.lit(c)) for i, c in enumerate(cols)])
     n_with = sum((F.when(F.col(f"m{i}") > 0, 1).otherwise(0) for i in range(n_cols)), F.lit(0))
-    t = _c(target).cast("double")
-    tq = df.agg(F.count_if(t.isNull()).alias("_tnan"),
-                F.coalesce(F.try_divide(F.count_if(t == 1) * 100.0, F.count(t)), F.lit(0.0)).alias("_rate"))
-    unexpected = (df.select(t.alias("v")).filter("v IS NOT NULL AND v NOT IN (0.0, 1.0)")
-                  .distinct().agg(F.count(F.lit(1)).alias("_unexp")))
-    outl = outliers(df, numeric_columns(df), min_count=10, include_target=True, top=1) \
-        .select(F.col("column").alias("_ocol"), F.col("n_outliers").alias("_on"))
-    base = (one.crossJoin(duplicate_count(df)).crossJoin(tq).crossJoin(unexpected)
-            .join(outl, how="left"))
+    base = one.crossJoin(duplicate_count(df)).join(outl, how="left")
     n = F.col("_n")
     pct = lambda x: F.coalesce(F.try_divide(x * 100.0, n), F.lit(0.0))
     cand = [

@@ -671,3 +671,22 @@ def _modeling():
 _modeling()
 
 SQL["profile_and_clean"] = SQL["clean"]
+
+
+def _data_summary():
+    schema = " UNION ALL ".join(f"SELECT 'schema' AS section, '{c}' AS name, 'type' AS attribute, "
+                                f"'{TYPED_TYPES[c]}' AS value" for c in RAW_COLS)
+    stats = ["count", "unique", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    st = " UNION ALL ".join(
+        f"SELECT 'statistics' AS section, \"column\" AS name, '{a}' AS attribute, CAST(\"{a}\" AS VARCHAR) AS value FROM d"
+        for a in stats)
+    sample = " UNION ALL ".join(
+        f"SELECT 'sample' AS section, '{c}' AS name, 'row ' || CAST(rn - 1 AS VARCHAR) AS attribute, "
+        f"CAST({c} AS VARCHAR) AS value FROM head" for c in RAW_COLS)
+    head = "SELECT *, row_number() OVER (ORDER BY transaction_id) AS rn FROM typed ORDER BY transaction_id LIMIT 5"
+    SQL["data_summary"] = with_views(
+        f"{schema} UNION ALL SELECT * FROM ({st}) WHERE value IS NOT NULL UNION ALL {sample}", "typed",
+        extra=[("d", _describe_sql(True)), ("head", head)])
+
+
+_data_summary()
