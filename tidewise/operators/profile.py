@@ -66,7 +66,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, include: str = "numbe
                    extra=aggs, extra_out=row)
     qmap = dict(zip(num, qs))
     tops = top_values(df, strs) if strs else {}
-    r6 = lambda v: None if v is None else round(v, 6)
+    r6 = _round_half_up
     out = []
     for i, c in enumerate(allc):
         if c in qmap:
@@ -82,6 +82,14 @@ def describe(df: DataFrame, cols: list[str] | None = None, include: str = "numbe
     return res if include == "all" else res.drop("unique", "top", "freq")
 
 
+def _round_half_up(v: float | None, places: int = 6) -> float | None:
+    """Round like Spark's ``round``: half-up on the shortest decimal form."""
+    from decimal import ROUND_HALF_UP, Decimal
+    if v is None:
+        return None
+    return float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP))
+
+
 def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None]]:
     """Most frequent value and its count per column (smallest value on a
     tie), from one distributed (column, value) group-by."""

@@ -44,7 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return path
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="tidewise-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        conf = tempfile.mkdtemp(prefix="tidewise-ckpt-", dir="/tmp")  # local mode / tests only
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
