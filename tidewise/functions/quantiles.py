@@ -29,9 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID = 200
+GRID = 1000
 ACCURACY = 20_000
-LIMIT = 200_000
+LIMIT = 50_000
 
 
 @dataclass

@@ -254,6 +254,8 @@ def train(features: DataFrame, target: str, key: str, config: dict | None = None
           frac: float = 0.2, seed: int = SEED) -> Trained:
     """split -> fill -> weight -> scale where needed -> fit. Default:
     logistic regression, C = 1, when no recommendation is given."""
+    from tidewise.session import checkpoint_dir
+    checkpoint_dir(features.sparkSession)  # tree training checkpoints node ids there
     if not config or "model_name" not in config:
         config = dict(DEFAULT_MODEL_CONFIG)
     name = config["model_name"]
