@@ -1,24 +1,29 @@
 """Exact quantiles (linear interpolation, as pandas ``quantile`` and SQL
-``quantile_cont``) without holding a whole column in one task.
+``quantile_cont``) and exact order statistics without holding a whole
+column in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 task's memory; at scale that is an unbounded group. Here each wanted order
-statistic (the k-th smallest non-null value) is found by bracketing:
+statistic (the k-th smallest non-null value of a series) is found by
+bracketing:
 
 1. one aggregate job gives, per series (a column under an optional
    predicate), the count and an approximate quantile grid
    (``percentile_approx``, deterministic rank error n/accuracy);
-2. a target whose bracket may hold more than ``limit`` rows is narrowed
+2. a target whose bracket may hold more than ``LIMIT`` rows is narrowed
    with another grid computed over the bracket only (each pass shrinks it
-   ~100x);
-3. once a bracket holds at most ``limit`` rows, one job explodes each row
-   into the targets whose bracket contains it and runs
-   ``groupBy(target, value).count()``; the driver then receives at most
-   ``limit`` (value, count) pairs per target, plus the count below the
-   bracket, and walks to the exact rank. The bracket is verified; a failed
-   check falls back to a wider bracket.
-
-All targets of a step share one scan. Ties are compressed by the group-by.
+   ~200x);
+3. once a bracket holds at most ``LIMIT`` rows, one job explodes each row
+   into the brackets that contain it and runs
+   ``groupBy(bracket, value).count()``; the driver then receives at most
+   ``LIMIT`` (value, count) pairs per bracket plus the count below it and
+   walks to the exact rank.
+
+Every bracket is verified (count below <= k < count below + count inside).
+Grid values are widened by a few ulps (``percentile_approx`` works in
+doubles, so 64-bit keys come back rounded); a failed check doubles the
+margin and retries, and gives up with an error after ``MAX_RETRIES``.
+All targets of a step share one scan; ties are compressed by the group-by.
 """
 
 from __future__ import annotations
@@ -32,17 +37,19 @@ from pyspark.sql import functions as F
 GRID = 1000
 ACCURACY = 20_000
 LIMIT = 50_000
+MAX_RETRIES = 8
 
 
 @dataclass
 class _Target:
     series: int
     k: int
-    lo: float | None = None
-    hi: float | None = None
+    lo: float | int | None = None
+    hi: float | int | None = None
     est: int = 0
-    value: float | None = None
+    value: float | int | None = None
     done: bool = False
+    fails: int = 0
 
 
 def _in(c: Column, lo, hi) -> Column:
@@ -58,85 +65,41 @@ def _below(c: Column, lo) -> Column:
     return c.isNotNull() & (c < F.lit(lo)) if lo is not None else F.lit(False)
 
 
-def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
-              probs: list[list[float]], limit: int = LIMIT,
-              extra: list[Column] | None = None, extra_out: dict | None = None) -> list[list[float | None]]:
-    """``series[i] = (value expression, predicate or None)``; returns, for
-    each series, the exact interpolated quantile at each of ``probs[i]``
-    (NULL when the series is empty). ``extra`` aggregates ride along in the
-    first pass; their values are put into ``extra_out``."""
-    if not series and not extra:
-        return []
-    vals = [c.cast("double") for c, _ in series]
-    preds = [p if p is not None else F.lit(True) for _, p in series]
-    grid_p = [j / GRID for j in range(GRID + 1)]
-
-    # Pass 1: counts and a coarse grid per series, one aggregate.
-    aggs = []
-    for i, (v, p) in enumerate(zip(vals, preds)):
-        aggs.append(F.count(F.when(p, v)).alias(f"n{i}"))
-        aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"g{i}"))
-    row = df.agg(*aggs, *(extra or [])).first()
-    if extra_out is not None:
-        extra_out.update(row.asDict())
-    targets: list[_Target] = []
-    plan: list[list[tuple[int, int, float]]] = []  # per series, per prob: (t0, t1, frac)
-    for i in range(len(series)):
-        n = row[f"n{i}"]
-        grid = row[f"g{i}"]
-        per = []
-        for q in probs[i]:
-            if n == 0:
-                per.append(None)
-                continue
-            h = (n - 1) * q
-            k0, k1 = math.floor(h), math.ceil(h)
-            ids = []
-            for k in (k0, k1):
-                t = _Target(series=i, k=k)
-                _bracket(t, grid, n, 0, n)
-                targets.append(t)
-                ids.append(len(targets) - 1)
-            per.append((ids[0], ids[1], h - k0))
-        plan.append(per)
-
-    while any(not t.done for t in targets):
-        wide = [t for t in targets if not t.done and t.est > limit]
-        if wide:
-            _narrow(df, vals, preds, wide, grid_p)
-        narrow = [t for t in targets if not t.done and t.est <= limit]
-        if narrow:
-            _resolve(df, vals, preds, narrow)
+def _widen(v, down: bool, integral: bool):
+    pad = 4 * math.ulp(float(v))
+    w = float(v) - pad if down else float(v) + pad
+    if integral:
+        return int(math.floor(w)) if down else int(math.ceil(w))
+    return w
 
-    out = []
-    for i, per in enumerate(plan):
-        res = []
-        for item in per:
-            if item is None:
-                res.append(None)
-                continue
-            t0, t1, frac = item
-            a, b = targets[t0].value, targets[t1].value
-            res.append(a + frac * (b - a) if frac else a)
-        out.append(res)
-    return out
 
-
-def _bracket(t: _Target, grid, n_in: int, below: int, n_total: int) -> None:
-    """Choose [lo, hi] around rank ``t.k`` from a grid over a bracket that
-    holds ``n_in`` rows with ``below`` rows under it."""
+def _bracket(t: _Target, grid, n_in: int, below: int, integral: bool) -> None:
+    """Choose [lo, hi] around rank ``t.k`` from a grid over the current
+    bracket (``n_in`` rows inside, ``below`` rows under it)."""
     if n_in <= LIMIT or grid is None:
         t.est = n_in
         return
+    margin = 2 * (2 ** t.fails)
     r = (t.k - below) / max(n_in - 1, 1)
-    j_lo = math.floor(r * GRID) - 2
-    j_hi = math.ceil(r * GRID) + 2
-    t.lo = grid[j_lo] if j_lo > 0 else t.lo
-    t.hi = grid[j_hi] if j_hi < GRID else t.hi
-    t.est = int(n_in * (min(j_hi, GRID) - max(j_lo, 0)) / GRID + 2 * n_in / ACCURACY) + 1
+    j_lo = math.floor(r * GRID) - margin
+    j_hi = math.ceil(r * GRID) + margin
+    if j_lo > 0:
+        t.lo = _widen(grid[j_lo], True, integral)
+    if j_hi < GRID:
+        t.hi = _widen(grid[j_hi], False, integral)
+    span = min(j_hi, GRID) - max(j_lo, 0)
+    t.est = min(n_in, int(n_in * span / GRID + 2 * n_in / ACCURACY) + 1)
+
 
+def _failed(t: _Target) -> None:
+    t.fails += 1
+    if t.fails > MAX_RETRIES:
+        raise RuntimeError(f"quantile bracket for rank {t.k} could not be verified")
+    t.lo = t.hi = None
+    t.est = LIMIT + 1
 
-def _narrow(df, vals, preds, wide, grid_p) -> None:
+
+def _narrow(df, vals, preds, wide, grid_p, integral) -> None:
     aggs = []
     for j, t in enumerate(wide):
         v, p = vals[t.series], preds[t.series]
@@ -148,15 +111,12 @@ def _narrow(df, vals, preds, wide, grid_p) -> None:
     for j, t in enumerate(wide):
         below, n_in = row[f"b{j}"], row[f"n{j}"]
         if not (below <= t.k < below + n_in):
-            t.lo = t.hi = None  # bracket lost: restart from the whole series
-            t.est = LIMIT + 1
+            _failed(t)
             continue
-        _bracket(t, row[f"g{j}"], n_in, below, None)
-        if t.est > LIMIT and n_in <= t.est:
-            t.est = n_in
+        _bracket(t, row[f"g{j}"], n_in, below, integral)
 
 
-def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
+def _resolve(df, vals, preds, narrow, dtype: str) -> None:
     """One scan: each row goes to the brackets that hold it (value) or lie
     above it (NULL marker = counted below). Targets of the same series with
     the same bracket share one bracket group."""
@@ -189,8 +149,7 @@ def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
         for t in ts:
             rank = t.k - below
             if not (0 <= rank < n_in):
-                t.lo = t.hi = None
-                t.est = LIMIT + 1
+                _failed(t)
                 continue
             acc = 0
             for v, c in pairs:
@@ -201,41 +160,88 @@ def _resolve(df, vals, preds, narrow, dtype: str = "double") -> None:
             t.done = True
 
 
-def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
-                     ranks, dtype: str = "double") -> list[list[float | None]]:
-    """The k-th smallest value (0-based) of each series for the ranks that
-    ``ranks(i, n)`` returns once the series' count ``n`` is known. Values
-    keep ``dtype`` throughout (use ``bigint`` for exact 64-bit keys)."""
+def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None):
+    """Core: the k-th smallest values per series for ``ranks(i, n)``."""
+    if not series and not extra:
+        return []
+    integral = dtype in ("bigint", "int", "long", "integer", "smallint", "tinyint")
     vals = [c.cast(dtype) for c, _ in series]
     preds = [p if p is not None else F.lit(True) for _, p in series]
     grid_p = [j / GRID for j in range(GRID + 1)]
     aggs = []
     for i, (v, p) in enumerate(zip(vals, preds)):
-        aggs.append(F.count(F.when(p, v)).alias(f"n{i}"))
-        aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"g{i}"))
-    row = df.agg(*aggs).first()
-    targets, plan = [], []
+        aggs.append(F.count(F.when(p, v)).alias(f"_qn{i}"))
+        aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"_qg{i}"))
+    row = df.agg(*aggs, *(extra or [])).first()
+    if extra_out is not None:
+        extra_out.update(row.asDict())
+    targets: list[_Target] = []
+    plan = []
     for i in range(len(series)):
-        n, ids = row[f"n{i}"], []
+        n, ids = row[f"_qn{i}"], []
         for k in ranks(i, n):
-            if not 0 <= k < n:
+            if k is None or not 0 <= k < n:
                 ids.append(None)
                 continue
             t = _Target(series=i, k=k)
-            _bracket(t, row[f"g{i}"], n, 0, n)
+            _bracket(t, row[f"_qg{i}"], n, 0, integral)
             targets.append(t)
             ids.append(len(targets) - 1)
         plan.append(ids)
     while any(not t.done for t in targets):
         wide = [t for t in targets if not t.done and t.est > LIMIT]
         if wide:
-            _narrow(df, vals, preds, wide, grid_p)
+            _narrow(df, vals, preds, wide, grid_p, integral)
         narrow = [t for t in targets if not t.done and t.est <= LIMIT]
         if narrow:
             _resolve(df, vals, preds, narrow, dtype)
     return [[targets[j].value if j is not None else None for j in ids] for ids in plan]
 
 
+def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
+              probs: list[list[float]], limit: int | None = None,
+              extra: list[Column] | None = None, extra_out: dict | None = None) -> list[list[float | None]]:
+    """``series[i] = (value expression, predicate or None)``; returns, for
+    each series, the exact interpolated quantile at each of ``probs[i]``
+    (NULL when the series is empty). ``extra`` aggregates ride along in the
+    first pass; their values are put into ``extra_out``."""
+    positions: dict[int, list[tuple[int, int, float]]] = {}
+
+    def ranks(i, n):
+        out, pos = [], []
+        for q in probs[i]:
+            if n == 0:
+                pos.append(None)
+                continue
+            h = (n - 1) * q
+            k0, k1 = math.floor(h), math.ceil(h)
+            pos.append((len(out), len(out) + 1, h - k0))
+            out += [k0, k1]
+        positions[i] = pos
+        return out
+
+    values = _solve(df, series, ranks, "double", extra, extra_out)
+    result = []
+    for i, vals in enumerate(values):
+        res = []
+        for item in positions.get(i, []):
+            if item is None:
+                res.append(None)
+                continue
+            a, b, frac = vals[item[0]], vals[item[1]], item[2]
+            res.append(a + frac * (b - a) if frac else a)
+        result.append(res)
+    return result
+
+
+def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
+                     ranks, dtype: str = "double") -> list[list[float | int | None]]:
+    """The k-th smallest value (0-based) of each series for the ranks that
+    ``ranks(i, n)`` returns once the series' count ``n`` is known. Values
+    keep ``dtype`` throughout (use ``bigint`` for exact 64-bit keys)."""
+    return _solve(df, series, ranks, dtype)
+
+
 def quantile(df: DataFrame, col: str | Column, q: float, where: Column | None = None) -> float | None:
     c = F.col(col) if isinstance(col, str) else col
     return quantiles(df, [(c, where)], [[q]])[0][0]
