@@ -183,11 +183,11 @@ def one_hot_fit(df: DataFrame, cols: list[str], max_categories: int = 10_000) ->
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
                                 for c in cols]))
     distinct = df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL").distinct()
-    n = distinct.count()
-    if n > max_categories:
-        raise ValueError(f"one-hot: {n} categories exceed max_categories={max_categories}")
+    rows = distinct.limit(max_categories + 1).collect()  # one job, bounded
+    if len(rows) > max_categories:
+        raise ValueError(f"one-hot: more than max_categories={max_categories} categories")
     found: dict[str, list[str]] = {c: [] for c in cols}
-    for r in distinct.collect():
+    for r in rows:
         found[r["k"]].append(r["v"])
     return {c: sorted(v) for c, v in found.items()}
 

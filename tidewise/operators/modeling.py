@@ -59,15 +59,18 @@ def split_hash(key: Column, seed: int = SEED) -> Column:
 
 
 def stratified_split(df: DataFrame, target: str, key: str, frac: float = 0.2,
-                     seed: int = SEED) -> DataFrame:
+                     seed: int = SEED, max_classes: int = 1000) -> DataFrame:
     """Adds ``split`` = test / train: per class exactly ceil(frac * n_class)
     rows go to test, chosen by the seeded hash order of ``key``. The cut
     per class is the k-th smallest hash, found with the bracketing order
     statistic (aggregates only); the split itself is then a projection —
     no window over a two-key partition, no shuffle of the rows."""
     h = split_hash(F.col(key), seed)
-    classes = sorted(r[0] for r in df.select(F.col(target).cast("double")).distinct().collect()
-                     if r[0] is not None)
+    found = (df.select(F.col(target).cast("double").alias("c")).filter("c IS NOT NULL").distinct()
+             .limit(max_classes + 1).collect())
+    if len(found) > max_classes:
+        raise ValueError(f"stratified_split: more than {max_classes} classes")
+    classes = sorted(r[0] for r in found)
     series = [(h, F.col(target).cast("double") == F.lit(c)) for c in classes]
     cuts = order_statistics(df, series, lambda i, n: [math.ceil(frac * n) - 1], dtype="bigint")
     cond = F.lit(False)
