@@ -80,3 +80,21 @@ def test_report_counts(dirty):
     assert rep[("impute", "amount", "median")]["rows_affected"] == 2
     assert rep[("filter_target", "is_fraud", "keep_0_1")]["rows_affected"] == 2
     assert rep[("shape", None, "rows_after")]["rows_affected"] == 18
+
+
+def test_read_csv_na_tokens(spark):
+    """A header CSV read: pandas' default missing tokens become NULL, other
+    text ('none', ' NA') survives, and inference types the columns."""
+    import os
+    import tempfile
+    from tidewise.sources.tables import fit_types, read_table
+    d = tempfile.mkdtemp(prefix="tw-csv-", dir="/tmp")
+    path = os.path.join(d, "t.csv")
+    with open(path, "w") as f:
+        f.write("a,b,c,d\n1,x,1.5,N/A\n2,none,,NA\n3, NA,2,null\n")
+    df = read_table(spark, path)
+    rows = df.orderBy("a").collect()
+    assert [r["b"] for r in rows] == ["x", "none", " NA"]
+    assert [r["d"] for r in rows] == [None, None, None]
+    assert rows[1]["c"] is None
+    assert fit_types(df) == {"a": "bigint", "b": "string", "c": "double", "d": "double"}

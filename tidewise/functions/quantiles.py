@@ -73,10 +73,10 @@ def _widen(v, down: bool, integral: bool):
     return w
 
 
-def _bracket(t: _Target, grid, n_in: int, below: int, integral: bool) -> None:
+def _bracket(t: _Target, grid, n_in: int, below: int, integral: bool, limit: int) -> None:
     """Choose [lo, hi] around rank ``t.k`` from a grid over the current
     bracket (``n_in`` rows inside, ``below`` rows under it)."""
-    if n_in <= LIMIT or grid is None:
+    if n_in <= limit or grid is None:
         t.est = n_in
         return
     margin = 2 * (2 ** t.fails)
@@ -91,15 +91,15 @@ def _bracket(t: _Target, grid, n_in: int, below: int, integral: bool) -> None:
     t.est = min(n_in, int(n_in * span / GRID + 2 * n_in / ACCURACY) + 1)
 
 
-def _failed(t: _Target) -> None:
+def _failed(t: _Target, limit: int) -> None:
     t.fails += 1
     if t.fails > MAX_RETRIES:
         raise RuntimeError(f"quantile bracket for rank {t.k} could not be verified")
     t.lo = t.hi = None
-    t.est = LIMIT + 1
+    t.est = limit + 1
 
 
-def _narrow(df, vals, preds, wide, grid_p, integral) -> None:
+def _narrow(df, vals, preds, wide, grid_p, integral, limit) -> None:
     aggs = []
     for j, t in enumerate(wide):
         v, p = vals[t.series], preds[t.series]
@@ -111,12 +111,12 @@ def _narrow(df, vals, preds, wide, grid_p, integral) -> None:
     for j, t in enumerate(wide):
         below, n_in = row[f"b{j}"], row[f"n{j}"]
         if not (below <= t.k < below + n_in):
-            _failed(t)
+            _failed(t, limit)
             continue
-        _bracket(t, row[f"g{j}"], n_in, below, integral)
+        _bracket(t, row[f"g{j}"], n_in, below, integral, limit)
 
 
-def _resolve(df, vals, preds, narrow, dtype: str) -> None:
+def _resolve(df, vals, preds, narrow, dtype: str, limit: int) -> None:
     """One scan: each row goes to the brackets that hold it (value) or lie
     above it (NULL marker = counted below). Targets of the same series with
     the same bracket share one bracket group."""
@@ -149,7 +149,7 @@ def _resolve(df, vals, preds, narrow, dtype: str) -> None:
         for t in ts:
             rank = t.k - below
             if not (0 <= rank < n_in):
-                _failed(t)
+                _failed(t, limit)
                 continue
             acc = 0
             for v, c in pairs:
@@ -160,8 +160,10 @@ def _resolve(df, vals, preds, narrow, dtype: str) -> None:
             t.done = True
 
 
-def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None):
+def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None,
+           limit: int | None = None):
     """Core: the k-th smallest values per series for ``ranks(i, n)``."""
+    limit = limit or LIMIT
     if not series and not extra:
         return []
     integral = dtype in ("bigint", "int", "long", "integer", "smallint", "tinyint")
@@ -184,17 +186,17 @@ def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None)
                 ids.append(None)
                 continue
             t = _Target(series=i, k=k)
-            _bracket(t, row[f"_qg{i}"], n, 0, integral)
+            _bracket(t, row[f"_qg{i}"], n, 0, integral, limit)
             targets.append(t)
             ids.append(len(targets) - 1)
         plan.append(ids)
     while any(not t.done for t in targets):
-        wide = [t for t in targets if not t.done and t.est > LIMIT]
+        wide = [t for t in targets if not t.done and t.est > limit]
         if wide:
-            _narrow(df, vals, preds, wide, grid_p, integral)
-        narrow = [t for t in targets if not t.done and t.est <= LIMIT]
+            _narrow(df, vals, preds, wide, grid_p, integral, limit)
+        narrow = [t for t in targets if not t.done and t.est <= limit]
         if narrow:
-            _resolve(df, vals, preds, narrow, dtype)
+            _resolve(df, vals, preds, narrow, dtype, limit)
     return [[targets[j].value if j is not None else None for j in ids] for ids in plan]
 
 
@@ -220,7 +222,7 @@ def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
         positions[i] = pos
         return out
 
-    values = _solve(df, series, ranks, "double", extra, extra_out)
+    values = _solve(df, series, ranks, "double", extra, extra_out, limit)
     result = []
     for i, vals in enumerate(values):
         res = []
@@ -235,11 +237,11 @@ def quantiles(df: DataFrame, series: list[tuple[Column, Column | None]],
 
 
 def order_statistics(df: DataFrame, series: list[tuple[Column, Column | None]],
-                     ranks, dtype: str = "double") -> list[list[float | int | None]]:
+                     ranks, dtype: str = "double", limit: int | None = None) -> list[list[float | int | None]]:
     """The k-th smallest value (0-based) of each series for the ranks that
     ``ranks(i, n)`` returns once the series' count ``n`` is known. Values
     keep ``dtype`` throughout (use ``bigint`` for exact 64-bit keys)."""
-    return _solve(df, series, ranks, dtype)
+    return _solve(df, series, ranks, dtype, limit=limit)
 
 
 def quantile(df: DataFrame, col: str | Column, q: float, where: Column | None = None) -> float | None:
