@@ -23,8 +23,15 @@ def test_no_missing(spark):
 
 
 def test_duplicates(spark):
-    assert P.duplicate_count(_quality(spark, duplicate=True)).first()[0] == 1
-    assert P.duplicate_count(_quality(spark)).first()[0] == 0
+    for method in ("hash", "direct"):
+        assert P.duplicate_count(_quality(spark, duplicate=True), method).first()[0] == 1
+        assert P.duplicate_count(_quality(spark), method).first()[0] == 0
+
+
+def test_duplicates_nulls_equal(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), ("a", None), (None, None), (None, None), ("", None)],
+                               "x string, y string")
+    assert P.duplicate_count(df).first()[0] == 2
 
 
 def test_unexpected_target(spark):

@@ -178,11 +178,25 @@ def missing(df: DataFrame, top: int | None = None, places: int = 2) -> DataFrame
                     F.greatest(F.col("_k") - top, F.lit(0)).alias("more_columns")))
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def duplicate_count(df: DataFrame, method: str = "hash") -> DataFrame:
     """Rows that repeat an earlier row in every column (NULL equals NULL).
-    Partial aggregation collapses copies map-side, so a value repeated a
-    billion times costs one row per task in the shuffle."""
-    groups = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
+
+    ``hash`` (default): pass 1 shuffles only a 64-bit row hash with partial
+    counts; pass 2 groups full rows, but only those whose hash repeats, so
+    collisions are re-checked and the count stays exact while a wide table
+    is never shuffled whole. ``direct``: one group-by on all columns.
+    Both collapse copies map-side, so a row repeated a billion times costs
+    one row per task in the shuffle."""
+    cols = [_c(c) for c in df.columns]
+    if method == "direct":
+        groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
+        return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    # NULL-aware row hash: a NULL field and an empty value hash differently
+    h = F.xxhash64(*[F.struct(c.isNull().alias("n"), c.alias("v")) for c in cols])
+    hashed = df.select("*", h.alias("_h"))
+    repeated = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("_h"))
+    candidates = hashed.join(repeated, "_h", "left_semi").drop("_h")
+    groups = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
     return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
