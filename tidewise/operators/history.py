@@ -114,16 +114,33 @@ def _diag(df: DataFrame, level: str, code: str, value: Column, iteration: Column
                      F.round(value.cast("double"), 6).alias("value"))
 
 
-def _per_round(history: DataFrame, code: str) -> DataFrame:
+def _tagged(df: DataFrame, rules: list[tuple[str, str, Column, Column]], iteration: Column,
+            model: Column) -> DataFrame:
+    """One pass over ``df``: every row emits one tagged row per rule it
+    matches (level, code, value) — several diagnostics, one scan."""
+    hits = [F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"),
+                                  F.round(value.cast("double"), 6).alias("value")))
+            for level, code, cond, value in rules]
+    return (df.select("run_id", iteration.cast("int").alias("iteration"), model.alias("model"),
+                      F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("d"))
+            .select("run_id", "iteration", "d.level", "d.code", "model", "d.value"))
+
+
+PER_ROUND = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox"]
+CROSS_ROUND = ["f1_regression", "f1_gain"]
+PER_RUN = ["feature_set_changed", "default_only", "recommendation_used"]
+
+
+def _per_round(history: DataFrame, codes: list[str]) -> DataFrame:
     acc, prec, rec, f1 = _m("accuracy"), _m("prec"), _m("recall"), _m("f1")
     rules = {
-        "zero_recall": ("warning", rec == 0, rec),
-        "low_recall": ("warning", (rec > 0) & (rec < 0.3), rec),
-        "zero_precision": ("warning", (prec == 0) & (rec > 0), prec),
-        "accuracy_paradox": ("warning", (acc > 0.85) & (f1 < 0.15), acc),
+        "zero_recall": ("warning", "zero_recall", rec == 0, rec),
+        "low_recall": ("warning", "low_recall", (rec > 0) & (rec < 0.3), rec),
+        "zero_precision": ("warning", "zero_precision", (prec == 0) & (rec > 0), prec),
+        "accuracy_paradox": ("warning", "accuracy_paradox", (acc > 0.85) & (f1 < 0.15), acc),
     }
-    level, cond, value = rules[code]
-    return _diag(history.filter(cond), level, code, value)
+    return _tagged(history, [rules[c] for c in codes], F.col("iteration"),
+                   model_label(F.col("model_report")))
 
 
 def previous_round(history: DataFrame) -> DataFrame:
@@ -134,13 +151,14 @@ def previous_round(history: DataFrame) -> DataFrame:
     return history.join(prev, ["run_id", "iteration"])
 
 
-def _cross_round(history: DataFrame, code: str) -> DataFrame:
-    pr = previous_round(history)
-    f1 = _m("f1")
-    if code == "f1_regression":
-        return _diag(pr.filter((f1 < F.col("prev_f1")) & (F.col("prev_f1") > 0)), "warning", code,
-                     F.col("prev_f1") - f1)
-    return _diag(pr.filter(f1 > F.col("prev_f1")), "positive", code, f1 - F.col("prev_f1"))
+def _cross_round(history: DataFrame, codes: list[str]) -> DataFrame:
+    f1, prev = _m("f1"), F.col("prev_f1")
+    rules = {
+        "f1_regression": ("warning", "f1_regression", (f1 < prev) & (prev > 0), prev - f1),
+        "f1_gain": ("positive", "f1_gain", f1 > prev, f1 - prev),
+    }
+    return _tagged(previous_round(history), [rules[c] for c in codes], F.col("iteration"),
+                   model_label(F.col("model_report")))
 
 
 def _run_flags(history: DataFrame) -> DataFrame:
@@ -153,15 +171,15 @@ def _run_flags(history: DataFrame) -> DataFrame:
         F.bool_or(fr.contains("LLM-recommended")).alias("recommended"))
 
 
-def _per_run(history: DataFrame, code: str) -> DataFrame:
+def _per_run(history: DataFrame, codes: list[str]) -> DataFrame:
     flags = _run_flags(history).filter("n_rounds > 1")
-    none_i, none_m = F.lit(None).cast("int"), F.lit(None).cast("string")
-    if code == "feature_set_changed":
-        return _diag(flags.filter("n_sizes > 1"), "insight", code, F.col("n_sizes"), none_i, none_m)
-    if code == "default_only":
-        return _diag(flags.filter("default_only"), "warning", code, F.lit(None), none_i, none_m)
-    return _diag(flags.filter("recommended AND NOT default_only"), "positive", code, F.lit(None),
-                 none_i, none_m)
+    rules = {
+        "feature_set_changed": ("insight", "feature_set_changed", F.col("n_sizes") > 1, F.col("n_sizes")),
+        "default_only": ("warning", "default_only", F.col("default_only"), F.lit(None)),
+        "recommendation_used": ("positive", "recommendation_used",
+                                F.col("recommended") & ~F.col("default_only"), F.lit(None)),
+    }
+    return _tagged(flags, [rules[c] for c in codes], F.lit(None), F.lit(None).cast("string"))
 
 
 def _best(history: DataFrame) -> DataFrame:
@@ -175,17 +193,16 @@ CODES = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox", "f1_
 
 def diagnose(history: DataFrame, codes: list[str] | None = None) -> DataFrame:
     """All diagnostics as (run_id, iteration, level, code, model, value),
-    level in warning / positive / insight."""
+    level in warning / positive / insight. One pass per family: per-round
+    checks, the consecutive-round join, per-run flags, best round."""
+    codes = codes or CODES
     parts = []
-    for code in codes or CODES:
-        if code in ("zero_recall", "low_recall", "zero_precision", "accuracy_paradox"):
-            parts.append(_per_round(history, code))
-        elif code in ("f1_regression", "f1_gain"):
-            parts.append(_cross_round(history, code))
-        elif code == "best_model":
-            parts.append(_best(history))
-        else:
-            parts.append(_per_run(history, code))
+    for family, build in ((PER_ROUND, _per_round), (CROSS_ROUND, _cross_round), (PER_RUN, _per_run)):
+        wanted = [c for c in family if c in codes]
+        if wanted:
+            parts.append(build(history, wanted))
+    if "best_model" in codes:
+        parts.append(_best(history))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
