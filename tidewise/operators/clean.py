@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewise.functions.expressions import (
     STRING_NA, as_number, normalise_text, strip_ws, to_number,
