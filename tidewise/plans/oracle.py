@@ -690,3 +690,13 @@ def _data_summary():
 
 
 _data_summary()
+
+
+def _assemble():
+    order = (["amount", "avg_amount_7d", "prior_transactions_24h", "is_international"] + DEFAULT_FEATURES
+             + [f"{c}_{v}" for c, vals in CATEGORIES.items() for v in vals[1:]])
+    arr = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in order)
+    SQL["assemble"] = with_views(f"SELECT transaction_id, [{arr}] AS features FROM feats_k", "feats_k")
+
+
+_assemble()
