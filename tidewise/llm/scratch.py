@@ -44,3 +44,30 @@ def is_held_out(doc_id, folds: int, fold: int):
     """crc32 of the id as text, modulo ``folds``, equals ``fold``; a null id
     is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held, rows: int, by_class: bool = False) -> DataFrame:
+    """doc_id, text, label, n_class: a bounded sample of the labelled rows that
+    are not held out, one for each distinct text, whole texts.
+
+    About ``rows`` of them in the order of a hash of the text (``by_class``:
+    half of them for either label, as far as there are that many); ``n_class``
+    is how many distinct labelled texts with that label there are in all. Only
+    ids and hashes are shuffled; the chosen ids are few enough to be shipped."""
+    known = labels.filter(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("label"))
+    hashed = docs.filter(~held).select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    texts = hashed.join(known, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("r"))
+    texts = stored(texts.select("h", "r.doc_id", "r.label"), "labelled")
+    counts = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).limit(3).collect()}
+    total = sum(counts.values())
+    want = {k: min(1.0, (rows / len(counts)) / n) if by_class else min(1.0, rows / total) for k, n in counts.items()}
+    share, n_class = F.lit(0.0), F.lit(0)
+    for k in counts:
+        share = F.when(F.col("label") == k, F.lit(want[k])).otherwise(share)
+        n_class = F.when(F.col("label") == k, F.lit(counts[k])).otherwise(n_class)
+    # 2**40 steps: a share is met to within a row
+    chosen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
+    chosen = stored(chosen.select(F.col("doc_id").alias("__id"), "h", "label", n_class.cast("long").alias("n_class")), "chosen")
+    whole = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows_ = attach(whole, chosen, F.col("doc_id") == F.col("__id"))
+    return stored(rows_.dropDuplicates(["h"]).select("doc_id", "h", "text", "label", "n_class"), "sample")
