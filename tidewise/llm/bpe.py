@@ -14,7 +14,8 @@ entries per worker, so a lost executor costs its unfinished batches.
 
 Defined results: null and empty texts have no tokens (digests of nothing);
 repeated rows give repeated results; an empty table gives an empty table;
-columns other than ``doc_id`` and ``text`` are ignored.
+columns other than ``doc_id`` and ``text`` are ignored. Characters that Unicode
+has added since 15.1 may be lowered or parted otherwise than by the library.
 """
 
 from __future__ import annotations
