@@ -37,6 +37,40 @@ def test_order_statistics_bigint(spark):
     assert got == [[2 ** 59, 2 ** 59 + 7 * 99, 2 ** 59 + 7 * 499]]
 
 
+def _jobs(monkeypatch):
+    """Counts the passes over the data."""
+    calls = []
+    for name in ("_narrow", "_split", "_resolve"):
+        monkeypatch.setattr(Q, name, lambda *a, f=getattr(Q, name), **b: (calls.append(1), f(*a, **b))[1])
+    return calls
+
+
+@pytest.mark.parametrize("dtype, values", [
+    ("double", [0.0] * 19_000 + [1.0] * 1_000),
+    ("double", [0.0] * 10_000 + [1.0] * 10_000),
+    ("double", [-1.5] * 9_000 + [-0.0] * 500 + [0.0] * 500 + [5e-324] * 5_000 + [1e308] * 5_000),
+    ("bigint", [7] * 20_000),
+    ("bigint", [-(2**62)] * 6_000 + [0] * 8_000 + [2**62] * 6_000),
+])
+def test_ends_on_repeated_values(spark, monkeypatch, dtype, values):
+    """A value that forms most of the rows, far over the limit, takes a few
+    passes however often it occurs."""
+    calls = _jobs(monkeypatch)
+    df = spark.createDataFrame([(v,) for v in values], f"x {dtype}")
+    ranks = [0, 4_999, 9_999, 10_000, 15_000, 18_999, 19_999]
+    got = Q.order_statistics(df, [(F.col("x"), None)], lambda i, n: ranks, dtype=dtype, limit=50)
+    assert got == [[sorted(values)[k] for k in ranks]]
+    assert len(calls) <= 16
+
+
+def test_many_targets_share_bounded_jobs(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TOTAL", 100)
+    df = spark.createDataFrame([(float(i % 977),) for i in range(2000)], "x double")
+    probs = [i / 8 for i in range(9)]
+    got = Q.quantiles(df, [(F.col("x"), None)], [probs], limit=60)
+    assert np.allclose(got[0], np.quantile([i % 977 for i in range(2000)], probs))
+
+
 def test_empty_series(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert Q.quantiles(df, [(F.col("x"), None)], [[0.5]]) == [[None]]

@@ -8,27 +8,29 @@ statistic (the k-th smallest non-null value of a series) is found by
 bracketing:
 
 1. one aggregate job gives, per series (a column under an optional
-   predicate), the count and an approximate quantile grid
-   (``percentile_approx``, deterministic rank error n/accuracy);
-2. a target whose bracket may hold more than ``LIMIT`` rows is narrowed
-   with another grid computed over the bracket only (each pass shrinks it
-   ~200x);
-3. once a bracket holds at most ``LIMIT`` rows, one job explodes each row
-   into the brackets that contain it and runs
-   ``groupBy(bracket, value).count()``; the driver then receives at most
-   ``LIMIT`` (value, count) pairs per bracket plus the count below it and
-   walks to the exact rank.
+   predicate), count, smallest and largest value and an approximate quantile
+   grid (``percentile_approx``, deterministic rank error n/accuracy);
+2. a target whose bracket may hold more than ``LIMIT`` rows is narrowed with
+   another grid over the bracket (each pass shrinks it ~200x). A bracket whose
+   smallest and largest value agree is the answer, however often the value
+   occurs. A bracket that a pass does not halve, or that misses the rank, is
+   split at PIVOTS values spaced evenly over the 64-bit order of numbers, with
+   exact counts: that shrinks it by PIVOTS whatever the data, so the search
+   ends after at most 11 such passes;
+3. brackets of at most ``LIMIT`` rows are resolved together, as many as hold
+   TOTAL rows: one job explodes each row into the brackets that contain it and
+   runs ``groupBy(bracket, value).count()``; the driver receives at most
+   ``TOTAL`` (value, count) pairs a job (more are never read: such brackets
+   are split instead).
 
 Every bracket is verified (count below <= k < count below + count inside).
-Grid values are widened by a few ulps (``percentile_approx`` works in
-doubles, so 64-bit keys come back rounded); a failed check doubles the
-margin and retries, and gives up with an error after ``MAX_RETRIES``.
 All targets of a step share one scan; ties are compressed by the group-by.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 GRID = 1000
 ACCURACY = 20_000
 LIMIT = 50_000
-MAX_RETRIES = 8
+TOTAL = 200_000
+PIVOTS = 64
 
 
 @dataclass
@@ -47,22 +50,33 @@ class _Target:
     lo: float | int | None = None
     hi: float | int | None = None
     est: int = 0
+    n: int = 0
     value: float | int | None = None
     done: bool = False
-    fails: int = 0
+    split: bool = False
 
 
 def _in(c: Column, lo, hi) -> Column:
-    cond = c.isNotNull()
-    if lo is not None:
-        cond = cond & (c >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
+    return c.isNotNull() & (c >= F.lit(lo)) & (c <= F.lit(hi))
 
 
 def _below(c: Column, lo) -> Column:
-    return c.isNotNull() & (c < F.lit(lo)) if lo is not None else F.lit(False)
+    return c.isNotNull() & (c < F.lit(lo))
+
+
+def _rank(v: float | int, integral: bool) -> int:
+    """The place of a number in the order of all numbers of its type."""
+    if integral:
+        return v
+    bits = struct.unpack(">Q", struct.pack(">d", v))[0]
+    return bits ^ (2 ** 64 - 1) if bits >> 63 else bits | 1 << 63
+
+
+def _value(rank: int, integral: bool) -> float | int:
+    if integral:
+        return rank
+    bits = rank & (2 ** 63 - 1) if rank >> 63 else rank ^ (2 ** 64 - 1)
+    return struct.unpack(">d", struct.pack(">Q", bits))[0]
 
 
 def _widen(v, down: bool, integral: bool):
@@ -73,47 +87,75 @@ def _widen(v, down: bool, integral: bool):
     return w
 
 
-def _bracket(t: _Target, grid, n_in: int, below: int, integral: bool, limit: int) -> None:
+def _found(t: _Target, value) -> None:
+    t.value, t.done = value, True
+
+
+def _bracket(t: _Target, grid, below: int, integral: bool, limit: int) -> None:
     """Choose [lo, hi] around rank ``t.k`` from a grid over the current
-    bracket (``n_in`` rows inside, ``below`` rows under it)."""
-    if n_in <= limit or grid is None:
-        t.est = n_in
+    bracket (``t.n`` rows inside, ``below`` rows under it)."""
+    if t.lo == t.hi:
+        return _found(t, t.lo)
+    if t.n <= limit or grid is None:
+        t.est = t.n
         return
-    margin = 2 * (2 ** t.fails)
-    r = (t.k - below) / max(n_in - 1, 1)
-    j_lo = math.floor(r * GRID) - margin
-    j_hi = math.ceil(r * GRID) + margin
+    r = (t.k - below) / max(t.n - 1, 1)
+    j_lo, j_hi = math.floor(r * GRID) - 2, math.ceil(r * GRID) + 2
     if j_lo > 0:
-        t.lo = _widen(grid[j_lo], True, integral)
+        t.lo = max(t.lo, _widen(grid[j_lo], True, integral))
     if j_hi < GRID:
-        t.hi = _widen(grid[j_hi], False, integral)
+        t.hi = min(t.hi, _widen(grid[j_hi], False, integral))
     span = min(j_hi, GRID) - max(j_lo, 0)
-    t.est = min(n_in, int(n_in * span / GRID + 2 * n_in / ACCURACY) + 1)
-
-
-def _failed(t: _Target, limit: int) -> None:
-    t.fails += 1
-    if t.fails > MAX_RETRIES:
-        raise RuntimeError(f"quantile bracket for rank {t.k} could not be verified")
-    t.lo = t.hi = None
-    t.est = limit + 1
+    t.est = min(t.n, int(t.n * span / GRID + 2 * t.n / ACCURACY) + 1)
 
 
 def _narrow(df, vals, preds, wide, grid_p, integral, limit) -> None:
     aggs = []
     for j, t in enumerate(wide):
         v, p = vals[t.series], preds[t.series]
-        inside = p & _in(v, t.lo, t.hi)
-        aggs += [F.count_if(p & _below(v, t.lo)).alias(f"b{j}"),
-                 F.count_if(inside).alias(f"n{j}"),
-                 F.percentile_approx(F.when(inside, v), grid_p, ACCURACY).alias(f"g{j}")]
+        inside = F.when(p & _in(v, t.lo, t.hi), v)
+        aggs += [F.count_if(p & _below(v, t.lo)).alias(f"b{j}"), F.count(inside).alias(f"n{j}"),
+                 F.min(inside).alias(f"x{j}"), F.max(inside).alias(f"y{j}"),
+                 F.percentile_approx(inside, grid_p, ACCURACY).alias(f"g{j}")]
     row = df.agg(*aggs).first()
     for j, t in enumerate(wide):
-        below, n_in = row[f"b{j}"], row[f"n{j}"]
-        if not (below <= t.k < below + n_in):
-            _failed(t, limit)
+        below, n = row[f"b{j}"], row[f"n{j}"]
+        if not below <= t.k < below + n:
+            t.split = True  # the grid missed the rank: split the whole series
             continue
-        _bracket(t, row[f"g{j}"], n_in, below, integral, limit)
+        t.split, t.n = n > t.n / 2, n
+        t.lo, t.hi = row[f"x{j}"], row[f"y{j}"]
+        if t.lo == t.hi:
+            _found(t, t.lo)
+        elif not t.split:
+            _bracket(t, row[f"g{j}"], below, integral, limit)
+
+
+def _split(df, vals, preds, targets, ends, integral, limit) -> None:
+    """Split each bracket at evenly spaced places of the number order; exact
+    counts below every pivot tell which part holds the rank."""
+    aggs, pivots = [], []
+    for j, t in enumerate(targets):
+        if not t.n:
+            t.lo, t.hi = ends[t.series]
+        a, b = _rank(t.lo, integral), _rank(t.hi, integral)
+        pivots.append(sorted({a + (b - a + 1) * i // PIVOTS for i in range(1, PIVOTS)} - {a}))
+        v, p = vals[t.series], preds[t.series]
+        aggs += [F.count_if(p & _below(v, _value(c, integral))).alias(f"c{j}_{i}") for i, c in enumerate(pivots[j])]
+        aggs += [F.count_if(p & _below(v, t.lo)).alias(f"b{j}"), F.count_if(p & v.isNotNull() & (v <= F.lit(t.hi))).alias(f"e{j}")]
+    row = df.agg(*aggs).first()
+    for j, t in enumerate(targets):
+        if not row[f"b{j}"] <= t.k < row[f"e{j}"]:
+            t.n, t.split = 0, True  # start over from the whole series
+            continue
+        counts = [row[f"b{j}"], *(row[f"c{j}_{i}"] for i in range(len(pivots[j]))), row[f"e{j}"]]
+        edges = [_rank(t.lo, integral), *pivots[j], _rank(t.hi, integral) + 1]
+        i = max(i for i in range(len(counts) - 1) if counts[i] <= t.k)
+        t.lo, t.hi = _value(edges[i], integral), _value(edges[i + 1] - 1, integral)
+        t.n = t.est = counts[i + 1] - counts[i]
+        t.split = t.n > limit
+        if t.lo == t.hi:
+            _found(t, t.lo)
 
 
 def _resolve(df, vals, preds, narrow, dtype: str, limit: int) -> None:
@@ -122,9 +164,13 @@ def _resolve(df, vals, preds, narrow, dtype: str, limit: int) -> None:
     the same bracket share one bracket group."""
     groups: dict[tuple, int] = {}
     members: list[list[_Target]] = []
+    held = 0
     for t in narrow:
         key = (t.series, t.lo, t.hi)
         if key not in groups:
+            if members and held + t.est > TOTAL:
+                continue  # in a later job
+            held += t.est
             groups[key] = len(members)
             members.append([])
         members[groups[key]].append(t)
@@ -132,12 +178,16 @@ def _resolve(df, vals, preds, narrow, dtype: str, limit: int) -> None:
     for (series, lo, hi), j in groups.items():
         v, p = vals[series], preds[series]
         hits.append(F.when(p & _in(v, lo, hi), F.struct(F.lit(j).alias("t"), v.alias("v"))))
-        if lo is not None:
-            hits.append(F.when(p & _below(v, lo),
-                               F.struct(F.lit(j).alias("t"), F.lit(None).cast(dtype).alias("v"))))
+        hits.append(F.when(p & _below(v, lo), F.struct(F.lit(j).alias("t"), F.lit(None).cast(dtype).alias("v"))))
     exploded = df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
+    most = 2 * TOTAL + 2 * len(members)
     counts = (exploded.groupBy(F.col("h.t").alias("t"), F.col("h.v").alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")).collect())
+              .agg(F.count(F.lit(1)).alias("c")).limit(most + 1).collect())
+    if len(counts) > most:  # estimates were far off: exact splits instead
+        for ts in members:
+            for t in ts:
+                t.split = True
+        return
     per: dict[int, list] = {}
     for r in counts:
         per.setdefault(r["t"], []).append((r["v"], r["c"]))
@@ -148,16 +198,15 @@ def _resolve(df, vals, preds, narrow, dtype: str, limit: int) -> None:
         n_in = sum(c for _, c in pairs)
         for t in ts:
             rank = t.k - below
-            if not (0 <= rank < n_in):
-                _failed(t, limit)
+            if not 0 <= rank < n_in:
+                t.split, t.n = True, 0
                 continue
             acc = 0
             for v, c in pairs:
                 acc += c
                 if rank < acc:
-                    t.value = v
+                    _found(t, v)
                     break
-            t.done = True
 
 
 def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None,
@@ -172,11 +221,13 @@ def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None,
     grid_p = [j / GRID for j in range(GRID + 1)]
     aggs = []
     for i, (v, p) in enumerate(zip(vals, preds)):
-        aggs.append(F.count(F.when(p, v)).alias(f"_qn{i}"))
-        aggs.append(F.percentile_approx(F.when(p, v), grid_p, ACCURACY).alias(f"_qg{i}"))
+        x = F.when(p, v)
+        aggs += [F.count(x).alias(f"_qn{i}"), F.min(x).alias(f"_qx{i}"), F.max(x).alias(f"_qy{i}"),
+                 F.percentile_approx(x, grid_p, ACCURACY).alias(f"_qg{i}")]
     row = df.agg(*aggs, *(extra or [])).first()
     if extra_out is not None:
         extra_out.update(row.asDict())
+    ends = [(row[f"_qx{i}"], row[f"_qy{i}"]) for i in range(len(series))]
     targets: list[_Target] = []
     plan = []
     for i in range(len(series)):
@@ -185,16 +236,19 @@ def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None,
             if k is None or not 0 <= k < n:
                 ids.append(None)
                 continue
-            t = _Target(series=i, k=k)
-            _bracket(t, row[f"_qg{i}"], n, 0, integral, limit)
+            t = _Target(series=i, k=k, lo=ends[i][0], hi=ends[i][1], n=n)
+            _bracket(t, row[f"_qg{i}"], 0, integral, limit)
             targets.append(t)
             ids.append(len(targets) - 1)
         plan.append(ids)
     while any(not t.done for t in targets):
-        wide = [t for t in targets if not t.done and t.est > limit]
+        split = [t for t in targets if not t.done and t.split]
+        if split:
+            _split(df, vals, preds, split[:PIVOTS], ends, integral, limit)
+        wide = [t for t in targets if not t.done and not t.split and t.est > limit]
         if wide:
             _narrow(df, vals, preds, wide, grid_p, integral, limit)
-        narrow = [t for t in targets if not t.done and t.est <= limit]
+        narrow = [t for t in targets if not t.done and not t.split and t.est <= limit]
         if narrow:
             _resolve(df, vals, preds, narrow, dtype, limit)
     return [[targets[j].value if j is not None else None for j in ids] for ids in plan]
