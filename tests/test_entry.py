@@ -7,8 +7,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_key_has_a_query():
+    from tidewise.plans.catalog import QUERIES
     q, o = entry.queries(), entry.oracle_sql()
-    assert len(q) == 104
+    assert set(QUERIES) <= set(q) and len(QUERIES) == 104
     assert set(o) <= set(q)
 
 
@@ -16,4 +17,12 @@ def test_plans_push_down(spark):
     from tidewise.plans.catalog import QUERIES
     plan = QUERIES["prior_transactions_24h"](spark, "/root/testdata/sf0.001")._jdf.queryExecution() \
         .executedPlan().toString()
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint" in plan or "ReadSchema" in plan
+    schemas = [line for line in plan.split("ReadSchema: ")[1:]]
+    assert schemas and all("value" not in x.split(">")[0] and "event_type" not in x.split(">")[0] for x in schemas)
+
+
+def test_single_pass_queries_write_nothing(spark):
+    """A query over the raw view reads only the columns it needs."""
+    from tidewise.plans.catalog import QUERIES
+    plan = QUERIES["shape"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "tables/raw" not in plan

@@ -29,3 +29,21 @@ def test_best_round_earliest_on_tie(spark):
 
 def test_f1_change(history_frame):
     assert abs(H.f1_change(history_frame).first()["f1_change"] - 0.15) < 1e-9
+
+
+def test_rounds_are_compared_in_order_over_gaps_and_blocks(spark, monkeypatch):
+    rows = [(1, i, f"Model: M{i}(a=1)", f1) for i, f1 in ((0, 0.5), (2, 0.4), (3, None), (7, 0.6), (9, 0.6))] + [(2, 5, "Model: X", 0.1)]
+    df = spark.createDataFrame(rows, "run_id long, iteration int, model_report string, f1 double")
+    want = [(2, 0.5, "M0(a=1)"), (3, 0.4, "M2(a=1)"), (7, 0.0, "M3(a=1)"), (9, 0.6, "M7(a=1)")]
+    for block in (1024, 4, 1):
+        monkeypatch.setattr(H, "BLOCK", block)
+        got = H.previous_round(df).orderBy("iteration").select("iteration", "prev_f1", "prev_model").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_findings_name_the_compared_rounds(spark):
+    rows = [(1, 0, "Model: A", "", 0.9, 0.8, 0.7, 0.75), (1, 4, "Model: B", "", 0.8, 0.6, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "run_id long, iteration int, model_report string, feature_report string, accuracy double, prec double, recall double, f1 double")
+    found = {r.code: r for r in H.diagnose(df, ["f1_regression", "best_model"]).collect()}
+    assert tuple(found["f1_regression"])[4:9] == ("B", 0.25, "A", 0.75, 0.5)
+    assert tuple(found["best_model"])[4:] == ("A", 0.75, None, None, 0.75, 0.8, 0.7)

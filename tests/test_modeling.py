@@ -86,3 +86,26 @@ def test_rbf_beats_linear_on_ring(spark):
         t = M.train(df, "y", "key", {"model_name": "SVC", "hyperparameters": {"C": 1.0, "kernel": kern}})
         acc[kern] = evaluate(t.test_predictions()).first()["accuracy"]
     assert acc["rbf"] > 0.9 and acc["rbf"] > acc["linear"]
+
+
+def test_split_is_exact_for_repeated_keys(spark):
+    from tidewise.operators import modeling as M
+    df = spark.range(1000).selectExpr("cast(id % 2 as double) as y", "concat('k', cast(id % 4 as string)) as k", "id as x")
+    n = {(r.y, r.split): r["count"] for r in M.stratified_split(df, "y", "k").groupBy("y", "split").count().collect()}
+    assert n == {(0.0, "test"): 100, (0.0, "train"): 400, (1.0, "test"): 100, (1.0, "train"): 400}
+
+
+def test_many_classes(spark, monkeypatch):
+    from tidewise.operators import modeling as M
+    monkeypatch.setattr(M, "CLASSES_AT_ONCE", 3)
+    df = spark.range(400).selectExpr("cast(id % 8 as double) as y", "id as k")
+    n = {r.y: r["count"] for r in M.stratified_split(df, "y", "k").filter("split = 'test'").groupBy("y").count().collect()}
+    assert n == {float(i): 10 for i in range(8)}
+
+
+def test_key_is_not_the_target(spark):
+    from tidewise.roles import Roles
+    df = spark.createDataFrame([(1, 2.0)], "y int, x double")
+    with pytest.raises(ValueError):
+        Roles.infer(df, "y", "y")
+    assert Roles.infer(df, "y").key == "x"

@@ -81,3 +81,33 @@ def test_box_stats(spark):
     q1, q3 = np.percentile(arr, [25, 75])
     assert b[0.0]["q1"] == round(q1, 6) and b[0.0]["n_fliers"] == 1
     assert b[0.0]["whisker_hi"] == 19.0
+
+
+def test_nothing_is_cut(spark, monkeypatch):
+    """Ten numeric columns, 300 target values and more groups than one step
+    takes give full results."""
+    from tidewise.operators import profile as P
+    monkeypatch.setattr(P, "GROUPS_AT_ONCE", 4)
+    df = spark.range(600).selectExpr(*[f"(id * {7 + i}) % 101 as c{i}" for i in range(10)], "id % 9 as g", "cast(id % 300 as double) as y")
+    q = P.target_quality(df, "y").first()
+    assert q["n_unexpected"] == 298 and len(q["unexpected_values"].split(",")) == 298 and len(q["distinct_values"].split(",")) == 300
+    assert P.histograms(df.drop("g", "y"), bins=3).select("column").distinct().count() == 10
+    box = P.box_stats(df.select("c0", "c1", "c2", "c3", "c4", "g"), by="g")
+    assert box.count() == 45
+
+
+def test_summaries_do_not_copy_rows_per_column(spark):
+    from tidewise.operators import profile as P
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("a", 2.0), (None, 2.0)], "s string, x double")
+    summary = P.column_summary(df)
+    assert "Expand" not in summary._jdf.queryExecution().executedPlan().toString()
+    assert [(r.column, r.non_null, r.n_unique) for r in summary.orderBy("position").collect()] == [("s", 3, 2), ("x", 3, 2)]
+    row = P.describe(df, include="all").filter("column = 's'").first()
+    assert (row["count"], row["unique"], row["top"], row["freq"]) == (3, 2, "a", 2)
+
+
+def test_text_target_is_not_missing(spark):
+    from tidewise.operators import profile as P
+    df = spark.createDataFrame([("1",), ("0",), ("x",), (None,)] * 5, "y string")
+    found = {r["kind"]: r["n"] for r in P.issues(df, "y").collect()}
+    assert found["target_missing"] == 5

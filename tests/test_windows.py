@@ -2,12 +2,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewise.functions.expressions import micros
-from tidewise.operators.windows import trailing_avg, velocity
+from tidewise.operators.windows import trailing, trailing_avg, velocity
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_bucketed_windows_equal_plain_range_windows(spark):
+def test_prefix_sums_equal_plain_range_windows(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     t = micros(F.col("ts"))
     day = 86_400_000_000
@@ -27,3 +27,23 @@ def test_ties_count_as_peers(spark):
     df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = sorted(r[0] for r in velocity(df).select("prior_transactions_24h").collect())
     assert got == [0, 1, 1, 2]
+
+
+def test_rows_without_time_are_peers(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (1, None, 4.0), (1, "2024-01-01 00:00:00", 6.0), (2, None, 1.0), (None, "2024-01-01 00:00:00", 3.0)],
+                               "user_id int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = sorted(map(tuple, trailing_avg(velocity(df)).select("value", "prior_transactions_24h", "avg_amount_7d").collect()))
+    assert got == [(1.0, 0, 1.0), (2.0, 1, 3.0), (3.0, 0, 3.0), (4.0, 1, 3.0), (6.0, 0, 6.0)]
+
+
+def test_missing_values_and_slices(spark):
+    """Slices far narrower than the frame; NULL values do not count in a mean."""
+    rows = [(1, f"2024-01-0{d} {h:02d}:30:00", None if h % 5 == 0 else float(d * h)) for d in range(1, 6) for h in range(0, 24, 3)]
+    df = spark.createDataFrame(rows, "user_id int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    t = micros(F.col("ts"))
+    w = Window.partitionBy("user_id").orderBy(t).rangeBetween(-86_400_000_000, 0)
+    want = df.select("ts", (F.count(F.lit(1)).over(w) - 1).alias("n"), F.avg("value").over(w).alias("a")).orderBy("ts").collect()
+    for slice_us in (600_000_000, 3_600_000_000, 10**15):
+        got = trailing(df, "user_id", "ts", {"n": (1, None), "a": (1, "value")}, slice_us).select("ts", "n", "a").orderBy("ts").collect()
+        assert [(r.ts, r.n) for r in got] == [(r.ts, r.n) for r in want]
+        assert all((x.a is None) == (y.a is None) and (x.a is None or abs(x.a - y.a) < 1e-9) for x, y in zip(got, want))

@@ -2,11 +2,12 @@
 one row per (run, iteration): ``run_id, iteration, model_name,
 model_report, feature_report, accuracy, prec, recall, f1, should_stop``.
 
-Per-run checks are windows or groups. The consecutive-round comparison is
-an equi-join of each round with round ``iteration - 1`` of the same run
-(iterations are consecutive by construction), so it shuffles on the
-(run, iteration) pair and a run with millions of rounds is spread evenly;
-per-run flags are algebraic aggregates with map-side combine.
+Per-run checks are windows or groups. A round is compared with the one before
+it in order of iteration, whatever gaps the numbering has: a window per run and
+block of BLOCK iterations, and for a block's first round the last round of the
+block before, from a table of one row per block. So a run with millions of
+rounds is spread over its blocks; per-run flags are algebraic aggregates with
+map-side combine.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from tidewise.operators.recommend import VALID_FEATURES
 F1_THRESHOLD = 0.85
 MAX_ITERATIONS = 3
 
-DIAG_COLS = ["run_id", "iteration", "level", "code", "model", "value"]
+#: Iterations of a run that one window partition holds.
+BLOCK = 1024
+
+# what a finding tells besides its value: the compared rounds, the best round's figures
+DETAILS = ["previous_model", "previous_f1", "f1", "precision", "recall"]
+DIAG_COLS = ["run_id", "iteration", "level", "code", "model", "value", *DETAILS]
 
 
 def model_label(report: Column) -> Column:
@@ -105,25 +111,21 @@ def f1_change(history: DataFrame) -> DataFrame:
     return g.filter("n_rounds > 1").select("run_id", "n_rounds", F.round("f1_change", 6).alias("f1_change"))
 
 
-def _diag(df: DataFrame, level: str, code: str, value: Column, iteration: Column | None = None,
-          model: Column | None = None) -> DataFrame:
-    return df.select("run_id",
-                     (iteration if iteration is not None else F.col("iteration")).cast("int").alias("iteration"),
-                     F.lit(level).alias("level"), F.lit(code).alias("code"),
-                     (model if model is not None else model_label(F.col("model_report"))).alias("model"),
-                     F.round(value.cast("double"), 6).alias("value"))
+def _details(**known: Column) -> list[Column]:
+    return [known[c].alias(c) if c in known else F.lit(None).cast("string" if c == "previous_model" else "double").alias(c)
+            for c in DETAILS]
 
 
 def _tagged(df: DataFrame, rules: list[tuple[str, str, Column, Column]], iteration: Column,
-            model: Column) -> DataFrame:
+            model: Column, **known: Column) -> DataFrame:
     """One pass over ``df``: every row emits one tagged row per rule it
     matches (level, code, value) — several diagnostics, one scan."""
     hits = [F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"),
                                   F.round(value.cast("double"), 6).alias("value")))
             for level, code, cond, value in rules]
-    return (df.select("run_id", iteration.cast("int").alias("iteration"), model.alias("model"),
+    return (df.select("run_id", iteration.cast("int").alias("iteration"), model.alias("model"), *_details(**known),
                       F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("d"))
-            .select("run_id", "iteration", "d.level", "d.code", "model", "d.value"))
+            .select("run_id", "iteration", "d.level", "d.code", "model", "d.value", *DETAILS))
 
 
 PER_ROUND = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox"]
@@ -144,11 +146,17 @@ def _per_round(history: DataFrame, codes: list[str]) -> DataFrame:
 
 
 def previous_round(history: DataFrame) -> DataFrame:
-    """Each round with the F1 and model of the round before it (same run)."""
-    prev = history.select("run_id", (F.col("iteration") + 1).alias("iteration"),
-                          _m("f1").alias("prev_f1"),
-                          model_label(F.col("model_report")).alias("prev_model"))
-    return history.join(prev, ["run_id", "iteration"])
+    """Each round but a run's first with the F1 and model of the round before
+    it, the nearest smaller iteration of the run."""
+    own = F.struct(_m("f1").alias("f1"), model_label(F.col("model_report")).alias("model"))
+    rounds = history.withColumns({"_block": F.floor(F.col("iteration") / BLOCK), "_own": own})
+    inside = F.lag("_own").over(Window.partitionBy("run_id", "_block").orderBy("iteration"))
+    last = rounds.groupBy("run_id", "_block").agg(F.max_by("_own", "iteration").alias("_last"))
+    before = last.select("run_id", "_block", F.lag("_last").over(Window.partitionBy("run_id").orderBy("_block")).alias("_before"))
+    rounds = rounds.withColumn("_inside", inside).join(before, ["run_id", "_block"])
+    prev = F.coalesce("_inside", "_before")
+    return (rounds.select(*history.columns, prev["f1"].alias("prev_f1"), prev["model"].alias("prev_model"))
+            .filter("prev_f1 is not null"))
 
 
 def _cross_round(history: DataFrame, codes: list[str]) -> DataFrame:
@@ -158,7 +166,8 @@ def _cross_round(history: DataFrame, codes: list[str]) -> DataFrame:
         "f1_gain": ("positive", "f1_gain", f1 > prev, f1 - prev),
     }
     return _tagged(previous_round(history), [rules[c] for c in codes], F.col("iteration"),
-                   model_label(F.col("model_report")))
+                   model_label(F.col("model_report")),
+                   previous_model=F.col("prev_model"), previous_f1=prev, f1=f1)
 
 
 def _run_flags(history: DataFrame) -> DataFrame:
@@ -184,7 +193,8 @@ def _per_run(history: DataFrame, codes: list[str]) -> DataFrame:
 
 def _best(history: DataFrame) -> DataFrame:
     b = best_round(history).filter(_m("f1") > 0)
-    return _diag(b, "insight", "best_model", _m("f1"))
+    return _tagged(b, [("insight", "best_model", F.lit(True), _m("f1"))], F.col("iteration"),
+                   model_label(F.col("model_report")), f1=_m("f1"), precision=_m("prec"), recall=_m("recall"))
 
 
 CODES = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox", "f1_regression",

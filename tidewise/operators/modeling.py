@@ -58,34 +58,56 @@ def split_hash(key: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(hexd, 1, 15), 16, 10).cast("bigint")
 
 
+#: Classes whose cuts are searched in one step.
+CLASSES_AT_ONCE = 32
+
+
 def stratified_split(df: DataFrame, target: str, key: str, frac: float = 0.2,
-                     seed: int = SEED, max_classes: int = 1000) -> DataFrame:
+                     seed: int = SEED) -> DataFrame:
     """Adds ``split`` = test / train: per class exactly ceil(frac * n_class)
-    rows go to test, chosen by the seeded hash order of ``key``. The cut
-    per class is the k-th smallest hash, found with the bracketing order
-    statistic (aggregates only); the split itself is then a projection —
-    no window over a two-key partition, no shuffle of the rows."""
-    h = split_hash(F.col(key), seed)
-    found = (df.select(F.col(target).cast("double").alias("c")).filter("c IS NOT NULL").distinct()
-             .limit(max_classes + 1).collect())
-    if len(found) > max_classes:
-        raise ValueError(f"stratified_split: more than {max_classes} classes")
-    classes = sorted(r[0] for r in found)
-    series = [(h, F.col(target).cast("double") == F.lit(c)) for c in classes]
-    cuts = order_statistics(df, series, lambda i, n: [math.ceil(frac * n) - 1], dtype="bigint")
-    cond = F.lit(False)
-    for c, cut in zip(classes, cuts):
-        if cut[0] is not None:
-            cond = cond | ((F.col(target).cast("double") == F.lit(c)) & (h <= F.lit(int(cut[0]))))
-    return df.withColumn("split", F.when(cond, "test").otherwise("train"))
+    rows go to test, chosen by the seeded hash order of ``key``; rows that
+    repeat the key at the cut are ordered by a hash of the whole row (rows
+    equal in every column stay together). The cuts are order statistics
+    (aggregates only), CLASSES_AT_ONCE classes a step; the split joins the
+    small table of cuts — no window, no row is moved by class."""
+    if key == target:
+        raise ValueError("stratified_split: the key must not be the target")
+    cls = F.col(target).cast("double")
+    h, h2 = split_hash(F.col(key), seed), F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns])
+    classes = sorted(r[0] for r in df.select(cls.alias("c")).filter("c IS NOT NULL").distinct().collect())
+    cuts: list[tuple] = []
+    for at in range(0, len(classes), CLASSES_AT_ONCE):
+        some = classes[at: at + CLASSES_AT_ONCE]
+        part = df.filter(cls.isin(some)) if len(classes) > CLASSES_AT_ONCE else df
+        wanted: dict[int, int] = {}
+
+        def rank(i, n):
+            wanted[i] = math.ceil(frac * n)
+            return [wanted[i] - 1]
+
+        found = order_statistics(part, [(h, cls == F.lit(c)) for c in some], rank, dtype="bigint")
+        cut = {i: f[0] for i, f in enumerate(found) if f[0] is not None}
+        if not cut:
+            continue
+        tied = {i: (cls == F.lit(some[i])) & (h == F.lit(int(v))) for i, v in cut.items()}
+        row = part.agg(*[F.count_if((cls == F.lit(some[i])) & (h < F.lit(int(v)))).alias(f"b{i}") for i, v in cut.items()],
+                       *[F.count_if(t).alias(f"t{i}") for i, t in tied.items()]).first()
+        split = [i for i in cut if row[f"b{i}"] + row[f"t{i}"] > wanted[i]]
+        second = dict(zip(split, order_statistics(part, [(h2, tied[i]) for i in split],
+                                                  lambda j, n: [wanted[split[j]] - row[f"b{split[j]}"] - 1], dtype="bigint"))) if split else {}
+        cuts += [(some[i], int(v), second[i][0] if i in second else None) for i, v in cut.items()]
+    table = df.sparkSession.createDataFrame(cuts, "_cls double, _cut bigint, _cut2 bigint")
+    marked = df.withColumns({"_h": h, "_h2": h2}).join(table, cls == F.col("_cls"), "left")
+    test = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("_cut2").isNull() | (F.col("_h2") <= F.col("_cut2"))))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train").alias("split"))
 
 
 def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """weight = n / (k * n_class): class counts (k rows) broadcast-joined."""
+    """weight = n / (k * n_class), joined from the table of class counts."""
     counts = df.groupBy(F.col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(tot).select("_cls", (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), df[target] == w["_cls"], "left").drop("_cls")
+    return df.join(w, df[target] == w["_cls"], "left").drop("_cls")
 
 
 @dataclass

@@ -59,8 +59,6 @@ def describe(df: DataFrame, cols: list[str] | None = None, include: str = "numbe
             x = _c(c).cast("double")
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        else:
-            aggs.append(F.count_distinct(_c(c)).alias(f"u{i}"))
     row: dict = {}
     qs = quantiles(df, [(_c(c), None) for c in num], [[0.25, 0.5, 0.75]] * len(num),
                    extra=aggs, extra_out=row)
@@ -74,8 +72,8 @@ def describe(df: DataFrame, cols: list[str] | None = None, include: str = "numbe
             out.append((c, row[f"n{i}"], None, None, None, r6(row[f"m{i}"]), r6(row[f"s{i}"]),
                         row[f"lo{i}"], r6(q[0]), r6(q[1]), r6(q[2]), row[f"hi{i}"]))
         else:
-            top, freq = tops.get(c, (None, None))
-            out.append((c, row[f"n{i}"], row[f"u{i}"], top, freq) + (None,) * 7)
+            top, freq, unique = tops.get(c, (None, None, 0))
+            out.append((c, row[f"n{i}"], unique, top, freq) + (None,) * 7)
     schema = ("column string, count bigint, unique bigint, top string, freq bigint, mean double, "
               "std double, min double, q25 double, q50 double, q75 double, max double")
     res = df.sparkSession.createDataFrame(out, schema)
@@ -90,19 +88,25 @@ def _round_half_up(v: float | None, places: int = 6) -> float | None:
     return float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP))
 
 
-def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None]]:
-    """Most frequent value and its count per column (smallest value on a
-    tie), from one distributed (column, value) group-by."""
-    if not cols:
-        return {}
+def value_groups(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(k, v, n): how often each value (as text) of each column occurs, one
+    shuffle of (column, value) counts with map-side combine."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _c(c).cast("string").alias("v"))
                                 for c in cols]))
-    counted = (df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL")
-               .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
-    best = counted.groupBy("k").agg(
-        F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("m"), F.col("v"))).alias("b"))
-    found = {r["k"]: (r["b"]["v"], r["b"]["n"]) for r in best.collect()}
-    return {c: found.get(c, (None, None)) for c in cols}
+    return (df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL")
+            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None, int]]:
+    """Per column the most frequent value (the smallest on a tie), its count
+    and the number of different values."""
+    if not cols:
+        return {}
+    best = value_groups(df, cols).groupBy("k").agg(
+        F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("m"), F.col("v"))).alias("b"),
+        F.count(F.lit(1)).alias("u"))
+    found = {r["k"]: (r["b"]["v"], r["b"]["n"], r["u"]) for r in best.collect()}
+    return {c: found.get(c, (None, None, 0)) for c in cols}
 
 
 # ---- target --------------------------------------------------------------------
@@ -134,18 +138,18 @@ def positive_rate(df: DataFrame, target: str, rule: str = "valid") -> DataFrame:
                                  F.lit(0.0))).alias("positive_rate"))
 
 
-def target_quality(df: DataFrame, target: str, max_values: int = 100) -> DataFrame:
-    """Distinct target values (sorted, first ``max_values`` listed), their
-    number, missing count and values outside {0, 1}. Distinct values come
-    from a distributed group-by; only the listing is capped."""
+def target_quality(df: DataFrame, target: str) -> DataFrame:
+    """Distinct target values (sorted), their number, missing count and values
+    outside {0, 1}. Distinct values come from a distributed group-by; the two
+    lists in the result are as long as there are different values."""
     t = _c(target).cast("double")
-    vals = (df.select(t.alias("v")).filter("v IS NOT NULL").distinct())
-    listed = vals.orderBy("v").limit(max_values).agg(F.sort_array(F.collect_list("v")).alias("vals"))
+    vals = df.filter(t.isNotNull()).groupBy(t.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     stats = vals.agg(F.count(F.lit(1)).alias("n_distinct"),
-                     F.count_if(~F.col("v").isin(0.0, 1.0)).alias("n_unexpected"))
+                     F.count_if(~F.col("v").isin(0.0, 1.0)).alias("n_unexpected"),
+                     F.sort_array(F.collect_list("v")).alias("vals"))
     missing = df.agg(F.count_if(t.isNull()).alias("n_missing"))
     tostr = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    return (stats.crossJoin(missing).crossJoin(listed)
+    return (stats.crossJoin(missing)
             .select("n_distinct", tostr(F.col("vals")).alias("distinct_values"), "n_missing",
                     "n_unexpected",
                     tostr(F.filter("vals", lambda x: ~x.isin(0.0, 1.0))).alias("unexpected_values")))
@@ -280,18 +284,23 @@ def cardinality(df: DataFrame, cols: list[str] | None = None, key: str = "transa
 # ---- summary tables ------------------------------------------------------------------
 
 def column_summary(df: DataFrame) -> DataFrame:
-    """Per column: type, non-missing count, % missing (1 decimal), distinct count."""
+    """Per column: type, non-missing count, % missing (1 decimal), distinct
+    count. Counts are one plain aggregate; distinct values come from the
+    (column, value) group count, not from a copy of each row per column."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count(_c(c)).alias(f"nn{i}"), F.count_distinct(_c(c)).alias(f"u{i}")]
+        aggs.append(F.count(_c(c)).alias(f"nn{i}"))
     one = df.agg(*aggs)
-    return _rows(one, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+    rows = _rows(one, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                                 F.lit(f.dataType.simpleString()).alias("type"),
                                 F.col(f"nn{i}").alias("non_null"),
-                                F.round((F.col("_n") - F.col(f"nn{i}")) * 100.0 / F.col("_n"), 1)
-                                .alias("missing_pct"),
-                                F.col(f"u{i}").alias("n_unique"))
+                                F.round(F.try_divide((F.col("_n") - F.col(f"nn{i}")) * 100.0, F.col("_n")), 1)
+                                .alias("missing_pct"))
                        for i, (c, f) in enumerate(zip(df.columns, df.schema.fields))])
+    distinct = value_groups(df, df.columns).groupBy("k").agg(F.count(F.lit(1)).alias("n_unique"))
+    return (rows.join(distinct, rows["column"] == distinct["k"], "left")
+            .select("position", "column", "type", "non_null", "missing_pct",
+                    F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique")))
 
 
 def overview(df: DataFrame, target: str) -> DataFrame:
@@ -324,6 +333,8 @@ def issues(df: DataFrame, target: str, top: int = 5) -> DataFrame:
     Severity: worst missing %, duplicate %, missing-target %, 90 for
     unexpected target values, 80 for imbalance (< 10 %), the worst outlier
     count (>= 10 values, target included). Ties keep the list order.
+    ``df`` has the target as read: text that is no number is a stray value
+    there, not a missing one. The outlier issue names the three worst columns.
     Three scans: one aggregate (missing counts, target checks, outlier
     moments), the outlier counts against the broadcast moments, and the
     duplicate group count."""
@@ -331,10 +342,10 @@ def issues(df: DataFrame, target: str, top: int = 5) -> DataFrame:
     cols = df.columns
     n_cols = len(cols)
     num = numeric_columns(df)
-    t = _c(target).cast("double")
+    t = as_number(_c(target), df.schema[target].dataType)
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(_c(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.count_if(t.isNull()).alias("_tnan"),
+    aggs += [F.count_if(_c(target).isNull()).alias("_tnan"),
              F.coalesce(F.try_divide(F.count_if(t == 1) * 100.0, F.count(t)), F.lit(0.0)).alias("_rate"),
              F.count_distinct(F.when(~t.isin(0.0, 1.0), t)).alias("_unexp")]
     for i, c in enumerate(num):
@@ -353,8 +364,9 @@ def issues(df: DataFrame, target: str, top: int = 5) -> DataFrame:
                      F.col(f"cnt{i}").alias("cnt")) for i, c in enumerate(num)])).alias("e")).select("e.*") \
             .filter("o > 0 AND cnt >= 10")
         w = Window.partitionBy().orderBy(F.desc("o"), F.asc("pos"))
-        outl = per.select(F.col("col").alias("_ocol"), F.col("o").alias("_on"),
-                          F.row_number().over(w).alias("_r")).filter("_r = 1").drop("_r")
+        worst3 = per.select("col", "o", F.row_number().over(w).alias("r")).filter("r <= 3")
+        outl = worst3.agg(F.max("o").alias("_on"), F.array_join(F.transform(
+            F.sort_array(F.collect_list(F.struct("r", "col"))), lambda x: x["col"]), ", ").alias("_ocol")).filter("_on is not null")
     else:
         outl = df.sparkSession.createDataFrame([], "_ocol string, _on bigint")
     worst = F.greatest(*[F.col(f"m{i}") for i in range(n_cols)]) if n_cols > 1 else F.col("m0")
@@ -391,13 +403,13 @@ def issues(df: DataFrame, target: str, top: int = 5) -> DataFrame:
 # ---- distributions ------------------------------------------------------------------
 
 def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = 30,
-               target: str | None = None, max_cols: int = 8) -> DataFrame:
+               target: str | None = None) -> DataFrame:
     """Equal-width histograms (numpy edges; the maximum falls in the last
     bin; a constant column spans [v - 0.5, v + 0.5]); empty bins included.
-    (column, bin, lo, hi, n). Bins are counted with one explode of the
-    <= ``max_cols`` values per row into (column, bin) and a partial +
-    final group count."""
-    cols = (cols or numeric_columns(df, target))[:max_cols]
+    (column, bin, lo, hi, n), for every numeric column unless ``cols`` says
+    which. Bins are counted with one explode of a row's values into
+    (column, bin) and a partial + final group count."""
+    cols = cols or numeric_columns(df, target)
     mm = df.agg(*[F.min(_c(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
                 *[F.max(_c(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)])
     lo = [F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}") - 0.5).otherwise(F.col(f"a{i}"))
@@ -445,30 +457,33 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _rows(one, entries)
 
 
-def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud",
-              max_cols: int = 4, max_groups: int = 1000) -> DataFrame:
+#: Groups whose quartiles are searched in one step (each is a few aggregates).
+GROUPS_AT_ONCE = 32
+
+
+def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud") -> DataFrame:
     """Box-plot numbers per group value: exact quartiles, whiskers at the
-    furthest values within 1.5 IQR, flier count. The group values are a
-    distributed distinct (count checked before collecting); quartiles per
-    (group, column) come from the bracketing quantile routine; the second
-    pass joins the tiny per-group table by broadcast and aggregates."""
-    cols = (cols or numeric_columns(df, by))[:max_cols]
+    furthest values within 1.5 IQR, flier count, for every numeric column
+    unless ``cols`` says which. The group values are a distributed distinct;
+    quartiles per (group, column) come from the bracketing quantile routine,
+    GROUPS_AT_ONCE groups a step; the second pass joins the per-group table
+    and aggregates."""
+    cols = cols or numeric_columns(df, by)
     g = _c(by).cast("double")
-    found = df.select(g.alias("g")).filter("g IS NOT NULL").distinct().limit(max_groups + 1).collect()
-    if len(found) > max_groups:
-        raise ValueError(f"box_stats: more than {max_groups} groups")
-    groups = sorted(r["g"] for r in found)
-    series = [(_c(c), g == F.lit(v)) for v in groups for c in cols]
-    qs = quantiles(df, series, [[0.25, 0.5, 0.75]] * len(series))
+    groups = sorted(r["g"] for r in df.select(g.alias("g")).filter("g IS NOT NULL").distinct().collect())
     spark = df.sparkSession
     rows = []
-    for (v, c), q in zip([(v, c) for v in groups for c in cols], qs):
-        rows.append((v, c, q[0], q[1], q[2]))
+    for at in range(0, len(groups), GROUPS_AT_ONCE):
+        some = groups[at: at + GROUPS_AT_ONCE]
+        part = df.filter(g.isin(some)) if len(groups) > GROUPS_AT_ONCE else df
+        series = [(_c(c), g == F.lit(v)) for v in some for c in cols]
+        qs = quantiles(part, series, [[0.25, 0.5, 0.75]] * len(series))
+        rows += [(v, c, q[0], q[1], q[2]) for (v, c), q in zip([(v, c) for v in some for c in cols], qs)]
     qdf = spark.createDataFrame(rows, "g double, column string, q1 double, med double, q3 double")
     wide = qdf.groupBy("g").pivot("column", cols).agg(
         F.first("q1").alias("q1"), F.first("q3").alias("q3"))
     joined = df.select(g.alias("g"), *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
-        .join(F.broadcast(wide), "g")
+        .join(wide, "g")
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"x{i}")
@@ -481,7 +496,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud"
                         F.col(f"wh{i}").alias("whisker_hi"), F.col(f"fl{i}").alias("n_fliers"))
                for i, c in enumerate(cols)]
     long = second.select("g", F.explode(F.array(*entries)).alias("e")).select("g", "e.*")
-    return (long.join(F.broadcast(qdf), ["g", "column"])
+    return (long.join(qdf, ["g", "column"])
             .select(F.col("g").alias(by), "column", _r6(F.col("q1")).alias("q1"),
                     _r6(F.col("med")).alias("median"), _r6(F.col("q3")).alias("q3"),
                     "whisker_lo", "whisker_hi", "n_fliers"))

@@ -75,9 +75,7 @@ def _get(v: Column, path: str) -> Column:
 def parse_responses(df: DataFrame, text: str = "response_text") -> DataFrame:
     """Adds ``body`` (cleaned text), ``raw`` (VARIANT or NULL) and ``ok``
     (the text is a JSON object)."""
-    body = clean_text(F.col(text))
-    v = F.try_parse_json(body)
-    return (df.withColumn("body", body).withColumn("raw", v)
+    return (df.withColumn("body", clean_text(F.col(text))).withColumn("raw", F.try_parse_json(F.col("body")))
             .withColumn("ok", F.coalesce(_kind(F.col("raw")) == "OBJECT", F.lit(False))))
 
 
@@ -98,41 +96,43 @@ def valid_model(raw: Column, ok: Column) -> Column:
     return F.when(ok & name.isin(*VALID_MODELS), name).otherwise(F.lit(DEFAULT_MODEL))
 
 
-def clamp_hyperparameters(raw: Column, ok: Column) -> dict[str, Column]:
-    """One column per hyperparameter: kept only for the chosen model,
-    numbers (JSON numbers only; booleans and text are not) clamped into the
-    range and cast to its type (int: truncation), enum values outside the
-    list dropped. A valid model whose hyperparameters are not an object
-    keeps the default {n_estimators: 100}."""
-    model = valid_model(raw, ok)
+def uses_hyperparameters(raw: Column, ok: Column) -> Column:
+    """Whether a reply's hyperparameters count: its model is a known one and
+    they are an object or missing."""
     mc_ok = ok & (_kind(_get(raw, "$.model_config")) == "OBJECT")
     name_valid = mc_ok & F.try_variant_get(raw, "$.model_config.model_name", "string").isin(*VALID_MODELS)
     hp_obj = _kind(_get(raw, "$.model_config.hyperparameters")) == "OBJECT"
     hp_absent = _get(raw, "$.model_config.hyperparameters").isNull()
-    use_hp = F.coalesce(name_valid & (hp_obj | hp_absent), F.lit(False))  # missing -> {}
+    return F.coalesce(name_valid & (hp_obj | hp_absent), F.lit(False))  # missing -> {}
+
+
+def clamp_hyperparameters(raw: Column, model: Column, use_hp: Column) -> dict[str, Column]:
+    """One column per hyperparameter, from the columns ``valid_model`` and
+    ``uses_hyperparameters``: kept only for the chosen model,
+    numbers (JSON numbers only; booleans and text are not) clamped into the
+    range and cast to its type (int: truncation), enum values outside the
+    list dropped. A valid model whose hyperparameters are not an object
+    keeps the default {n_estimators: 100}."""
     out = {}
     for p, typ in PARAMS.items():
         path = f"$.model_config.hyperparameters.{p}"
-        val = _get(raw, path)
-        branches = None
-        for m, spec in VALID_MODELS.items():
-            if p not in spec:
-                continue
-            rule = spec[p]
-            if isinstance(rule, tuple):
-                lo, hi = rule
-                x = F.try_variant_get(raw, path, "double")
-                clamped = F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
-                expr = F.when(_kind(val) == "NUMBER", clamped.cast(typ))
-            else:
-                s = F.try_variant_get(raw, path, "string")
-                expr = F.when((_kind(val) == "STRING") & s.isin(*rule), s)
-            cond = use_hp & (model == m)
-            branches = F.when(cond, expr) if branches is None else branches.when(cond, expr)
+        kind = _kind(_get(raw, path))
+        rules = {m: spec[p] for m, spec in VALID_MODELS.items() if p in spec}
+        ranges = {m: r for m, r in rules.items() if isinstance(r, tuple)}
+        if ranges:  # the model's limits by one small map, the value read once
+            limits = F.create_map(*[x for m, (lo, hi) in ranges.items()
+                                    for x in (F.lit(m), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")))])
+            limit = F.try_element_at(limits, model)
+            x = F.try_variant_get(raw, path, "double")
+            kept = F.when((kind == "NUMBER") & limit.isNotNull(), F.greatest(limit["lo"], F.least(limit["hi"], x)).cast(typ))
+        else:
+            s = F.try_variant_get(raw, path, "string")
+            kept = F.when((kind == "STRING") & F.lit(False), s)
+            for m, allowed in rules.items():
+                kept = F.when((model == m) & (kind == "STRING") & s.isin(*allowed), s).otherwise(kept)
         default = DEFAULT_HYPERPARAMETERS.get(p)
         fallback = F.lit(default).cast(typ) if default is not None else F.lit(None).cast(typ)
-        out[p] = (branches.otherwise(F.when(~use_hp, fallback)) if branches is not None
-                  else F.when(~use_hp, fallback)).cast(typ)
+        out[p] = F.when(use_hp, kept).otherwise(fallback).cast(typ)
     return out
 
 
@@ -153,13 +153,13 @@ def reasoning(raw: Column, ok: Column) -> Column:
 def validate(df: DataFrame, text: str = "response_text") -> DataFrame:
     """All rules as one projection: features, model, hyperparameters,
     stop flag, reasoning; the fallback recommendation where parsing failed."""
-    p = parse_responses(df, text)
     raw, ok = F.col("raw"), F.col("ok")
-    hp = clamp_hyperparameters(raw, ok)
+    p = parse_responses(df, text).withColumns({"_model": valid_model(raw, ok), "_use_hp": uses_hyperparameters(raw, ok)})
+    hp = clamp_hyperparameters(raw, F.col("_model"), F.col("_use_hp"))
     return p.select(
         *[c for c in df.columns if c != text], "ok",
         valid_features(raw, ok).alias("features_to_add"),
-        valid_model(raw, ok).alias("model_name"),
+        F.col("_model").alias("model_name"),
         *[c.alias(n) for n, c in hp.items()],
         valid_stop(raw, ok).alias("should_stop"),
         reasoning(raw, ok).alias("reasoning"))

@@ -1,58 +1,78 @@
-"""Trailing time-window features per entity.
-
-``count(*) OVER (PARTITION BY user ORDER BY ts RANGE <w> PRECEDING)`` puts
-every row of one user into one task; a user holding a third of the table
-would hold a third of the work. Instead each row is placed in the time
-bucket (width = the widest frame) it falls in and copied once into the next
-bucket as read-only context. A frame ``[ts - w, ts]`` never reaches further
-back than the previous bucket, so a window partitioned by
-``(user, bucket)`` over own + context rows gives exactly the same numbers,
-while a hot user is spread over as many tasks as it has buckets.
-Cost: one scan, one shuffle of 2x the projected rows, all frames computed in
-the same window stage.
+"""Trailing time-window features per entity by prefix sums.
+
+A sliding RANGE frame is summed again for every row, which is quadratic for a
+busy entity, and a window per entity puts all its rows into one task. Here a
+row adds itself at its time t and takes itself away just after t + width; the
+frame's total at any time is the running total of these changes, which is
+linear after the sort. Running totals restart in every time slice, and what the
+slices before have left is added from a table of one row per (entity, slice),
+so an entity is spread over as many tasks as it has slices. Sums are DECIMAL,
+so adding and taking away leaves no rounding error.
 """
 
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql.window import WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.functions.expressions import micros
 
 _DAY_US = 86_400_000_000
+SLICE_US = 3_600_000_000
+_SUM = "decimal(28,12)"
 
 
-def trailing(df: DataFrame, key: str, ts: str,
-             frames: dict[str, tuple[int, Callable[[WindowSpec], Column]]]) -> DataFrame:
-    """Add one column per entry of ``frames`` (name -> (days, window ->
-    column)): an aggregate over rows of the same ``key`` whose ``ts`` lies
-    in ``[ts - days, ts]``, peers with equal ``ts`` included as in a SQL
-    RANGE frame."""
-    width = max(d for d, _ in frames.values()) * _DAY_US
+def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str | None]],
+             slice_us: int = SLICE_US) -> DataFrame:
+    """Add one column per entry of ``frames``: name -> (days, None) is the
+    number of other rows of the same ``key`` whose ``ts`` lies in [ts - days,
+    ts]; (days, column) is that column's mean over the frame, the row itself
+    included. Rows of equal ``ts`` are in each other's frames, as in a SQL
+    RANGE frame; so are the rows of a key that have no ``ts``."""
+    names = list(frames)
     t = micros(F.col(ts))
-    b = F.floor(t / F.lit(width))
-    copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
-                     F.struct((b + 1).alias("b"), F.lit(False).alias("own")))
-    staged = df.select("*", t.alias("_tw_t"), F.explode(copies).alias("_tw"))
-    staged = staged.select(*df.columns, "_tw_t", F.col("_tw.b").alias("_tw_b"),
-                           F.col("_tw.own").alias("_tw_own"))
-    order = Window.partitionBy(key, "_tw_b").orderBy("_tw_t")
-    outs = [over(order.rangeBetween(-days * _DAY_US, Window.currentRow)).alias(name)
-            for name, (days, over) in frames.items()]
-    return (staged.select("*", *outs).filter("_tw_own")
-            .drop("_tw_t", "_tw_own", "_tw_b"))
+    # key of the change in the order of time: even at t, odd just after t + width
+    changes = [F.struct((2 * t).alias("at"), F.lit(-1).alias("frame"))]
+    changes += [F.struct((2 * (t + days * _DAY_US) + 1).alias("at"), F.lit(i).alias("frame"))
+                for i, (days, _) in enumerate(frames.values())]
+    rows = df.select("*", F.explode(F.when(F.col(ts).isNull(), F.array(changes[0])).otherwise(F.array(*changes))).alias("_c"))
+    rows = rows.select("*", F.col("_c.at").alias("_at"), F.col("_c.frame").alias("_f")).drop("_c")
+    rows = rows.withColumn("_slice", F.floor(F.col("_at") / (2 * slice_us)))
+    deltas = {}
+    for i, (_, column) in enumerate(frames.values()):
+        add, take = F.col("_f") == -1, F.col("_f") == i
+        held = F.col(column).isNotNull() if column else F.lit(True)
+        deltas[f"_n{i}"] = F.when(held & add, 1).when(held & take, -1)
+        if column:
+            v = F.col(column).cast(_SUM)
+            deltas[f"_s{i}"] = F.when(add, v).when(take, -v)
+    rows = rows.withColumns(deltas)
+    within = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select("*", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
+    left = rows.groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
+    before = Window.partitionBy("_k").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.filter("_sl is not null").select("_k", "_sl", *[F.sum(d).over(before).alias(f"_b{d}") for d in deltas])
+    out = running.join(left, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
+
+    def total(d: str):
+        return F.coalesce(F.col(f"_r{d}"), F.lit(0)) + F.coalesce(F.col(f"_b{d}"), F.lit(0))
+
+    results = []
+    for i, name in enumerate(names):
+        if frames[name][1] is None:
+            results.append((total(f"_n{i}") - 1).cast("long").alias(name))
+        else:
+            results.append(F.try_divide(total(f"_s{i}").cast("double"), total(f"_n{i}").cast("double")).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *results)
 
 
 def velocity(df: DataFrame, key: str = "user_id", ts: str = "ts", days: int = 1,
              name: str = "prior_transactions_24h") -> DataFrame:
     """Earlier events of the same entity within ``days`` (the row itself not counted)."""
-    return trailing(df, key, ts, {name: (days, lambda w: F.count(F.lit(1)).over(w) - 1)})
+    return trailing(df, key, ts, {name: (days, None)})
 
 
 def trailing_avg(df: DataFrame, value: str = "value", key: str = "user_id",
                  ts: str = "ts", days: int = 7, name: str = "avg_amount_7d") -> DataFrame:
     """Mean of ``value`` over the trailing ``days`` of the same entity."""
-    return trailing(df, key, ts, {name: (days, lambda w: F.avg(value).over(w))})
+    return trailing(df, key, ts, {name: (days, value)})

@@ -32,7 +32,7 @@ def query(name: str):
 
 @query("load_csv")
 def _load_csv(spark, sf):
-    return V.loaded(spark, sf)
+    return S.load_csv(V.lazy(spark, sf))
 
 
 @query("infer_types")
@@ -42,29 +42,29 @@ def _infer_types(spark, sf):
 
 @query("shape")
 def _shape(spark, sf):
-    return S.shape(V.raw(spark, sf))
+    return S.shape(V.lazy(spark, sf))
 
 
 @query("preview")
 def _preview(spark, sf):
-    return S.preview(V.raw(spark, sf), 100, R.key)
+    return S.preview(V.lazy(spark, sf), 100, R.key)
 
 
 @query("coerce_target")
 def _coerce_target(spark, sf):
-    return S.coerce_target(V.raw(spark, sf), R.target).select(R.key, R.target)
+    return S.coerce_target(V.lazy(spark, sf), R.target).select(R.key, R.target)
 
 
 # ---- 2.3 cleaning -----------------------------------------------------------
 
 @query("clean_numeric")
 def _clean_numeric(spark, sf):
-    return C.coerce_numeric(V.raw(spark, sf), R.numeric).select(R.key, *R.numeric)
+    return C.coerce_numeric(V.lazy(spark, sf), R.numeric).select(R.key, *R.numeric)
 
 
 @query("clean_strings")
 def _clean_strings(spark, sf):
-    return C.normalise_strings(V.raw(spark, sf), R.categorical).select(R.key, *R.categorical)
+    return C.normalise_strings(V.lazy(spark, sf), R.categorical).select(R.key, *R.categorical)
 
 
 def _filled(spark, sf):
@@ -84,17 +84,17 @@ def _impute_mode(spark, sf):
 
 @query("filter_target")
 def _filter_target(spark, sf):
-    return C.keep_binary(V.raw(spark, sf), R.target).select(R.key, R.target)
+    return C.keep_binary(V.lazy(spark, sf), R.target).select(R.key, R.target)
 
 
 @query("dropped_rows")
 def _dropped_rows(spark, sf):
-    return C.dropped_rows(V.raw(spark, sf), R.target)
+    return C.dropped_rows(V.lazy(spark, sf), R.target)
 
 
 @query("parse_timestamps")
 def _parse_timestamps(spark, sf):
-    return C.parse_timestamps(V.raw(spark, sf), R.timestamps).select(R.key, *R.timestamps)
+    return C.parse_timestamps(V.lazy(spark, sf), R.timestamps).select(R.key, *R.timestamps)
 
 
 @query("cleaning_report")
@@ -125,7 +125,7 @@ for _name in FT.REGISTRY:
 @query("feature_select")
 def _feature_select(spark, sf):
     cl = V.clean(spark, sf)
-    model = FT.FeatureSet(["log_amount", "FAKE_FEATURE", "is_weekend", "is_new_account"], R).fit(cl)
+    model = FT.FeatureSet(["log_amount", "moon_phase", "is_weekend", "is_new_account"], R).fit(cl)
     return model.transform(cl).select(R.key, *model.columns)
 
 
@@ -255,7 +255,7 @@ def _class_imbalance(spark, sf):
 
 @query("quality_issues")
 def _quality_issues(spark, sf):
-    return P.issues(V.typed(spark, sf), R.target)
+    return P.issues(V.typed(spark, sf, coerce=False), R.target)
 
 
 @query("histograms")

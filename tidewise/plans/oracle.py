@@ -8,9 +8,15 @@ feature semantics written out independently in SQL.
 
 from __future__ import annotations
 
-from tidewise.functions.expressions import INTEGER_PATTERN, NUMBER_PATTERN, PANDAS_NA
 from tidewise.sources.fixtures import HISTORY_SQL, RAW_SQL, RESPONSES_SQL
 
+# Fixed values, written out here so that a wrong one in the library shows:
+# what a CSV read takes as missing, and what counts as a number.
+PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+             "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NUMBER_PATTERN = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+INTEGER_PATTERN = r"[+-]?\d+"
+
 RAW_COLS = ["transaction_id", "user_id", "timestamp", "user_signup_date", "amount",
             "avg_amount_7d", "prior_transactions_24h", "is_international",
             "merchant_category", "transaction_type", "device_type", "is_fraud"]
@@ -338,10 +344,10 @@ def _profiling():
         "SELECT 'prior_transactions_24h', CAST(count_if(prior_transactions_24h < 0) AS BIGINT) FROM typed", "typed")
     SQL["target_quality"] = with_views(
         "SELECT (SELECT count(*) FROM v) AS n_distinct, "
-        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM (SELECT x FROM v ORDER BY x LIMIT 100)) AS distinct_values, "
+        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM v) AS distinct_values, "
         "(SELECT CAST(count_if(is_fraud IS NULL) AS BIGINT) FROM typed) AS n_missing, "
         "(SELECT CAST(count_if(x NOT IN (0.0, 1.0)) AS BIGINT) FROM v) AS n_unexpected, "
-        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM (SELECT x FROM v ORDER BY x LIMIT 100) "
+        "(SELECT coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x), '') FROM v "
         "WHERE x NOT IN (0.0, 1.0)) AS unexpected_values", "typed",
         extra=[("v", "SELECT DISTINCT is_fraud AS x FROM typed WHERE is_fraud IS NOT NULL")])
     card_cols = [c for c in TYPED_STRINGS if c != "transaction_id"]
@@ -375,7 +381,7 @@ def _profiling():
         FROM (SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS d FROM (SELECT count(*) AS k FROM typed GROUP BY {all_cols})) WHERE d > 0
         UNION ALL
         SELECT 2, 'target_missing', round(t * 100.0 / n, 6), 'is_fraud', t
-        FROM (SELECT count_if(is_fraud IS NULL) AS t, count(*) AS n FROM typed) WHERE t > 0
+        FROM (SELECT count_if(is_fraud IS NULL) AS t, count(*) AS n FROM loaded) WHERE t > 0
         UNION ALL
         SELECT 3, 'target_unexpected', 90.0, 'is_fraud', u
         FROM (SELECT count(DISTINCT is_fraud) AS u FROM typed WHERE is_fraud NOT IN (0.0, 1.0)) WHERE u > 0
@@ -384,7 +390,8 @@ def _profiling():
         FROM (SELECT coalesce(count_if(is_fraud = 1) * 100.0 / nullif(count(is_fraud), 0), 0.0) AS r FROM typed) WHERE r < 10
         UNION ALL
         SELECT 5, 'outliers', CAST(n_outliers AS DOUBLE), "column", n_outliers
-        FROM (SELECT * FROM o WHERE n_outliers > 0 AND cnt >= 10 ORDER BY n_outliers DESC, position LIMIT 1)"""
+        FROM (SELECT max(n_outliers) AS n_outliers, string_agg("column", ', ' ORDER BY n_outliers DESC, position) AS "column"
+              FROM (SELECT * FROM o WHERE n_outliers > 0 AND cnt >= 10 ORDER BY n_outliers DESC, position LIMIT 3)) WHERE n_outliers IS NOT NULL"""
     SQL["quality_issues"] = with_views(
         "SELECT CAST(rank AS INTEGER) AS rank, kind, CAST(severity AS DOUBLE) AS severity, CAST(\"column\" AS VARCHAR) AS \"column\", "
         "CAST(n AS BIGINT) AS n FROM (SELECT row_number() OVER (ORDER BY severity DESC, ord) AS rank, * FROM i) "
@@ -549,10 +556,13 @@ HIST_COLS = ("run_id, CAST(iteration AS INTEGER) AS iteration, model_name, model
 
 
 def _diag_sql(code: str) -> str:
-    """SQL for one diagnostic: (run_id, iteration, level, code, model, value)."""
-    sel = lambda lvl, val, it="CAST(iteration AS INTEGER)", mdl=MODEL_LABEL: (
-        f"SELECT run_id, {it} AS iteration, '{lvl}' AS level, '{code}' AS code, {mdl} AS model, "
-        f"round(CAST({val} AS DOUBLE), 6) AS value")
+    """SQL for one diagnostic: (run_id, iteration, level, code, model, value)
+    and the compared or best round's figures."""
+    def sel(lvl, val, it="CAST(iteration AS INTEGER)", mdl=MODEL_LABEL, **known):
+        detail = ", ".join(f"CAST({known.get(c, 'NULL')} AS {t}) AS {c}" for c, t in (
+            ("previous_model", "VARCHAR"), ("previous_f1", "DOUBLE"), ("f1", "DOUBLE"), ("precision", "DOUBLE"), ("recall", "DOUBLE")))
+        return (f"SELECT run_id, {it} AS iteration, '{lvl}' AS level, '{code}' AS code, {mdl} AS model, "
+                f"round(CAST({val} AS DOUBLE), 6) AS value, {detail}")
     rec, prec, acc, f1 = "coalesce(recall, 0.0)", "coalesce(prec, 0.0)", "coalesce(accuracy, 0.0)", "coalesce(f1, 0.0)"
     if code == "zero_recall":
         return sel("warning", rec) + f" FROM history WHERE {rec} = 0"
@@ -562,12 +572,13 @@ def _diag_sql(code: str) -> str:
         return sel("warning", prec) + f" FROM history WHERE {prec} = 0 AND {rec} > 0"
     if code == "accuracy_paradox":
         return sel("warning", acc) + f" FROM history WHERE {acc} > 0.85 AND {f1} < 0.15"
-    prev = ("SELECT h.*, coalesce(p.f1, 0.0) AS prev_f1 FROM history h JOIN history p "
-            "ON p.run_id = h.run_id AND p.iteration = h.iteration - 1")
+    prev = (f"SELECT * FROM (SELECT *, lag(coalesce(f1, 0.0)) OVER w AS prev_f1, lag({MODEL_LABEL}) OVER w AS prev_model "
+            "FROM history WINDOW w AS (PARTITION BY run_id ORDER BY iteration)) WHERE prev_f1 IS NOT NULL")
+    both = {"previous_model": "prev_model", "previous_f1": "prev_f1", "f1": f1}
     if code == "f1_regression":
-        return sel("warning", "prev_f1 - coalesce(f1, 0.0)") + f" FROM ({prev}) WHERE coalesce(f1, 0.0) < prev_f1 AND prev_f1 > 0"
+        return sel("warning", "prev_f1 - coalesce(f1, 0.0)", **both) + f" FROM ({prev}) WHERE coalesce(f1, 0.0) < prev_f1 AND prev_f1 > 0"
     if code == "f1_gain":
-        return sel("positive", "coalesce(f1, 0.0) - prev_f1") + f" FROM ({prev}) WHERE coalesce(f1, 0.0) > prev_f1"
+        return sel("positive", "coalesce(f1, 0.0) - prev_f1", **both) + f" FROM ({prev}) WHERE coalesce(f1, 0.0) > prev_f1"
     flags = ("SELECT run_id, count(*) AS n_rounds, count(DISTINCT (length(coalesce(feature_report, '')) - "
              "length(replace(coalesce(feature_report, ''), 'Created:', ''))) // 8) AS n_sizes, "
              "bool_and(contains(lower(coalesce(feature_report, '')), 'default feature set')) AS default_only, "
@@ -582,7 +593,7 @@ def _diag_sql(code: str) -> str:
         return sel("positive", "NULL", *nil) + f" FROM ({flags}) WHERE recommended AND NOT default_only"
     best = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(f1, 0.0) DESC, iteration) AS rn "
             "FROM history) WHERE rn = 1 AND coalesce(f1, 0.0) > 0")
-    return sel("insight", "coalesce(f1, 0.0)") + f" FROM ({best})"
+    return sel("insight", f1, f1=f1, precision=prec, recall=rec) + f" FROM ({best})"
 
 
 DIAG_CODES = ["zero_recall", "low_recall", "zero_precision", "accuracy_paradox", "f1_regression",

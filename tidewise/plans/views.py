@@ -15,9 +15,15 @@ from tidewise.sources.tables import apply_types, coerce_target, fit_types, load_
 ROLES = Roles()
 
 
+def lazy(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw view as a plan: queries that read it once only compute the
+    columns they use."""
+    return fixtures.raw(spark, sf)
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw view, written once per call: every fit pass and the final
-    transform read the written table instead of re-running the window."""
+    """The raw view, written once per call: for steps whose fit passes and
+    transform would otherwise run the window several times."""
     return materialize(fixtures.raw(spark, sf), "raw")
 
 
@@ -26,11 +32,12 @@ def loaded(spark: SparkSession, sf: str) -> DataFrame:
     return load_csv(raw(spark, sf))
 
 
-def typed(spark: SparkSession, sf: str) -> DataFrame:
-    """``loaded`` with inferred column types and the target coerced: the
-    frame the profiling steps see."""
+def typed(spark: SparkSession, sf: str, coerce: bool = True) -> DataFrame:
+    """``loaded`` with inferred column types and the target coerced (unless
+    told otherwise): the frame the profiling steps see."""
     df = loaded(spark, sf)
-    return coerce_target(apply_types(df, fit_types(df)), ROLES.target)
+    df = apply_types(df, fit_types(df))
+    return coerce_target(df, ROLES.target) if coerce else df
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,6 +41,8 @@ class Roles:
         present, else the first column; numeric / string columns by type."""
         cols = df.columns
         tgt = target or (DEFAULT_TARGET if DEFAULT_TARGET in cols else cols[0])
+        if key == tgt:
+            raise ValueError(f"column {key} cannot be key and target")
         numeric, categorical, stamps = [], [], []
         for f in df.schema.fields:
             if f.name == tgt or f.name == key:
@@ -52,7 +54,8 @@ class Roles:
             elif isinstance(f.dataType, T.StringType):
                 categorical.append(f.name)
         return Roles(target=tgt, numeric=numeric, categorical=categorical,
-                     timestamps=stamps, ids=[key] if key else [], key=key or cols[0])
+                     timestamps=stamps, ids=[key] if key else [],
+                     key=key or next((c for c in cols if c != tgt), cols[0]))
 
     def with_target(self, target: str) -> "Roles":
         return replace(self, target=target)

@@ -1,7 +1,7 @@
 """Derived input views over the test tables (FIXTURES.md section B).
 
 ``raw`` (dirty transactions, all STRING, as a CSV read gives them),
-``history`` (up to six rounds for each of many runs) and ``responses``
+``history`` (a round for every event) and ``responses``
 (recommendation texts). Spark builds them with the DataFrame API; the SQL
 text of each view is kept verbatim for the DuckDB oracle, which embeds it
 as a CTE.
@@ -9,8 +9,7 @@ as a CTE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewise.operators.windows import trailing
 
@@ -44,8 +43,8 @@ _RAW_SELECT = [
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     e = trailing(ev, "user_id", "ts", {
-        "n_24h": (1, lambda w: F.count(F.lit(1)).over(w) - 1),
-        "avg_7d": (7, lambda w: F.avg("value").over(w)),
+        "n_24h": (1, None),
+        "avg_7d": (7, "value"),
     })
     return e.selectExpr(*_RAW_SELECT)
 
@@ -56,37 +55,34 @@ _HISTORY_SELECT = [
     "concat(CASE WHEN run_id % 4 = 0 OR iteration = 0 THEN 'Using default feature set (no LLM recommendations yet)' ELSE 'Using LLM-recommended features (3)' END, chr(10), 'Created: account_age_days = (timestamp - signup_date).days', chr(10), 'Created: hour_of_day = timestamp.hour', CASE WHEN event_id % 2 = 0 THEN concat(chr(10), 'Created: log_amount = log1p(amount)') ELSE '' END, CASE WHEN event_id % 3 = 0 THEN concat(chr(10), 'Skipped unknown feature: bogus') ELSE '' END, chr(10), 'One-hot encoded: device_type') AS feature_report",
     "tp", "fp", "fn", "tn",
     "round(CAST(tp + tn AS double) / (tp + fp + fn + tn), 4) AS accuracy",
-    "CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fp), 4) END AS prec",
+    "CASE WHEN event_id % 41 = 3 THEN NULL WHEN tp + fp = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fp), 4) END AS prec",
     "CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fn), 4) END AS recall",
     "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE round(CAST(2 * tp AS double) / (2 * tp + fp + fn), 4) END AS f1",
     "event_id % 9 = 4 AS should_stop",
 ]
 
 
+_ROUND_SELECT = [
+    "event_id", "event_id div 6 AS run_id",
+    "CAST(event_id % 6 + CASE WHEN event_id % 6 >= 3 AND event_id div 6 % 5 = 2 THEN 1 ELSE 0 END AS int) AS iteration",
+    "CASE WHEN event_id % 4 = 0 THEN 'LogisticRegression' WHEN event_id % 4 = 1 THEN 'RandomForestClassifier' WHEN event_id % 4 = 2 THEN 'GradientBoostingClassifier' ELSE 'SVC' END AS model_name",
+    "(event_id % 7) * 5 AS tp", "event_id % 11 AS fp", "event_id % 13 AS fn", "400 + event_id % 50 AS tn",
+]
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds 0..5 of each run. ``row_number() <= 6`` per run is planned as
-    a WindowGroupLimit: each task keeps its six smallest ids per run before
-    the shuffle, so a hot run costs no more than a cold one."""
-    ev = events(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = (ev.select("event_id", "user_id")
-           .withColumn("_rn", F.row_number().over(w))
-           .filter(F.col("_rn") <= 6)
-           .selectExpr(
-               "event_id", "user_id AS run_id", "cast(_rn - 1 AS int) AS iteration",
-               "CASE WHEN event_id % 4 = 0 THEN 'LogisticRegression' WHEN event_id % 4 = 1 THEN 'RandomForestClassifier' WHEN event_id % 4 = 2 THEN 'GradientBoostingClassifier' ELSE 'SVC' END AS model_name",
-               "(event_id % 7) * 5 AS tp", "event_id % 11 AS fp", "event_id % 13 AS fn",
-               "400 + event_id % 50 AS tn"))
-    return e.selectExpr(*_HISTORY_SELECT)
+    """Every event is a round: run ``event_id div 6``, six rounds each, with a
+    gap in the numbering of every fifth run. A projection, no shuffle."""
+    return events(spark, sf_dir).selectExpr(*_ROUND_SELECT).selectExpr(*_HISTORY_SELECT)
 
 
 _RESPONSES_SELECT = [
     "event_id AS response_id",
     """CASE event_id % 7
-         WHEN 0 THEN concat('{"features_to_add": ["log_amount", "FAKE_FEATURE", "is_weekend"], "model_config": {"model_name": "RandomForestClassifier", "hyperparameters": {"n_estimators": ', cast(event_id % 600 AS string), ', "max_depth": 12.7}}, "should_stop": false, "reasoning": "r', cast(event_id AS string), '"}')
+         WHEN 0 THEN concat('{"features_to_add": ["log_amount", "moon_phase", "is_weekend"], "model_config": {"model_name": "RandomForestClassifier", "hyperparameters": {"n_estimators": ', cast(event_id % 600 AS string), ', "max_depth": 12.7}}, "should_stop": false, "reasoning": "r', cast(event_id AS string), '"}')
          WHEN 1 THEN concat('```json', chr(10), '{"features_to_add": ["amount_squared"], "model_config": {"model_name": "SVC", "hyperparameters": {"C": ', cast(event_id % 40 AS string), ', "kernel": "poly"}}, "should_stop": true}', chr(10), '```')
          WHEN 2 THEN 'I would add more features.'
-         WHEN 3 THEN '{"features_to_add": ["ALL_FAKE"], "model_config": {"model_name": "NonexistentModel", "hyperparameters": {"C": 3}}, "should_stop": "yes"}'
+         WHEN 3 THEN '{"features_to_add": ["tide_level"], "model_config": {"model_name": "OracleForest", "hyperparameters": {"C": 3}}, "should_stop": "yes"}'
          WHEN 4 THEN '  {"features_to_add": "log_amount", "model_config": {"model_name": "GradientBoostingClassifier", "hyperparameters": {"learning_rate": 9, "max_depth": null}}}  '
          WHEN 5 THEN '{"features_to_add": [], "model_config": {"model_name": "LogisticRegression", "hyperparameters": {"C": "5"}}, "should_stop": true}'
          ELSE '{}' END AS response_text""",
@@ -126,14 +122,14 @@ HISTORY_SQL = """SELECT run_id, iteration, model_name,
               CASE WHEN event_id % 2 = 0 THEN concat(chr(10), 'Created: log_amount = log1p(amount)') ELSE '' END,
               CASE WHEN event_id % 3 = 0 THEN concat(chr(10), 'Skipped unknown feature: bogus') ELSE '' END, chr(10), 'One-hot encoded: device_type') AS feature_report,
        tp, fp, fn, tn, round(CAST(tp + tn AS double) / (tp + fp + fn + tn), 4) AS accuracy,
-       CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fp), 4) END AS prec,
+       CASE WHEN event_id % 41 = 3 THEN NULL WHEN tp + fp = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fp), 4) END AS prec,
        CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(CAST(tp AS double) / (tp + fn), 4) END AS recall,
        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE round(CAST(2 * tp AS double) / (2 * tp + fp + fn), 4) END AS f1,
        event_id % 9 = 4 AS should_stop
-FROM (SELECT event_id, user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS iteration,
+FROM (SELECT event_id, event_id // 6 AS run_id,
+             event_id % 6 + CASE WHEN event_id % 6 >= 3 AND event_id // 6 % 5 = 2 THEN 1 ELSE 0 END AS iteration,
              CASE WHEN event_id % 4 = 0 THEN 'LogisticRegression' WHEN event_id % 4 = 1 THEN 'RandomForestClassifier' WHEN event_id % 4 = 2 THEN 'GradientBoostingClassifier' ELSE 'SVC' END AS model_name,
              (event_id % 7) * 5 AS tp, event_id % 11 AS fp, event_id % 13 AS fn, 400 + event_id % 50 AS tn
-      FROM events) e
-WHERE iteration < 6"""
+      FROM events) e"""
 
 RESPONSES_SQL = "SELECT " + ",\n       ".join(_RESPONSES_SELECT) + "\nFROM events"

@@ -21,11 +21,15 @@ def na_to_null(df: DataFrame, tokens=PANDAS_NA, cols: list[str] | None = None) -
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
-               na_values=PANDAS_NA, infer: bool = False) -> DataFrame:
+               na_values=PANDAS_NA, infer: bool = False, multi_line: bool = True) -> DataFrame:
     """Header CSV -> all-STRING table with missing tokens as NULL (optionally
-    typed like a pandas read); Parquet / ORC / JSON are read natively."""
+    typed like a pandas read); Parquet / ORC / JSON are read natively. Quotes
+    are doubled inside quoted fields. ``multi_line`` allows line breaks there,
+    as pandas does; a file is then read by one task, so set it to False for
+    large files whose fields have none."""
     if fmt == "csv":
         df = (spark.read.option("header", True).option("inferSchema", False)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
               .option("nullValue", None).option("emptyValue", "").csv(path))
         df = na_to_null(df, na_values)
         return apply_types(df, infer_types(df)) if infer else df
