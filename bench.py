@@ -24,6 +24,7 @@ HEADLINE = [
     "correlation_matrix", "histograms", "boxplot_by_target", "category_cardinality",
     "duplicate_rows", "cleaning_report", "validate_recommendations", "diagnose",
     "stratified_split", "standard_scale", "train_logistic", "train_random_forest",
+    "train_gbt", "train_svc_linear", "train_svc_rbf", "improve_loop", "column_summary", "data_summary",
 ]
 
 
