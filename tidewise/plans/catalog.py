@@ -13,6 +13,7 @@ from tidewise.operators import clean as C
 from tidewise.operators import features as FT
 from tidewise.operators.windows import trailing_avg, velocity
 from tidewise.plans import views as V
+from tidewise.roles import Roles
 from tidewise.sources import fixtures
 from tidewise.sources import tables as S
 
@@ -278,6 +279,34 @@ def _data_summary(spark, sf):
     return P.data_summary(V.typed(spark, sf), R.key)
 
 
+# the same steps on tables with other columns and targets (roles inferred)
+
+def _lineitem(spark, sf):
+    df = fixtures.table(spark, sf, "lineitem")
+    return df.withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
+
+
+@query("describe_lineitem")
+def _describe_lineitem(spark, sf):
+    df = _lineitem(spark, sf)
+    return P.describe(df, Roles.infer(df, "returned").numeric)
+
+
+@query("box_lineitem")
+def _box_lineitem(spark, sf):
+    df = _lineitem(spark, sf)
+    roles = Roles.infer(df, "returned", "l_orderkey")
+    return P.box_stats(df, [c for c in roles.numeric if c.startswith("l_") and not c.endswith("key")], roles.target)
+
+
+@query("split_documents")
+def _split_documents(spark, sf):
+    labels = fixtures.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    df = fixtures.table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(labels, "doc_id")
+    roles = Roles.infer(df, "quality", "doc_id")
+    return M.stratified_split(df, roles.target, roles.key).select("doc_id", "quality", "split")
+
+
 # ---- 2.6 evaluation ---------------------------------------------------------------------
 from tidewise.operators import evaluate as E  # noqa: E402
 
@@ -474,8 +503,8 @@ QUERIES["train"] = _train_query(None)
 
 @query("predict")
 def _predict(spark, sf):
-    df = _fk(spark, sf)
-    return M.train(df, R.target, R.key).predict(df)
+    trained = M.train(_fk(spark, sf), R.target, R.key)
+    return trained.predict(trained.split.filter("split = 'test'"))
 
 
 @query("linear_score")

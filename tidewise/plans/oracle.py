@@ -703,6 +703,32 @@ def _data_summary():
 _data_summary()
 
 
+def _other_tables():
+    num = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    SQL["describe_lineitem"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75, "
+        f"CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in num)
+    box = []
+    for c in num[3:]:
+        quart = (f"SELECT g, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM t GROUP BY g")
+        box.append(
+            f"(WITH t AS (SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS g, CAST({c} AS DOUBLE) AS x FROM lineitem), q AS ({quart}) "
+            f"SELECT q.g AS returned, '{c}' AS column, round(q.q1, 6) AS q1, round(q.med, 6) AS median, round(q.q3, 6) AS q3, "
+            "min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END) AS whisker_lo, max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END) AS whisker_hi, "
+            "CAST(count_if(x < q.q1 - 1.5 * (q.q3 - q.q1) OR x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_fliers "
+            "FROM t JOIN q ON t.g = q.g GROUP BY q.g, q.q1, q.med, q.q3)")
+    SQL["box_lineitem"] = " UNION ALL ".join(box)
+    SQL["split_documents"] = (
+        "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id)) "
+        "<= ceil(0.2 * count(*) OVER (PARTITION BY quality)) THEN 'test' ELSE 'train' END AS split "
+        "FROM (SELECT d.doc_id, CAST(l.quality AS DOUBLE) AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id)")
+
+
+_other_tables()
+
+
 def _assemble():
     order = (["amount", "avg_amount_7d", "prior_transactions_24h", "is_international"] + DEFAULT_FEATURES
              + [f"{c}_{v}" for c, vals in CATEGORIES.items() for v in vals[1:]])
