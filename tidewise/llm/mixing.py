@@ -74,7 +74,7 @@ def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     the random odds over the inclusion odds: the same order, within (0, 1)."""
     per_source = per_source.withColumnRenamed("source", "__s")
     rows = attach(rows, per_source, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    chance = F.least(F.greatest(F.col("p") * F.col("w") / F.col("mean_w"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    chance = F.least(F.greatest(F.coalesce(F.try_divide(F.col("p") * F.col("w"), F.col("mean_w")), F.col("p")), F.lit(1e-12)), F.lit(1 - 1e-12))
     over = F.col("u") * (1 - chance)
     rows = rows.withColumn("rank", over / (over + (1 - F.col("u")) * chance))
     return rows.withColumn("b1", F.floor(F.col("rank") * INTERVALS)).withColumn("b2", F.floor(F.col("rank") * (INTERVALS * INTERVALS)))
@@ -84,7 +84,7 @@ def plan(table: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     """What each source takes, one row per source: its target, the whole
     copies, and the rank up to which its documents are taken once more."""
     goals = targets(table, weights, share, most)
-    scale = table.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.sum(F.col("size") * F.col("w")) / F.sum("size"), F.lit(1.0)).alias("mean_w"))
+    scale = table.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.try_divide(F.sum(F.col("size") * F.col("w")), F.sum("size")), F.lit(1.0)).alias("mean_w"))
     goals = goals.join(scale, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = goals.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))

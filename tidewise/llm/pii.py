@@ -150,7 +150,7 @@ def disclosures(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFram
     rows = pairs.join(entities, "entity").join(counts, "term").join(F.broadcast(total))  # a single row
     information = F.log2(F.col("n") / F.col("c_e"))
     mutual = F.log2(F.col("c_te") * F.col("n") / (F.col("c_t") * F.col("c_e")))
-    return rows.withColumn("share", mutual / information).filter(F.col("share") >= GENERALISE).select("term", "entity", "share")
+    return rows.withColumn("share", F.try_divide(mutual, information)).filter(F.col("share") >= GENERALISE).select("term", "entity", "share")
 
 
 def term_spans(found: DataFrame, flagged: DataFrame, base: DataFrame) -> DataFrame:
