@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.session import materialize
@@ -18,6 +20,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """Jobs started inside hand Python workers at most so many rows at once:
+    rows that hold whole texts or sets would else fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     return df.join(F.broadcast(keys) if small else keys, on, how)
@@ -46,21 +61,21 @@ def is_held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held, rows: int, by_class: bool = False) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held, rows: int | dict[int, int]) -> DataFrame:
     """doc_id, text, label, n_class: a bounded sample of the labelled rows that
     are not held out, one for each distinct text, whole texts.
 
-    About ``rows`` of them in the order of a hash of the text (``by_class``:
-    half of them for either label, as far as there are that many); ``n_class``
-    is how many distinct labelled texts with that label there are in all. Only
-    ids and hashes are shuffled; the chosen ids are few enough to be shipped."""
+    About ``rows`` of them by a hash of the text (a dict: that many for each
+    label, as far as there are); ``n_class`` is how many distinct labelled texts
+    with that label there are in all. Only ids and hashes are shuffled; the
+    chosen ids are few enough to be shipped."""
     known = labels.filter(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("label"))
     hashed = docs.filter(~held).select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     texts = hashed.join(known, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("r"))
     texts = stored(texts.select("h", "r.doc_id", "r.label"), "labelled")
     counts = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).limit(3).collect()}
     total = sum(counts.values())
-    want = {k: min(1.0, (rows / len(counts)) / n) if by_class else min(1.0, rows / total) for k, n in counts.items()}
+    want = {k: min(1.0, rows.get(k, 0) / n if isinstance(rows, dict) else rows / total) for k, n in counts.items()}
     share, n_class = F.lit(0.0), F.lit(0)
     for k in counts:
         share = F.when(F.col("label") == k, F.lit(want[k])).otherwise(share)

@@ -9,10 +9,10 @@ the search ends when no bound left reaches the K-th similarity. Similarities
 weigh the votes, which are corrected for the sampling of either label and
 smoothed by the rate of the label; the neighbours are returned as evidence.
 
-Bounded parts, all parameters: EXAMPLES labelled texts (half of either label,
-distinct, whole), TERMS terms chosen by chi-square over the examples
-(CHI_SQUARE at least, in MIN_EXAMPLES or more). The index is at most
-EXAMPLES x TERMS postings and is broadcast. Document frequencies count all
+Bounded parts, all parameters: EXAMPLES labelled texts of either label (distinct,
+whole), TERMS terms chosen by chi-square over the examples (CHI_SQUARE at least,
+in MIN_EXAMPLES or more). The index is at most EXAMPLES x TERMS postings and is
+broadcast. Document frequencies count all
 documents. Scoring is a map over Arrow batches; only term counts are shuffled.
 
 Defined results: a text without any chosen term (null and empty ones too) has
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .scratch import is_held_out, labelled_sample
 from .words import buffers, slices, token_hashes
 
-EXAMPLES, TERMS, CHI_SQUARE, MIN_EXAMPLES = 8192, 4096, 30.0, 5
+EXAMPLES, TERMS, CHI_SQUARE, MIN_EXAMPLES = {1: 1024, 0: 6144}, 2048, 30.0, 5
 K, BLOCK, SMOOTHING = 15, 64, 0.5
 THRESHOLD = 0.5
 
@@ -178,7 +178,7 @@ def unit(at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held=None) -> Index:
     held = is_held_out(F.col("doc_id"), 5, 0) if held is None else held
-    examples = labelled_sample(docs, labels, column, held, EXAMPLES, by_class=True)
+    examples = labelled_sample(docs, labels, column, held, EXAMPLES)
     vocabulary = chosen_terms(examples)
     idf = inverse_frequencies(docs, vocabulary)
 
