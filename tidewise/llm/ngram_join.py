@@ -14,12 +14,13 @@ folded sketch, then exactly on the shingle sets.
 
 Steps, each a distributed job:
 
-1. sets: n_shingles and a 128-bit digest of every set; equal sets form a class
-   and only classes are joined on.
+1. sets: n_shingles, a 128-bit digest and the folded sketch of every set; equal
+   sets form a class and only classes are joined on.
 2. parts of every set, packed in blocks by hash range, shuffled; per range, parts
    that two or more classes share give candidates.
 3. candidates within a part: every class against the part's smallest one (a
-   star), verified, components.
+   star), verified, components. Only documents of pairs that their sizes and
+   sketches allow are read again for their shingles.
 4. what a star may have missed: classes that share a part but are in different
    components after step 3, pair by pair, verified, components.
 
@@ -47,16 +48,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import anti, semi, stored
+from .scratch import anti, semi, small_batches, stored
 from .words import mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
 #: Size bands grow by this factor; parts exceed D + 1 by this share.
-BAND, SPARE = 1.4, 0.2
+BAND, SPARE = 1.4, 0.15
 GROUP, FLUSH_GROUP, BLOCK = 64, 16, 512
 #: Parts that a task holds before it sorts and packs them; parts a range.
-FLUSH, RANGE = 1 << 20, 1 << 20
-SKETCH_BITS = 2048
+FLUSH, RANGE = 1 << 18, 1 << 18
+SKETCH_BITS = 1024
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -133,17 +134,18 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, n, hi, lo: size and digest of every document's set."""
+    """id, n, hi, lo, sketch: size, digest and sketch of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            sketches = [b""] * batch.num_rows
             for i, s in shingle_sets(batch.column(1), words):
-                n[i] = len(s)
+                n[i], sketches[i] = len(s), sketch(s)
                 hi[i], lo[i] = digest(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo)], names=["id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, pa.binary())], names=["id", "n", "hi", "lo", "sketch"])
 
-    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long")
+    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch binary")
 
 
 def _pack(keys: np.ndarray, entities: np.ndarray) -> bytes:
@@ -173,8 +175,10 @@ def _grouped(keys: np.ndarray, entities: np.ndarray):
 
 
 # kinds of packed blocks: parts; a common part's smallest class in a flush;
-# pairs with that class; memberships in common parts
-PART, COMMON, PAIR, MEMBER = range(4)
+# pairs with that class; memberships in common parts; per class and band, the
+# parts beyond D + 1
+PART, COMMON, PAIR, MEMBER, EXTRA = range(5)
+_ZERO = 1 << 31
 
 
 def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> DataFrame:
@@ -189,23 +193,31 @@ def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> Data
             yield kind, int(where[a]), _pack(keys[a:b], entities[a:b])
 
     def flush(held):
-        keys, entities, first, size = _grouped(np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held]))
-        common = size > FLUSH_GROUP
-        of_common = np.repeat(common, size)
-        yield from ranged(PART, keys[~of_common], entities[~of_common], keys[~of_common])
+        keys, entities = np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held])
+        unique, times = np.unique(keys, return_counts=True)
+        common = np.isin(keys, unique[times > FLUSH_GROUP])
+        # in the order of documents, so that equal neighbours compress
+        yield from ranged(PART, keys[~common], entities[~common], keys[~common])
         if common.any():
+            keys, entities, first, size = _grouped(keys[common], entities[common])
             pivots = entities[first]
-            yield from ranged(COMMON, keys[first[common]], pivots[common], keys[first[common]])
-            members, pivot = entities[of_common], np.repeat(pivots, size)[of_common]
-            yield from ranged(PAIR, pivot.view(np.uint64), members, mix(members.view(np.uint64)))
-            yield from ranged(MEMBER, keys[of_common], members, mix(members.view(np.uint64)))
+            yield from ranged(COMMON, keys[first], pivots, keys[first])
+            by = mix(entities.view(np.uint64))
+            yield from ranged(PAIR, np.repeat(pivots, size).view(np.uint64), entities, by)
+            yield from ranged(MEMBER, keys, entities, by)
 
     def batch_of(rows):
         kinds, where, blocks = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], names=["kind", "range", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, extra, size = [], [], 0
+
+        def packed():
+            spare = np.array(extra, np.int64).reshape(-1, 2)
+            yield from flush(held)
+            yield from ranged(EXTRA, spare[:, 0].view(np.uint64), spare[:, 1], mix(spare[:, 1].view(np.uint64)))
+
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), words):
                 if len(s):
@@ -213,19 +225,21 @@ def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> Data
                     for band in bands_of(len(s), percent):
                         keys = parts(s, band, percent)
                         held.append((keys, np.full(len(keys), entity, np.int64)))
+                        extra.append((band << 32 | len(keys) - bands(percent)[1][band][0] - 1 + _ZERO, entity))
                         size += len(keys)
                 if size >= FLUSH:
-                    yield batch_of(list(flush(held)))
-                    held, size = [], 0
+                    yield batch_of(list(packed()))
+                    held, extra, size = [], [], 0
         if held:
-            yield batch_of(list(flush(held)))
+            yield batch_of(list(packed()))
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, range int, block binary")
 
 
 def shared_parts(packed: DataFrame) -> DataFrame:
     """kind, a, b: stars as (PAIR, class, smallest class), small groups as
-    (PART, group, class), memberships in common parts as (MEMBER, part, class)."""
+    (PART, group, class), memberships in common parts as (MEMBER, part, class),
+    (EXTRA, band and number, class)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         by = {k: list(g) for k, g in pdf.groupby("kind")["block"]}
@@ -234,6 +248,8 @@ def shared_parts(packed: DataFrame) -> DataFrame:
         found.append((PAIR, member, pivot.view(np.int64)))
         part, member = _unpack(by.get(MEMBER, []))
         found.append((MEMBER, part.view(np.int64), member))
+        spare, member = _unpack(by.get(EXTRA, []))
+        found.append((EXTRA, spare.view(np.int64), member))
         common, pivots = _unpack(by.get(COMMON, []))
         keys, entities = _unpack(by.get(PART, []))
         keys, entities, first, size = _grouped(np.concatenate([keys, common]), np.concatenate([entities, pivots]))
@@ -255,52 +271,61 @@ def shared_parts(packed: DataFrame) -> DataFrame:
     return packed.groupBy("range").applyInPandas(run, "kind int, a long, b long")
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """entity, lo, n, shingles, sketch and, per band, the parts beyond D + 1 of
-    the documents with these ids."""
+def candidate_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """entity, lo, n, shingles of the documents with these ids."""
+
+    def made(rows):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names=["entity", "lo", "n", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, s in shingle_sets(batch.column(1), words):
                 if len(s):
-                    hi, lo = digest(s)
-                    found = bands_of(len(s), percent)
-                    extra = [len(parts(s, k, percent)) - bands(percent)[1][k][0] - 1 for k in found]
-                    rows.append((hi, lo, len(s), s.tobytes(), sketch(s), found, extra))
+                    rows.append((*digest(s), len(s), s.tobytes()))
                 if len(rows) >= 512:
                     yield made(rows)
                     rows = []
             if rows:
                 yield made(rows)
 
-    def made(rows):
-        cols = list(zip(*rows))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["entity", "lo", "n", "shingles", "sketch", "bands", "extra"])
+    return semi(_source(docs), ids, ["id"]).mapInArrow(run, "entity long, lo long, n long, shingles binary")
+
+
+def near_enough(ka: bytes, kb: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether sketches allow a link."""
+    far = np.bitwise_count(np.frombuffer(ka, np.uint64) ^ np.frombuffer(kb, np.uint64)).sum()
+    return bool(far <= difference(na + nb, percent))
+
+
+def _sketched(pairs: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b, na, nb, ka, kb) that sketches allow."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [near_enough(*row, percent) for row in zip(pdf["ka"], pdf["kb"], pdf["na"], pdf["nb"])]
+            yield pdf.loc[keep, ["a", "b"]]
 
-    return semi(_source(docs), ids, ["id"]).mapInArrow(
-        run, "entity long, lo long, n long, shingles binary, sketch binary, bands array<int>, extra array<int>")
+    return pairs.select("a", "b", "na", "nb", "ka", "kb").mapInPandas(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b: nodes) that are linked."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("sketch").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b: nodes) that are linked, by their shingle sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = candidate_sets(docs, nodes, words).join(named.select("entity", "lo", "n", "node"), ["entity", "lo", "n"])
+    sets = stored(sets.select("node", "shingles"), "candidate-sets")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
-            for ka, kb, sa, sb in zip(pdf["ka"], pdf["kb"], pdf["sa"], pdf["sb"]):
-                na, nb = len(sa) // 8, len(sb) // 8
-                far = np.bitwise_count(np.frombuffer(ka, np.uint64) ^ np.frombuffer(kb, np.uint64)).sum()
-                ok = far <= difference(na + nb, percent)
-                if ok:
-                    both = len(np.intersect1d(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), assume_unique=True))
-                    ok = 100 * both >= percent * (na + nb - both)
-                keep.append(bool(ok))
+            for sa, sb in zip(pdf["sa"], pdf["sb"]):
+                both = len(np.intersect1d(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), assume_unique=True))
+                keep.append(100 * both >= percent * ((len(sa) + len(sb)) // 8 - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb", "sa", "sb").mapInPandas(run, "a long, b long")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long").distinct()
 
 
 def _compatible(percent: int):
@@ -339,28 +364,27 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     """Links (a, b) between classes, named by their smallest ids, that give
     the components of all linked documents. ``table``: ``set_table(docs)``."""
     empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    classes = stored(table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.when(F.col("id") > NO_ID, F.col("id"))).alias("id")), "classes")
-    classes = classes.withColumn("node", F.coalesce("id", F.lit(NO_ID)))
+    first = F.min(F.when(F.col("id") > NO_ID, F.col("id")))
+    classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.coalesce(first, F.lit(NO_ID)).alias("node"), F.min("sketch").alias("sketch"))
+    classes = stored(classes.withColumnRenamed("hi", "entity"), "classes")
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
         return empty
     ranges = max(8, -(-total * 6 // (10 * RANGE)))
     found = stored(shared_parts(packed_parts(docs, ranges, words, percent)), "shared-parts")
-    ends = found.select(F.explode(F.when(F.col("kind") == PAIR, F.array("a", "b")).otherwise(F.array("b"))).alias("hi")).distinct()
-    named = stored(classes.join(ends, "hi", "left_semi"), "candidates")
-    sets = stored(candidate_sets(docs, named.select(F.col("node").alias("id")).distinct(), words, percent).dropDuplicates(["entity", "lo", "n"]), "candidate-sets")
-    sets = sets.join(named.select(F.col("hi").alias("entity"), "lo", "n", "node"), ["entity", "lo", "n"])
-    sizes = stored(sets.select("entity", "node", "n", "bands", "extra"), "candidate-sizes")
-    end = lambda x: sizes.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    ends = found.filter(F.col("kind") != EXTRA).select(F.explode(F.when(F.col("kind") == PAIR, F.array("a", "b")).otherwise(F.array("b"))).alias("entity")).distinct()
+    named = stored(classes.join(ends, "entity", "left_semi"), "candidates")
 
     stars = found.filter(F.col("kind") == PAIR).select(F.col("a").alias("ea"), F.col("b").alias("eb")).distinct()
+    end = lambda x: named.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"))
     stars = stars.join(end("a"), "ea").join(end("b"), "eb").filter(_compatible(percent)).filter("a <> b")
-    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = stored(_verified(stars, sets, percent), "star-links")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: named.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    stars = stored(_sketched(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
+    links = stored(_verified(docs, named, stars, words, percent), "star-links")
 
     own = components(links)
-    placed = sizes.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed, "placed")
+    placed = stored(named.drop("sketch").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
     small = found.filter(F.col("kind") == PART).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct().join(placed, "entity").select("part", "node", "n", "component")
     spread = small.groupBy("part").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("part")
@@ -370,26 +394,29 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     pairs = one.join(two, (one["part"] == two["part"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(percent)).select("a", "b")
 
     common = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct()
-    common = common.withColumn("band", F.col("part").bitwiseAND(F.lit(255)).cast("int"))
+    common = common.withColumn("band", F.col("part").bitwiseAND(F.lit(255)))
     taken = common.groupBy("entity", "band").agg(F.count("*").alias("common"))
-    extra = placed.select("entity", "node", "n", "component", F.explode(F.arrays_zip("bands", "extra")).alias("x"))
-    extra = extra.select("entity", "node", "n", "component", F.col("x.bands").alias("band"), F.col("x.extra").alias("extra"))
-    short = taken.join(extra, ["entity", "band"]).filter("common > extra").select("entity", "band", "node", "n", "component")
-    members = common.join(short, ["entity", "band"]).select("part", "node", "n", "component")
-    members = members.join(sets.select("node", "sketch"), "node")
+    extra = found.filter(F.col("kind") == EXTRA).select(F.col("b").alias("entity"), F.shiftright("a", 32).alias("band"), (F.col("a").bitwiseAND(F.lit((1 << 32) - 1)) - _ZERO).alias("extra"))
+    short = stored(taken.join(extra, ["entity", "band"]).filter("common > extra").select("entity", "band").distinct(), "short-classes")
     if not short.isEmpty():
+        members = common.join(short, ["entity", "band"]).select("part", "entity").join(placed, "entity").select("part", "node", "n", "component")
+        members = members.join(named.select("node", "sketch"), "node")
         pairs = pairs.union(_common_pairs(members, percent))
-    pairs = stored(pairs.distinct(), "late-pairs")
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    return links.union(_verified(pairs, sets, percent))
+    pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = stored(_sketched(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "late-pairs")
+    if pairs.isEmpty():
+        return links
+    return links.union(_verified(docs, named, pairs, words, percent))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the smallest id
     reachable by links, its own included."""
-    table = stored(set_table(docs, words), "sets")
-    links = stored(link_table(docs, table, words, percent), "all-links")
+    with small_batches(docs.sparkSession):
+        table = stored(set_table(docs, words), "sets")
+        links = stored(link_table(docs, table, words, percent), "all-links")
     named = components(links)
+    table = table.drop("sketch")
     classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.when(F.col("id") > NO_ID, F.col("id"))).alias("first"))
     classes = classes.withColumn("node", F.coalesce("first", F.lit(NO_ID))).join(named, "node", "left")
     classes = classes.select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
