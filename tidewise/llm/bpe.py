@@ -9,8 +9,8 @@ implies, one space.
 
 The file is read on the driver and its merges are broadcast (1 to 2 MB, a
 constant of the vocabulary). Encoding is a map over Arrow batches: no shuffle,
-whole texts, and memory bounded by one batch plus a word cache of CACHE_WORDS
-entries per worker, so a lost executor costs its unfinished batches.
+whole texts, and memory bounded by one batch plus a cache of CACHED words
+in a task, so a lost executor costs its unfinished batches.
 
 Defined results: null and empty texts have no tokens (digests of nothing);
 repeated rows give repeated results; an empty table gives an empty table;
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words, and blank-separated stretches, whose encodings a worker keeps (about
-#: 200 MB together); the older half is dropped when full.
-CACHED = 300_000
+#: 120 MB together); the older half is dropped when full.
+CACHED = 200_000
 
 #: Signs after which a stretch of letters needs no pattern to be parted.
 ENDS = frozenset(",.;:!?")
@@ -99,7 +99,7 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.find = regex.compile(splits[0].replace(r"\s", r"\p{White_Space}")).findall
-        self.words, self.chunks = _Recent(self.word), _Recent(self.chunk)
+        self.forget()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to one word's symbols."""
@@ -164,6 +164,10 @@ class Codec:
             found.extend(map(self.chunks.__getitem__, [low] if SEPARATORS.search(low) else low.split()))
         return found
 
+    def forget(self) -> None:
+        """Drop the kept encodings."""
+        self.words, self.chunks = _Recent(self.word), _Recent(self.chunk)
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(a for a, _ in self.pieces(text or "")), "<u4").tolist()
 
@@ -205,6 +209,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
+        try:
+            yield from made(codec, batches)
+        finally:
+            codec.forget()  # the worker may go on with other work
+
+    def made(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for text in batch.column(1):
