@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words, and blank-separated stretches, whose encodings a worker keeps (about
-#: 120 MB together); the older half is dropped when full.
-CACHED = 200_000
+#: 60 MB together); the older half is dropped when full.
+CACHED = 100_000
 
 #: Signs after which a stretch of letters needs no pattern to be parted.
 ENDS = frozenset(",.;:!?")
