@@ -95,6 +95,15 @@ def test_common_passages_and_large_groups(spark, monkeypatch, group, flush):
     agrees(spark, list(enumerate(texts)))
 
 
+def test_parts_beside_a_common_one(spark):
+    """Parts 1, common in one flush, and 2 have the same holders: the ordinary
+    part is kept."""
+    keys, holders = np.array([1, 1, 1, 2, 2, 2], np.uint64), np.array([5, 6, 7] * 2, np.int64)
+    blocks = [(ngram_join.PART, 0, bytearray(ngram_join._pack(keys, holders))), (ngram_join.COMMON, 0, bytearray(ngram_join._pack(keys[:1], holders[:1])))]
+    got = ngram_join.shared_parts(spark.createDataFrame(blocks, "kind int, range int, block binary")).collect()
+    assert sorted(r.b for r in got if r.kind == ngram_join.PART) == [5, 6, 7]
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_copies(edge_docs).collect()}
     assert {(1, 5, 1), (2, 5, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (8, 3, 8), (None, 1, None)} <= got

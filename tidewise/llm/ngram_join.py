@@ -261,9 +261,10 @@ def shared_parts(packed: DataFrame) -> DataFrame:
             of_hot = np.repeat(hot, size)
             found.append((MEMBER, keys[of_hot].view(np.int64), entities[of_hot]))
             group = np.add.reduceat(mix(entities.view(np.uint64)), first)
+            cold = np.flatnonzero((size > 2) & ~hot)
             once = np.zeros(len(first), bool)
-            once[np.unique(group, return_index=True)[1]] = True
-            small = np.repeat((size > 2) & ~hot & once, size)
+            once[cold[np.unique(group[cold], return_index=True)[1]]] = True
+            small = np.repeat(once, size)
             found.append((PART, np.repeat(group, size)[small].view(np.int64), entities[small]))
         out = [pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}).drop_duplicates() for k, a, b in found if len(a)]
         return pd.concat(out) if out else pd.DataFrame({"kind": pd.Series(dtype="int32"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
