@@ -1,4 +1,5 @@
 import math
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,24 @@ def test_edge_cases(edge_docs, no_docs):
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count() - 3
     unlabelled = language_id.identify(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab一二丐 ", min_size=3, max_size=60), st.lists(st.text("abc一二丐丠Я ", max_size=50), min_size=1, max_size=4))
+def test_letters_without_a_column_are_distinct(sample, texts):
+    table = language_id.symbol_table("ab")
+    classes = language_id.LETTER + 2
+    clean = lambda t: "".join(" " if c == 0 else chr(c) for c in language_id._plain(language_id._points(t)))
+    plain = [clean(sample), clean(sample[::-1])]
+    models = [(str(i), len(p), language_id.parse_table([int(table[ord(c)]) if c != " " else 0 for c in p], classes).tobytes()) for i, p in enumerate(plain)]
+    got, _ = language_id.Parser("ab", classes, models).counts(texts)
+    assert got.tolist() == [[phrases(clean(t).removeprefix(" "), p) for p in plain] for t in texts]
+
+
+def test_large_scripts(spark):
+    """Two languages of ideographs, none in common."""
+    rng = random.Random(5)
+    signs = rng.sample(range(0x4E00, 0x9FA0), 3000)
+    rows = [(i, "".join(chr(signs[2 * rng.randrange(1500) + i % 2]) for _ in range(200)), "ab"[i % 2]) for i in range(300)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == "ab"[r.doc_id % 2] for r in got) == 300

@@ -3,11 +3,15 @@
 Per language, a bounded sample of labelled text becomes a suffix automaton. A
 text is parsed against it from left to right into longest matches (phrases); a
 letter that the sample lacks is a phrase of its own. The language with the
-fewest phrases per letter, each weighted by log2 of its sample's length, wins;
-ties go to the smaller label.
+fewest bits per letter wins; ties go to the smaller label. Of a sample of n
+letters and A letters in all samples, a match costs log2(n + A) bits and a
+letter that the sample lacks log2(A) more, so a short sample is not cheap. A
+letter that no sample has costs the same in every language.
 
 The model is bounded by parameters and broadcast: SAMPLE_ROWS rows of
-ROW_CHARS letters a language, SAMPLE_CHARS in all, ALPHABET letter classes.
+ROW_CHARS letters a language, SAMPLE_CHARS in all. Every letter is distinct: the
+most frequent ones are columns of a table of states, as far as ALPHABET goes;
+the transitions of all others are a sorted list.
 Scoring is a map over Arrow batches without a shuffle: texts are cut into
 stretches of STRETCH letters that are parsed side by side with numpy (a phrase
 ends where a stretch ends), so memory is bounded whatever a text's length.
@@ -36,7 +40,13 @@ SLICE_CHARS = 1 << 20
 #: Letters after which a text's evidence no longer raises the score.
 SURE_CHARS = 40
 
-SPACE, PAD, LETTER = 0, 1, 2  # symbol classes; letters from LETTER on
+#: Symbols below ALPHABET are columns of a table: SPACE, PAD, RARE (any letter
+#: without a column) and letters from LETTER on. ALPHABET + its code point is
+#: the symbol of a rare letter.
+SPACE, PAD, RARE, LETTER = 0, 1, 2, 3
+OWN = ALPHABET - LETTER
+#: More than any symbol: (state, symbol) as one number.
+SYMBOLS = 1 << 21
 
 _letters: list[np.ndarray] = []
 
@@ -66,15 +76,12 @@ def _plain(points: np.ndarray) -> np.ndarray:
 
 
 def symbol_table(letters: str) -> np.ndarray:
-    """A symbol class for each code point: the given letters, most frequent
-    first, have their own as far as ALPHABET goes; others share the rest."""
-    own = ALPHABET - LETTER - 32
-    table = np.zeros(0x110000, np.int64)
+    """The symbol of each code point: the given letters, most frequent first,
+    have a column as far as ALPHABET goes."""
     low = _lowered()
-    isletter = low > 0
-    table[isletter] = LETTER + low[isletter] % 32
-    for i, c in enumerate(letters[:own]):
-        table[ord(c)] = LETTER + 32 + i
+    table = np.where(low > 0, ALPHABET + low, SPACE).astype(np.int64)
+    for i, c in enumerate(letters[:OWN]):
+        table[ord(c)] = LETTER + i
     return table
 
 
@@ -108,22 +115,27 @@ def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], int]:
 
 
 def parse_table(symbols: list[int], classes: int) -> np.ndarray:
-    """One number for each (state, symbol): the state after it, times
-    ``classes``, shifted by two bits, which hold the phrases that it ends."""
+    """The number of states; one number for each (state, column): the state
+    after it, times ``classes``, shifted by two bits (whether it ends a match,
+    and whether the sample lacks the sign); and (state, symbol, state after it) of rare letters."""
     go, _ = suffix_automaton(symbols)
     next_state = np.full((len(go), classes), -1, np.int64)
+    rare = []
     for state, edges in enumerate(go):
-        if edges:
-            next_state[state, list(edges)] = list(edges.values())
+        for symbol, after in edges.items():
+            if symbol < classes:
+                next_state[state, symbol] = after
+            else:
+                rare += [state, symbol, after]
     root = next_state[0].copy()
     ended = np.zeros_like(next_state)
     missing = next_state < 0
     ended += missing & (np.arange(len(go)) > 0)[:, None]  # the phrase so far
-    ended += missing & (root < 0)[None, :]  # the sign alone
+    ended += 2 * (missing & (root < 0)[None, :])  # the sign alone
     next_state = np.where(missing, np.maximum(root, 0)[None, :], next_state)
     ended[0, PAD], next_state[:, PAD] = 0, 0
     ended[1:, PAD] = 1  # the end of a stretch ends its phrase
-    return (next_state * classes << 2 | ended).astype(np.int32)
+    return np.concatenate([[len(go)], (next_state * classes << 2 | ended).ravel(), rare]).astype(np.int32)
 
 
 class Parser:
@@ -132,26 +144,55 @@ class Parser:
     def __init__(self, letters: str, classes: int, models: list[tuple[str, int, bytes]]):
         models = sorted(models)
         self.langs = np.array([m[0] for m in models], object)
-        self.bits = np.array([np.log2(max(m[1], 2)) for m in models])
         self.symbols = symbol_table(letters)
-        tables, self.roots, at = [], [], 0
+        tables, rare, self.roots, at = [], [], [], 0
         for _, _, raw in models:
-            table = np.frombuffer(raw, np.int32)
-            tables.append(table + (at << 2))
+            numbers = np.frombuffer(raw, np.int32)
+            cells = int(numbers[0]) * classes
+            tables.append(numbers[1:1 + cells] + (at << 2))
+            edges = numbers[1 + cells:].reshape(-1, 3).astype(np.int64)
+            rare.append(np.stack([(edges[:, 0] * classes + at) * SYMBOLS + edges[:, 1], edges[:, 2] * classes + at], axis=1))
             self.roots.append(at)
-            at += len(table)
+            at += cells
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        edges = np.concatenate([*rare, np.full((1, 2), np.iinfo(np.int64).max)])  # the last is never met
+        order = np.argsort(edges[:, 0])
+        self.edges, self.after = edges[order, 0], edges[order, 1]
+        roots = self.table[np.add.outer(np.array(self.roots, np.int64), np.arange(classes))]
+        own = (roots & 2 == 0).any(axis=0)
+        own[[PAD, RARE]] = False
+        alphabet = int(own.sum()) + len(np.unique(self.edges[:-1] % SYMBOLS))
+        self.bits = np.log2([m[1] + alphabet for m in models])
+        self.lack_bits = np.log2(max(alphabet, 2))
+
+    def _rare(self, state: np.ndarray, symbols: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after a rare letter, what it ends, as in ``parse_table``)."""
+        def follow(before):
+            keys = before * SYMBOLS + symbols
+            at = np.searchsorted(self.edges, keys)
+            return self.edges[at] == keys, self.after[at]
+
+        known, after = follow(state)
+        first, fresh = follow(roots)
+        ended = np.where(known, 0, (state != roots) + 2 * ~first)
+        return np.where(known, after, np.where(first, fresh, roots)), ended
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by text and language, signs by text)."""
+        matched, lacking, _, lengths = self._counts(texts)
+        return matched + lacking, lengths
+
+    def _counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(matches by text and language, signs that the language's sample
+        lacks, signs that all samples lack by text, signs by text)."""
         plain = [_plain(_points(t)) for t in texts]
         plain = [p[1 if len(p) and p[0] == 0 else 0:] for p in plain]
         lengths = np.array([len(p) for p in plain], np.int64)
         pieces = -(-lengths // STRETCH)
         rows = int(pieces.sum())
-        phrases = np.zeros((len(texts), len(self.langs)), np.int64)
+        matched, lacking = np.zeros((2, len(texts), len(self.langs)), np.int64)
         if not rows or not len(self.langs):
-            return phrases, lengths
+            return matched, lacking, np.zeros(len(texts), np.int64), lengths
         grid = np.full(rows * STRETCH, PAD, np.int64)
         starts = np.concatenate([[0], np.cumsum(pieces)[:-1]]) * STRETCH
         flat = self.symbols[np.concatenate(plain)]
@@ -161,23 +202,35 @@ class Parser:
         steps = steps[: int(min(STRETCH, lengths.max()))]
         state = np.repeat(np.array(self.roots, np.int64)[:, None], rows, axis=1)
         roots = state.copy()
-        count = np.zeros(state.shape, np.int64)
-        for step in steps:
-            found = self.table.take(state + step)
-            count += found & 3
+        count, lacks, nowhere = np.zeros(state.shape, np.int64), np.zeros(state.shape, np.int64), np.zeros(rows, np.int64)
+        columns = np.where(steps < ALPHABET, steps, RARE)
+        some = (columns == RARE).any(axis=1)
+        for step, column, rare in zip(steps, columns, some.tolist()):
+            found = self.table.take(state + column)
+            ended = found & 3
+            if rare:
+                at = np.flatnonzero(column == RARE)
+                after, ended[:, at] = self._rare(state[:, at], step[at], roots[:, at])
             np.right_shift(found, 2, out=state, casting="unsafe")
+            if rare:
+                state[:, at] = after
+                nowhere[at] += (ended[:, at] > 1).all(axis=0)
+            count += ended & 1
+            lacks += ended >> 1
         count += state != roots
         owner = np.repeat(np.arange(len(texts)), pieces)
         for k in range(len(self.langs)):
-            phrases[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64)
-        return phrases, lengths
+            matched[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64)
+            lacking[:, k] = np.bincount(owner, lacks[k], len(texts)).astype(np.int64)
+        return matched, lacking, np.bincount(owner, nowhere, len(texts)).astype(np.int64), lengths
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores, start, held = [], [], 0, 0
         for i in range(len(texts) + 1):
             if i == len(texts) or (i > start and held + len(texts[i]) > SLICE_CHARS):
-                phrases, lengths = self.counts(texts[start:i])
-                cost = phrases * self.bits / np.maximum(lengths, 1)[:, None]
+                matched, lacking, nowhere, lengths = self._counts(texts[start:i])
+                some = lacking - nowhere[:, None]
+                cost = (matched * self.bits + some * (self.bits + self.lack_bits)) / np.maximum(lengths, 1)[:, None]
                 for row, n in zip(cost, lengths.tolist()):
                     if n and len(row):
                         best = int(np.argmin(row))
@@ -211,9 +264,9 @@ def fit(docs: DataFrame) -> tuple[str, int, list[tuple[str, int, bytes]]]:
     bounded by the module's parameters. ``docs``: the labelled rows to use."""
     rows = stored(sample(docs), "language-sample")
     letters = rows.select(F.explode(F.split(F.lower("text"), "")).alias("c")).filter(F.col("c").rlike(r"^\p{L}$"))
-    ranked = letters.groupBy("c").count().orderBy(F.desc("count"), "c").limit(ALPHABET - LETTER - 32).collect()
+    ranked = letters.groupBy("c").count().orderBy(F.desc("count"), "c").limit(OWN).collect()
     alphabet = "".join(r["c"] for r in ranked)
-    classes = LETTER + 32 + len(alphabet)
+    classes = LETTER + len(alphabet)
     languages = rows.select("lang").distinct().count()
     each = max(256, min(SAMPLE_ROWS * ROW_CHARS, SAMPLE_CHARS // max(languages, 1)))
 
