@@ -77,3 +77,25 @@ def test_large_scripts(spark):
     rows = [(i, "".join(chr(signs[2 * rng.randrange(1500) + i % 2]) for _ in range(200)), "ab"[i % 2]) for i in range(300)]
     got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert sum(r.lang_pred == "ab"[r.doc_id % 2] for r in got) == 300
+
+
+def test_short_samples_do_not_win(spark, docs):
+    """A language of one short row, one whose letters follow 3000 digits, and
+    one of another script, beside four with full samples."""
+    few = [(-1, "en", "aa"), (-2, "7" * 3000 + " es la", "bb"), (-3, "это язык", "ru"), (-4, "язык", None), (-5, "7" * 3000 + " язык это", None)]
+    table = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(few, "doc_id long, text string, lang string"))
+    held = F.col("doc_id") % 5 == 0
+    rows = language_id.identify(table, held & (F.col("doc_id") >= 0)).join(table.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.doc_id: r.lang_pred for r in rows if r.doc_id < -2} == {-3: "ru", -4: "ru", -5: "ru"}
+    rows = [r for r in rows if r.doc_id >= 0]
+    assert sum(r.lang == r.lang_pred for r in rows) > 0.98 * len(rows)
+
+
+def test_samples_fill_the_budget(spark, monkeypatch):
+    """Short rows, copies and long rows give samples of one length."""
+    monkeypatch.setattr(language_id, "LANG_CHARS", 1024)
+    rows = [(f"k{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]}{'qrstuvwx'[i // 64 % 8]}", "short") for i in range(512)]
+    rows += [("copies of a text", "copied")] * 400 + [(" ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)), "copied")]
+    rows += [("9" * 5000 + " lang" * 2000, "long"), ("x", "tiny"), (None, "none"), ("123", "none")]
+    _, _, models = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert {m[0]: m[1] for m in models} == {"short": 1024, "copied": 1024, "long": 1024, "tiny": 1}

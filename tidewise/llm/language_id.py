@@ -8,8 +8,8 @@ letters and A letters in all samples, a match costs log2(n + A) bits and a
 letter that the sample lacks log2(A) more, so a short sample is not cheap. A
 letter that no sample has costs the same in every language.
 
-The model is bounded by parameters and broadcast: SAMPLE_ROWS rows of
-ROW_CHARS letters a language, SAMPLE_CHARS in all. Every letter is distinct: the
+The model is bounded by parameters and broadcast: LANG_CHARS letters a language,
+SAMPLE_CHARS in all, from as many whole rows as it takes. Every letter is distinct: the
 most frequent ones are columns of a table of states, as far as ALPHABET goes;
 the transitions of all others are a sorted list.
 Scoring is a map over Arrow batches without a shuffle: texts are cut into
@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 
 from .scratch import attach, is_held_out, stored
 
-SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 24, 1024, 1 << 18
+LANG_CHARS, SAMPLE_CHARS = 24576, 1 << 18
+#: The first share of a language's letters that is drawn, in budgets; what its
+#: factor is if that held too few.
+DRAWN, MORE = 4, 8
 ALPHABET = 128
 STRETCH = 512
 #: Letters handled at once.
@@ -246,17 +249,34 @@ class Parser:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """lang, text (letters only, cut to ROW_CHARS): a bounded sample of
-    distinct labelled texts, in the order of a hash of the text."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "lang", "text", F.xxhash64("text").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_ROWS).drop("nth")
-    chosen = stored(chosen, "language-rows").select(F.col("lang").alias("l"), F.col("h").alias("g"))
-    rows = attach(rows, chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")))
-    # a window of twice the letters that are used, so that signs do not eat them up
-    cut = F.substring("text", 1, 2 * ROW_CHARS)
-    return rows.select("lang", "h", cut.alias("text")).dropDuplicates(["lang", "h"])
+    """lang, h, text, each: distinct labelled texts in the order of a hash of
+    the text, until a language has ``each`` letters or no more rows.
+
+    Only rows whose hash lies in a share of all hashes are ordered; a language
+    that the share gives too few letters gets a larger one."""
+    rows = docs.filter(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    totals = stored(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("total")), "language-totals")
+    each = max(256, min(LANG_CHARS, SAMPLE_CHARS // max(totals.count(), 1)))
+    shares = totals.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(DRAWN * each)) / F.col("total")).alias("share"))
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 40))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("place", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = None
+    while chosen is None or not shares.isEmpty():
+        drawn = attach(rows, shares, (F.col("lang") == F.col("l")) & (place < F.col("share") * F.lit(float(1 << 40))))
+        drawn = drawn.select("lang", "h", place.alias("place"), letters.alias("n"), "share").dropDuplicates(["lang", "h"])
+        drawn = stored(drawn.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < each), "language-rows")
+        full = drawn.groupBy("lang").agg(F.max("upto").alias("upto"), F.max("share").alias("share")).filter((F.col("upto") >= each) | (F.col("share") >= 1))
+        taken = drawn.join(full.select("lang"), "lang", "left_semi").select("lang", "h", "place")
+        chosen = taken if chosen is None else chosen.union(taken)
+        shares = shares.join(full.select(F.col("lang").alias("l")), "l", "left_anti")
+        shares = stored(shares.select("l", F.least(F.lit(1.0), F.col("share") * MORE).alias("share")), "language-shares")
+    chosen = chosen.select(F.col("lang").alias("l"), F.col("h").alias("g"), "place")
+    found = attach(rows, chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")))
+    # a text that is longer than the budget is needed only as far as that
+    found = found.withColumn("text", F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, 2 * each + 1))
+    return found.dropDuplicates(["lang", "h"]).select("lang", "h", "place", "text", F.lit(each).alias("each"))
 
 
 def fit(docs: DataFrame) -> tuple[str, int, list[tuple[str, int, bytes]]]:
@@ -267,12 +287,10 @@ def fit(docs: DataFrame) -> tuple[str, int, list[tuple[str, int, bytes]]]:
     ranked = letters.groupBy("c").count().orderBy(F.desc("count"), "c").limit(OWN).collect()
     alphabet = "".join(r["c"] for r in ranked)
     classes = LETTER + len(alphabet)
-    languages = rows.select("lang").distinct().count()
-    each = max(256, min(SAMPLE_ROWS * ROW_CHARS, SAMPLE_CHARS // max(languages, 1)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = symbol_table(alphabet)
-        parts = [table[_plain(_points(t))[:ROW_CHARS]] for t in pdf.sort_values("h")["text"]]
+        table, each = symbol_table(alphabet), int(pdf["each"].iloc[0])
+        parts = [table[_plain(_points(t))] for t in pdf.sort_values(["place", "h"])["text"]]
         symbols = np.concatenate(parts)[:each].tolist()
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(symbols)], "model": [parse_table(symbols, classes).tobytes()]})
 
