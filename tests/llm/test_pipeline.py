@@ -2,6 +2,7 @@ import hashlib
 import re
 import struct
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,6 +54,15 @@ def test_empty_and_edge_tables(spark, edge_docs, no_docs):
         assert (table.count() == 0) == (table is not None and table.filter("n_tokens > 0").isEmpty())
 
 
+def test_no_labelled_rows(spark, edge_docs):
+    """Without a label to learn from, the first stage keeps texts with letters,
+    and a language may be called und."""
+    for label in (None, "und"):
+        table = edge_docs.withColumn("lang", F.lit(label).cast("string"))
+        out = corpus_pipeline.identify_language(spark, table, SF001)
+        assert out.columns == table.columns and out.count() == table.count() - 3
+
+
 def test_registered():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)

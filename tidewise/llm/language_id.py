@@ -328,7 +328,10 @@ def identify(docs: DataFrame, held_out=None) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found (not ``und``), all columns."""
-    held = is_held_out(F.col("doc_id"), 5, 0)
-    predict = predictor(docs.sparkSession, fit(docs.filter(~held)))
-    return docs.withColumn("__lang", predict(F.col("text").cast("string"))).filter("__lang.lang_pred <> 'und'").drop("__lang")
+    """The documents whose text has a letter, all columns, also where no
+    labelled row tells languages apart."""
+    model = fit(docs.filter(~is_held_out(F.col("doc_id"), 5, 0)))
+    if not model[2]:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    predict = predictor(docs.sparkSession, model)
+    return docs.withColumn("__lang", predict(F.col("text").cast("string"))).filter("__lang.score > 0").drop("__lang")
