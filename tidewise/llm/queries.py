@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, licenses, mixing, ngram_join, pii, quality, toxicity
+from . import ann, bpe, collocations, exact_dedup, language_id, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +67,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents")).drop("n_words")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
+    "op12_collocations": op12_collocations,
+    "op13_secrets": op13_secrets,
 }
 
 _OP5 = r"""
@@ -125,4 +135,36 @@ SELECT t.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, t.doc_id = g.kee
 FROM t JOIN g ON t.txt = g.txt
 """
 
-SQL: dict[str, str] = {"op5_mixing": _OP5, "op6_exact_dedup": _OP6}
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+sized AS (SELECT lang, words, unnest(range(1, 6)) AS k FROM w),
+spots AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM sized),
+f AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM spots GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2 AND f >= 100),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM cand),
+sides AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, l.f AS l, r.f AS r, n.n,
+         (1000::HUGEINT * c.a::HUGEINT * n.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cuts c JOIN n USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:c.j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[c.j + 1:], ' ')),
+weakest AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+long_lengths AS (SELECT lang, a, k, words, unnest(range(2, k)) AS m FROM cand),
+inner_spots AS (SELECT lang, a, words, m, unnest(range(1, k - m + 2)) AS i FROM long_lengths),
+inside AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_spots GROUP BY ALL),
+kept AS (
+  SELECT t.*, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, t.phrase) AS rank
+  FROM weakest t LEFT JOIN inside i ON i.lang = t.lang AND i.phrase = t.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op5_mixing": _OP5, "op6_exact_dedup": _OP6, "op12_collocations": _OP12}
