@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, collocations, exact_dedup, language_id, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
+from . import alignment, ann, bpe, collocations, exact_dedup, language_id, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents")).drop("n_words")
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
     "op12_collocations": op12_collocations,
     "op13_secrets": op13_secrets,
 }
