@@ -13,10 +13,9 @@ Counting. A task keeps its phrases in a HAT-trie: hash containers of word-id
 strings under a shallow trie of first words; a container that outgrows BURST
 entries bursts into one container per next word. Beyond SPILL entries, whole
 subtrees leave the task as runs sorted by their words, largest subtrees first,
-until half is free; the rest leaves at its end. Runs are written to the shared
-folder and merged by ranges of (language, phrase): a range is a prefix partition,
-which splits a hot prefix wherever it needs to, and a hot phrase is one row per
-run. Word ids belong to a task's trie and are given by the exact words, so no
+until half is free; the rest leaves at its end. Runs are merged per partition of
+(language, phrase): the prefix that deals them out is the whole phrase, so that a
+hot prefix spreads over all tasks, and a hot phrase is one row per run. Word ids belong to a task's trie and are given by the exact words, so no
 two words or phrases are ever taken for one.
 
 Three passes over the texts count words, pairs, and phrases of 3 to 5 words.
@@ -302,9 +301,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _merged(runs: DataFrame, min_count: int) -> DataFrame:
-    """Runs merged by prefix ranges; phrases that occur often enough."""
-    ranged = stored(runs, "runs").repartitionByRange("lang", "phrase")
-    return stored(ranged.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count), "phrases")
+    """Runs merged; phrases that occur often enough."""
+    return stored(runs.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count), "phrases")
 
 
 def frequent_filter(phrases: DataFrame) -> Filter:
