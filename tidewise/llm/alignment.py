@@ -64,7 +64,9 @@ class Side:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
         self.encode, self.tokens = encode, tokens
         self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.names = [str(i) for i in range(len(tokens))]
+        # decimal ids as they stand in a group: not at its end, and at its end
+        self.inner, self.last = [f"{i}," for i in range(len(tokens))], [str(i) for i in range(len(tokens))]
+        self.lossless = False
 
 
 def byte_level(file: bytes) -> Side:
@@ -95,7 +97,9 @@ def byte_level(file: bytes) -> Side:
             return library.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
-    return Side(lambda texts: [one(" " + t) for t in texts], tokens)
+    side = Side(lambda texts: [one(" " + t) for t in texts], tokens)
+    side.lossless = {bytes([b]) for b in range(256)} <= set(tokens)  # then every text is given back
+    return side
 
 
 def pieces(file: bytes) -> Side:
@@ -122,7 +126,7 @@ class Aligned:
             ids.append(side.encode(texts))
         for i, text in enumerate(texts):
             want = b" " + text.encode()
-            if not text or any(b"".join(map(side.tokens.__getitem__, x[i])) != want for side, x in zip((a, b), ids)):
+            if not text or any(b"".join(map(side.tokens.__getitem__, x[i])) != want for side, x in zip((a, b), ids) if not side.lossless):
                 ids[0][i] = ids[1][i] = []
         self.sides = []
         for side, each in zip((a, b), ids):
@@ -159,20 +163,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield piece, [t or "" for t in piece.column("text").to_pylist()]
 
 
-def _group_digests(x: Aligned, a: Side, b: Side) -> list[str]:
+def _names(a: Side, b: Side) -> list[str]:
+    """What stands for a token in a group's text: A's ids, then A's at the end of
+    their part, then B's likewise."""
+    return a.inner + [n + "|" for n in a.last] + b.inner + [n + ";" for n in b.last]
+
+
+def _group_digests(x: Aligned, a: Side, b: Side, names: list[str]) -> list[str]:
     """Per text, the digest of ``a1,a2|b1;a3|b2,b3``."""
     in_a, in_b = x.groups()
     # each token's place when the groups' A tokens stand before their B tokens
     at_a = np.arange(len(in_a)) + np.searchsorted(in_b, in_a)
     at_b = np.arange(len(in_b)) + np.searchsorted(in_a, in_b, "right")
-    words = np.empty(len(in_a) + len(in_b), object)
-    signs = np.full(len(words), ",", object)
-    for side, at, table in ((0, at_a, a.names), (1, at_b, b.names)):
-        words[at] = np.array(table, object)[x.sides[side]["id"].to_numpy()]
-    if len(words):
-        signs[at_a[np.append(in_a[1:] != in_a[:-1], True)]] = "|"
-        signs[at_b[np.append(in_b[1:] != in_b[:-1], True)]] = ";"
-    whole = (words + signs).tolist() if len(words) else []
+    codes = np.zeros(len(in_a) + len(in_b), np.int64)
+    first_b = 2 * len(a.tokens)
+    for side, at, group, table, base in ((0, at_a, in_a, a, 0), (1, at_b, in_b, b, first_b)):
+        last = np.append(group[1:] != group[:-1], True)[:len(group)]
+        codes[at] = x.sides[side]["id"].to_numpy() + base + len(table.tokens) * last
+    whole = list(map(names.__getitem__, codes.tolist()))
     out, at = [], 0
     for n in (x.counts[0] + x.counts[1]).tolist():
         out.append(hashlib.sha256("".join(whole[at: at + n])[:-1].encode()).hexdigest() if n else "")
@@ -180,7 +188,7 @@ def _group_digests(x: Aligned, a: Side, b: Side) -> list[str]:
     return out
 
 
-def _digest_batch(piece: pa.RecordBatch, texts: list[str], a: Side, b: Side) -> pa.RecordBatch:
+def _digest_batch(piece: pa.RecordBatch, texts: list[str], a: Side, b: Side, names: list[str]) -> pa.RecordBatch:
     x = Aligned(texts, a, b)
     n = len(texts)
     doc = x.links["doc"].to_numpy()
@@ -192,12 +200,12 @@ def _digest_batch(piece: pa.RecordBatch, texts: list[str], a: Side, b: Side) ->
     pairs = pa.array(distinct[held % max(len(distinct), 1)] if len(held) else np.zeros(0, np.int64), pa.int64())
     return pa.RecordBatch.from_arrays([
         piece.column("row"), piece.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in x.counts), links, links,
-        pa.array(np.bincount(x.overlaps["doc"], minlength=n).astype(np.int64)), pa.array(_group_digests(x, a, b), pa.string()),
+        pa.array(np.bincount(x.overlaps["doc"], minlength=n).astype(np.int64)), pa.array(_group_digests(x, a, b, names), pa.string()),
         pa.ListArray.from_arrays(pa.array(offsets), pairs), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))],
         names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "pairs", "times"])
 
 
-def _aligned_batch(piece: pa.RecordBatch, texts: list[str], a: Side, b: Side) -> pa.RecordBatch:
+def _aligned_batch(piece: pa.RecordBatch, texts: list[str], a: Side, b: Side, names: list[str]) -> pa.RecordBatch:
     x = Aligned(texts, a, b)
     rows: list[list] = [[], [], [], []]
     first = [np.concatenate([[0], np.cumsum(c)]) for c in x.counts]
@@ -225,8 +233,9 @@ def _mapped(docs: DataFrame, a_path: str, b_path: str, make, schema: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (_side(*f) for f in shared.value)
+        names = _names(a, b)
         for piece, texts in _slices(batches):
-            yield make(piece, texts, a, b)
+            yield make(piece, texts, a, b, names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
