@@ -109,3 +109,12 @@ def test_key_is_not_the_target(spark):
     with pytest.raises(ValueError):
         Roles.infer(df, "y", "y")
     assert Roles.infer(df, "y").key == "x"
+
+
+def test_split_quota_counts_rows_without_key(spark):
+    rows = [(None, 0, i) for i in range(90)] + [(f"k{i}", 1, i) for i in range(100)] + [(None, 1, 1000 + i) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, y int, v int")
+    split = M.stratified_split(df, "y", "k").cache()
+    assert {r.y: r["count"] for r in split.filter("split = 'test'").groupBy("y").count().collect()} == {0: 18, 1: 22}
+    again = M.stratified_split(df.repartition(5), "y", "k")
+    assert split.exceptAll(again).count() == 0

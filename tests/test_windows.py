@@ -47,3 +47,31 @@ def test_missing_values_and_slices(spark):
         got = trailing(df, "user_id", "ts", {"n": (1, None), "a": (1, "value")}, slice_us).select("ts", "n", "a").orderBy("ts").collect()
         assert [(r.ts, r.n) for r in got] == [(r.ts, r.n) for r in want]
         assert all((x.a is None) == (y.a is None) and (x.a is None or abs(x.a - y.a) < 1e-9) for x, y in zip(got, want))
+
+
+def _against_plain(spark, values, width=2):
+    """Frames of ``width`` days over one row a day, compared with a plain window."""
+    rows = [(1 + i % 2, f"2024-01-{1 + i // 2:02d} 00:00:00", v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "user_id int, ts string, value double, i int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    w = Window.partitionBy("user_id").orderBy(micros(F.col("ts"))).rangeBetween(-width * 86_400_000_000, 0)
+    want = [r[0] for r in df.select("i", F.avg("value").over(w).alias("a")).orderBy("i").select("a").collect()]
+    got = [r[0] for r in trailing_avg(df, days=width).orderBy("i").select("avg_amount_7d").collect()]
+    assert len(got) == len(want)
+    for g, a in zip(got, want):
+        assert (g is None) == (a is None)
+        assert g is None or g == a or (g != g and a != a) or abs(g - a) <= 1e-12 * max(abs(g), abs(a)), (g, a)
+
+
+def test_non_finite_values_as_in_a_plain_window(spark):
+    inf, nan = float("inf"), float("nan")
+    _against_plain(spark, [1.0, 2.0, inf, 3.0, 4.0, -inf, None, 5.0, nan, 6.0, 7.0, 8.0, inf, -inf, -inf, inf, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0])
+    _against_plain(spark, [nan, inf, None, -inf] * 3)
+    _against_plain(spark, [None] * 6)
+
+
+def test_huge_and_tiny_values(spark):
+    _against_plain(spark, [1e20, 3e19, 1.5e20, 2.0, 3.0, 1e16, 4.25, 7e18])
+    _against_plain(spark, [1e300, 2e299, 1e298, 1.5e300] * 3)
+    _against_plain(spark, [1e-13, 3e-14, 2e-13, 5e-13] * 3)
+    _against_plain(spark, [1e-290, 3e-291, 2e-290, 5e-290] * 3)
+    _against_plain(spark, [0.1, 0.2, 0.3, -0.6] * 4)

@@ -72,14 +72,16 @@ def stratified_split(df: DataFrame, target: str, key: str, frac: float = 0.2,
                      seed: int = SEED) -> DataFrame:
     """Adds ``split`` = test / train: per class exactly ceil(frac * n_class)
     rows go to test, chosen by the seeded hash order of ``key``; rows that
-    repeat the key at the cut are ordered by a hash of the whole row (rows
-    equal in every column stay together). The cuts are order statistics
+    repeat the key at the cut, and rows without a key among the others, are
+    ordered by a hash of the whole row (rows equal in every column stay
+    together). The cuts are order statistics
     (aggregates only), CLASSES_AT_ONCE classes a step; the split joins the
     small table of cuts — no window, no row is moved by class."""
     if key == target:
         raise ValueError("stratified_split: the key must not be the target")
     cls = F.col(target).cast("double")
-    h, h2 = split_hash(F.col(key), seed), F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns])
+    h2 = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns])
+    h = F.coalesce(split_hash(F.col(key), seed), F.shiftrightunsigned(h2, 4))  # 60 bits as well
     classes = sorted(r[0] for r in df.select(cls.alias("c")).filter("c IS NOT NULL").distinct().collect())
     cuts: list[tuple] = []
     for at in range(0, len(classes), CLASSES_AT_ONCE):

@@ -6,20 +6,72 @@ row adds itself at its time t and takes itself away just after t + width; the
 frame's total at any time is the running total of these changes, which is
 linear after the sort. Running totals restart in every time slice, and what the
 slices before have left is added from a table of one row per (entity, slice),
-so an entity is spread over as many tasks as it has slices. Sums are DECIMAL,
-so adding and taking away leaves no rounding error.
+so an entity is spread over as many tasks as it has slices. Only a row's own
+entry carries its other columns, so these are shuffled once.
+
+Sums are DECIMAL, so adding and taking away leaves no rounding error. Their
+scale follows from the column's largest finite value and number of values (one
+aggregate, an action): 37 digits from that total downwards, so that values from
+1e-300 to 1e300 keep their digits. NaN and infinities are counted apart and give
+what a plain window gives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.functions.expressions import micros
 
 _DAY_US = 86_400_000_000
 SLICE_US = 3_600_000_000
-_SUM = "decimal(28,12)"
+_DIGITS = 37
+
+
+@dataclass
+class _Scale:
+    """How a column's values become decimals and back: divided by 10^shift,
+    with so many digits after the point."""
+    shift: int
+    digits: int
+
+    def steps(self) -> list[float]:
+        """Powers of ten that a double can hold."""
+        half = self.shift // 2
+        return [float(f"1e{k}") for k in (half, self.shift - half) if k]
+
+    def stored(self, v: Column) -> Column:
+        for step in self.steps():
+            v = v.cast("double") / F.lit(step)
+        return v.cast(f"decimal(38,{self.digits})")
+
+    def value(self, total: Column) -> Column:
+        total = total.cast("double")
+        for step in self.steps():
+            total = total * F.lit(step)
+        return total
+
+
+def _odd(v: Column) -> Column:
+    """Whether a value is NaN or infinite."""
+    v = v.cast("double")
+    return F.isnan(v) | (F.abs(v) == float("inf"))
+
+
+def _scales(df: DataFrame, columns: list[str]) -> dict[str, _Scale]:
+    if not columns:
+        return {}
+    finite = {c: F.when(~_odd(F.col(c)), F.abs(F.col(c).cast("double"))) for c in columns}
+    row = df.agg(*[F.max(v).alias(f"m{i}") for i, v in enumerate(finite.values())], *[F.count(c).alias(f"n{i}") for i, c in enumerate(finite)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        most, n = row[f"m{i}"] or 0.0, max(1, row[f"n{i}"])
+        whole = math.ceil(math.log10(most) + math.log10(n) + 1e-9) + 1 if most > 0 else 1  # digits of any total
+        out[c] = _Scale(0, _DIGITS - max(whole, 1)) if -5 <= whole <= 30 else _Scale(whole - 9, _DIGITS - 9)
+    return out
 
 
 def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str | None]],
@@ -35,35 +87,50 @@ def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str
     changes = [F.struct((2 * t).alias("at"), F.lit(-1).alias("frame"))]
     changes += [F.struct((2 * (t + days * _DAY_US) + 1).alias("at"), F.lit(i).alias("frame"))
                 for i, (days, _) in enumerate(frames.values())]
-    rows = df.select("*", F.explode(F.when(F.col(ts).isNull(), F.array(changes[0])).otherwise(F.array(*changes))).alias("_c"))
+    columns = list(dict.fromkeys(c for _, c in frames.values() if c))
+    scales = _scales(df, columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], own.alias("_own"),
+                     F.explode(F.when(F.col(ts).isNull(), F.array(changes[0])).otherwise(F.array(*changes))).alias("_c"))
     rows = rows.select("*", F.col("_c.at").alias("_at"), F.col("_c.frame").alias("_f")).drop("_c")
-    rows = rows.withColumn("_slice", F.floor(F.col("_at") / (2 * slice_us)))
+    rows = rows.withColumn("_own", F.when(F.col("_f") == -1, F.col("_own"))).withColumn("_slice", F.floor(F.col("_at") / (2 * slice_us)))
     deltas = {}
     for i, (_, column) in enumerate(frames.values()):
         add, take = F.col("_f") == -1, F.col("_f") == i
-        held = F.col(column).isNotNull() if column else F.lit(True)
-        deltas[f"_n{i}"] = F.when(held & add, 1).when(held & take, -1)
+        v = F.col(f"_v{columns.index(column)}") if column else F.lit(1)
+        counted = {"n": v.isNotNull()}
         if column:
-            v = F.col(column).cast(_SUM)
-            deltas[f"_s{i}"] = F.when(add, v).when(take, -v)
-    rows = rows.withColumns(deltas)
-    within = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.select("*", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
-    left = rows.groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
+            odd = _odd(v)
+            amount = scales[column].stored(F.when(odd, None).otherwise(v))
+            deltas[f"_s{i}"] = F.when(add, amount).when(take, -amount)
+            wide = v.cast("double")
+            counted |= {"nan": F.isnan(wide), "pos": wide == float("inf"), "neg": wide == float("-inf")}
+        for what, holds in counted.items():
+            deltas[f"_{what}{i}"] = F.when(holds & add, 1).when(holds & take, -1)
+    rows = rows.withColumns(deltas).drop(*[f"_v{i}" for i in range(len(columns))])
+    within = Window.partitionBy("_key", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select("_key", "_slice", "_own", "_f", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
+    left = rows.groupBy(F.col("_key").alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
     before = Window.partitionBy("_k").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     left = left.filter("_sl is not null").select("_k", "_sl", *[F.sum(d).over(before).alias(f"_b{d}") for d in deltas])
-    out = running.join(left, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
+    out = running.join(left, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
 
     def total(d: str):
-        return F.coalesce(F.col(f"_r{d}"), F.lit(0)) + F.coalesce(F.col(f"_b{d}"), F.lit(0))
+        none = F.lit(0)
+        if d.startswith("_s"):
+            none = none.cast(f"decimal(38,{scales[frames[names[int(d[2:])]][1]].digits})")
+        return F.coalesce(F.col(f"_r{d}"), none) + F.coalesce(F.col(f"_b{d}"), none)
 
     results = []
     for i, name in enumerate(names):
         if frames[name][1] is None:
             results.append((total(f"_n{i}") - 1).cast("long").alias(name))
         else:
-            results.append(F.try_divide(total(f"_s{i}").cast("double"), total(f"_n{i}").cast("double")).alias(name))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *results)
+            nan, up, down = (total(f"_{what}{i}") > 0 for what in ("nan", "pos", "neg"))
+            mean = F.try_divide(scales[frames[name][1]].value(total(f"_s{i}")), total(f"_n{i}").cast("double"))
+            mean = F.when(nan | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(mean)
+            results.append(mean.alias(name))
+    return out.select(*[F.col(f"_own.`{c}`") for c in df.columns], *results)
 
 
 def velocity(df: DataFrame, key: str = "user_id", ts: str = "ts", days: int = 1,

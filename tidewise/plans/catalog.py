@@ -498,6 +498,7 @@ QUERIES["train_random_forest"] = _train_query({"model_name": "RandomForestClassi
 QUERIES["train_gbt"] = _train_query({"model_name": "GradientBoostingClassifier", "hyperparameters": {}})
 QUERIES["train_svc_linear"] = _train_query({"model_name": "SVC", "hyperparameters": {"C": 1.0, "kernel": "linear"}})
 QUERIES["train_svc_rbf"] = _train_query({"model_name": "SVC", "hyperparameters": {"C": 1.0}})
+QUERIES["train_svc_rbf_exact"] = _train_query({"model_name": "SVC", "hyperparameters": {"C": 1.0, "exact": True}})
 QUERIES["train"] = _train_query(None)
 
 
