@@ -33,6 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewise.functions.grouped import group_order_statistics
 from tidewise.functions.quantiles import order_statistics
 from tidewise.operators import kernel_svc
 
@@ -64,10 +65,40 @@ def split_hash(key: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(hexd, 1, 15), 16, 10).cast("bigint")
 
 
-#: Classes whose cuts are searched in one step.
+#: Up to so many classes, cuts are searched on brackets without a shuffle; more
+#: are ranked as a table.
 CLASSES_AT_ONCE = 32
 
 
+def _class_cuts(df: DataFrame, cls: Column, h: Column, h2: Column, frac: float) -> DataFrame:
+    """_cls, _cut, _cut2: the hashes up to which a class's rows go to test; no
+    _cut2 where all rows with the hash _cut do."""
+    few = df.select(cls.alias("c")).filter("c IS NOT NULL").distinct().limit(CLASSES_AT_ONCE + 1).collect()
+    if len(few) > CLASSES_AT_ONCE:
+        rows = df.select(cls.alias("_cls"), F.struct(h.alias("a"), h2.alias("b")).alias("_h")).filter("_cls IS NOT NULL")
+        cuts = group_order_statistics(rows, ["_cls"], "_h", lambda n: {"cut": F.ceil(n * F.lit(frac)) - 1})
+        return cuts.select("_cls", F.col("value.a").alias("_cut"), F.col("value.b").alias("_cut2"))
+    classes = sorted(r[0] for r in few)
+    wanted: dict[int, int] = {}
+
+    def rank(i, n):
+        wanted[i] = math.ceil(frac * n)
+        return [wanted[i] - 1]
+
+    found = order_statistics(df, [(h, cls == F.lit(c)) for c in classes], rank, dtype="bigint") if classes else []
+    cut = {i: f[0] for i, f in enumerate(found) if f[0] is not None}
+    cuts: list[tuple] = []
+    if cut:
+        tied = {i: (cls == F.lit(classes[i])) & (h == F.lit(int(v))) for i, v in cut.items()}
+        row = df.agg(*[F.count_if((cls == F.lit(classes[i])) & (h < F.lit(int(v)))).alias(f"b{i}") for i, v in cut.items()],
+                     *[F.count_if(t).alias(f"t{i}") for i, t in tied.items()]).first()
+        split = [i for i in cut if row[f"b{i}"] + row[f"t{i}"] > wanted[i]]
+        second = dict(zip(split, order_statistics(df, [(h2, tied[i]) for i in split],
+                                                  lambda j, n: [wanted[split[j]] - row[f"b{split[j]}"] - 1], dtype="bigint"))) if split else {}
+        cuts = [(classes[i], int(v), second[i][0] if i in second else None) for i, v in cut.items()]
+    return df.sparkSession.createDataFrame(cuts, "_cls double, _cut bigint, _cut2 bigint")
+
+
 def stratified_split(df: DataFrame, target: str, key: str, frac: float = 0.2,
                      seed: int = SEED) -> DataFrame:
     """Adds ``split`` = test / train: per class exactly ceil(frac * n_class)
@@ -75,36 +106,14 @@ def stratified_split(df: DataFrame, target: str, key: str, frac: float = 0.2,
     repeat the key at the cut, and rows without a key among the others, are
     ordered by a hash of the whole row (rows equal in every column stay
     together). The cuts are order statistics
-    (aggregates only), CLASSES_AT_ONCE classes a step; the split joins the
-    small table of cuts — no window, no row is moved by class."""
+    or, for many classes, ranks in a table; the split joins the table of cuts, and
+    no class's rows meet in one task."""
     if key == target:
         raise ValueError("stratified_split: the key must not be the target")
     cls = F.col(target).cast("double")
     h2 = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns])
     h = F.coalesce(split_hash(F.col(key), seed), F.shiftrightunsigned(h2, 4))  # 60 bits as well
-    classes = sorted(r[0] for r in df.select(cls.alias("c")).filter("c IS NOT NULL").distinct().collect())
-    cuts: list[tuple] = []
-    for at in range(0, len(classes), CLASSES_AT_ONCE):
-        some = classes[at: at + CLASSES_AT_ONCE]
-        part = df.filter(cls.isin(some)) if len(classes) > CLASSES_AT_ONCE else df
-        wanted: dict[int, int] = {}
-
-        def rank(i, n):
-            wanted[i] = math.ceil(frac * n)
-            return [wanted[i] - 1]
-
-        found = order_statistics(part, [(h, cls == F.lit(c)) for c in some], rank, dtype="bigint")
-        cut = {i: f[0] for i, f in enumerate(found) if f[0] is not None}
-        if not cut:
-            continue
-        tied = {i: (cls == F.lit(some[i])) & (h == F.lit(int(v))) for i, v in cut.items()}
-        row = part.agg(*[F.count_if((cls == F.lit(some[i])) & (h < F.lit(int(v)))).alias(f"b{i}") for i, v in cut.items()],
-                       *[F.count_if(t).alias(f"t{i}") for i, t in tied.items()]).first()
-        split = [i for i in cut if row[f"b{i}"] + row[f"t{i}"] > wanted[i]]
-        second = dict(zip(split, order_statistics(part, [(h2, tied[i]) for i in split],
-                                                  lambda j, n: [wanted[split[j]] - row[f"b{split[j]}"] - 1], dtype="bigint"))) if split else {}
-        cuts += [(some[i], int(v), second[i][0] if i in second else None) for i, v in cut.items()]
-    table = df.sparkSession.createDataFrame(cuts, "_cls double, _cut bigint, _cut2 bigint")
+    table = _class_cuts(df, cls, h, h2, frac)
     marked = df.withColumns({"_h": h, "_h2": h2}).join(table, cls == F.col("_cls"), "left")
     test = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("_cut2").isNull() | (F.col("_h2") <= F.col("_cut2"))))
     return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train").alias("split"))

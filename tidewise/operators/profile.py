@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewise.functions.expressions import as_number, safe_corr
+from tidewise.functions.grouped import group_quantiles
 from tidewise.functions.quantiles import quantiles
 
 NUMERIC_TYPES = (T.NumericType,)
@@ -457,29 +458,35 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _rows(one, entries)
 
 
-#: Groups whose quartiles are searched in one step (each is a few aggregates).
+#: Up to so many groups, quartiles are searched on brackets without a shuffle;
+#: more are ranked as a table.
 GROUPS_AT_ONCE = 32
 
 
+def _quartiles(df: DataFrame, cols: list[str], g: Column) -> DataFrame:
+    """g, column, q1, med, q3 of every numeric column in every group."""
+    few = df.select(g.alias("g")).filter("g IS NOT NULL").distinct().limit(GROUPS_AT_ONCE + 1).collect()
+    qs = {"q1": 0.25, "med": 0.5, "q3": 0.75}
+    if len(few) > GROUPS_AT_ONCE:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), _c(c).cast("double").alias("x")) for i, c in enumerate(cols)])
+        long = df.filter(g.isNotNull()).select(g.alias("g"), F.explode(cells).alias("e")).select("g", "e.i", "e.x")
+        names = F.array(*map(F.lit, cols))
+        return group_quantiles(long, ["g", "i"], "x", qs).select("g", F.element_at(names, F.col("i") + 1).alias("column"), *qs)
+    groups = sorted(r["g"] for r in few)
+    series = [(_c(c), g == F.lit(v)) for v in groups for c in cols]
+    found = quantiles(df, series, [list(qs.values())] * len(series)) if series else []
+    rows = [(v, c, *q) for (v, c), q in zip([(v, c) for v in groups for c in cols], found)]
+    return df.sparkSession.createDataFrame(rows, "g double, column string, q1 double, med double, q3 double")
+
+
 def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud") -> DataFrame:
     """Box-plot numbers per group value: exact quartiles, whiskers at the
     furthest values within 1.5 IQR, flier count, for every numeric column
-    unless ``cols`` says which. The group values are a distributed distinct;
-    quartiles per (group, column) come from the bracketing quantile routine,
-    GROUPS_AT_ONCE groups a step; the second pass joins the per-group table
-    and aggregates."""
+    unless ``cols`` says which. The second pass joins the per-group table of
+    quartiles and aggregates."""
     cols = cols or numeric_columns(df, by)
     g = _c(by).cast("double")
-    groups = sorted(r["g"] for r in df.select(g.alias("g")).filter("g IS NOT NULL").distinct().collect())
-    spark = df.sparkSession
-    rows = []
-    for at in range(0, len(groups), GROUPS_AT_ONCE):
-        some = groups[at: at + GROUPS_AT_ONCE]
-        part = df.filter(g.isin(some)) if len(groups) > GROUPS_AT_ONCE else df
-        series = [(_c(c), g == F.lit(v)) for v in some for c in cols]
-        qs = quantiles(part, series, [[0.25, 0.5, 0.75]] * len(series))
-        rows += [(v, c, q[0], q[1], q[2]) for (v, c), q in zip([(v, c) for v in some for c in cols], qs)]
-    qdf = spark.createDataFrame(rows, "g double, column string, q1 double, med double, q3 double")
+    qdf = _quartiles(df, cols, g)
     wide = qdf.groupBy("g").pivot("column", cols).agg(
         F.first("q1").alias("q1"), F.first("q3").alias("q3"))
     joined = df.select(g.alias("g"), *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
