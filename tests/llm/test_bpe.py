@@ -52,5 +52,6 @@ def test_digests(spark, both, edge_docs, no_docs):
         want.append((r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, bpe.digests(edge_docs, tokenizer_path(), cached=4).collect()), key=key) == sorted(want, key=key)
     got = {r.doc_id: r.ids for r in bpe.encode(edge_docs.filter("doc_id = 9"), tokenizer_path()).collect()}
     assert got[9] == both[1].encode("émile zola écrivit naïvement à Σίσυφος", add_special_tokens=False).ids

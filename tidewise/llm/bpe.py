@@ -10,7 +10,7 @@ implies, one space.
 The file is read on the driver and its merges are broadcast (1 to 2 MB, a
 constant of the vocabulary). Encoding is a map over Arrow batches: no shuffle,
 whole texts, and memory bounded by one batch plus a cache of CACHED words
-in a task, so a lost executor costs its unfinished batches.
+in a worker, so a lost executor costs its unfinished batches.
 
 Defined results: null and empty texts have no tokens (digests of nothing);
 repeated rows give repeated results; an empty table gives an empty table;
@@ -33,9 +33,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and blank-separated stretches, whose encodings a worker keeps (about
-#: 60 MB together); the older half is dropped when full.
-CACHED = 100_000
+#: Words, and blank-separated stretches, whose ids a worker keeps (about 120 MB
+#: together); the older half is dropped when full.
+CACHED = 300_000
 
 #: Signs after which a stretch of letters needs no pattern to be parted.
 ENDS = frozenset(",.;:!?")
@@ -64,16 +64,16 @@ class _Recent(dict):
     """Values of ``make`` for recent keys; when full, the last generation is
     kept for one more round."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHED // 2:
+            if len(self) >= self.most // 2:
                 self.old = dict(self)
                 self.clear()
             self[key] = found
@@ -83,7 +83,8 @@ class _Recent(dict):
 class Codec:
     """Encoder and decoder built from a parsed tokenizer file."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, cached: int | None = None):
+        self.cached = CACHED if cached is None else cached
         model = spec["model"]
         vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -133,46 +134,44 @@ class Codec:
                     push(queue, rank << POSITION_BITS | h)
         return [x for x in alive if x >= 0]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one word."""
+    def word(self, word: str) -> bytes:
+        """The ids of one word, as bytes."""
         raw = word.encode()
         symbols = [*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]]
-        return self.merge(symbols if None not in symbols else [s for s in symbols if s is not None])
+        return array("I", self.merge(symbols if None not in symbols else [s for s in symbols if s is not None])).tobytes()
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """(ids as bytes, decoded string) of a normalised stretch of text."""
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a normalised stretch of text, as bytes."""
         if chunk.isalpha():
             words = [chunk]
         elif chunk[-1] in ENDS and chunk[:-1].isalpha():
             words = [chunk[:-1], chunk[-1]]
         else:
             words = self.find(chunk)
-        ids = [i for word in words for i in self.words[word]]
-        return array("I", ids).tobytes(), self.decode(ids)
+        return b"".join(map(self.words.__getitem__, words))
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """The encodings of a text's stretches in order."""
-        found: list[tuple[bytes, str]] = []
+    def ids(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian 32-bit integers."""
+        found: list[bytes] = []
         for part in self.cut.split(text) if self.cut and any(map(text.__contains__, self.special)) else [text]:
             if part in self.special:
-                one = self.special[part]
-                found.append((array("I", [one]).tobytes(), self.strings[one]))
+                found.append(array("I", [self.special[part]]).tobytes())
                 continue
             # Sigma: the library lowers each character alone, without the word-final form
             low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             # str.split also parts at separators that the pattern takes as signs
             found.extend(map(self.chunks.__getitem__, [low] if SEPARATORS.search(low) else low.split()))
-        return found
+        return b"".join(found)
 
     def forget(self) -> None:
         """Drop the kept encodings."""
-        self.words, self.chunks = _Recent(self.word), _Recent(self.chunk)
+        self.words, self.chunks = _Recent(self.word, self.cached), _Recent(self.chunk, self.cached)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(a for a, _ in self.pieces(text or "")), "<u4").tolist()
+        return np.frombuffer(self.ids(text or ""), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 def load(path: str) -> dict:
@@ -183,11 +182,11 @@ def load(path: str) -> dict:
 _codecs: dict[int, Codec] = {}
 
 
-def _codec(shared) -> Codec:
+def _codec(shared, cached: int | None = None) -> Codec:
     """One codec per worker process and broadcast file."""
     if id(shared.value) not in _codecs:
         _codecs.clear()
-        _codecs[id(shared.value)] = Codec(shared.value)
+        _codecs[id(shared.value)] = Codec(shared.value, cached)
     return _codecs[id(shared.value)]
 
 
@@ -202,27 +201,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", ids("text").alias("ids"))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, cached: int | None = None) -> DataFrame:
     """Per document: the number of tokens, the digest of the ids as
-    little-endian 32-bit integers, and that of the decoded text."""
+    little-endian 32-bit integers, and that of the decoded text. ``cached``
+    words are kept by a worker until its task ends; without it, CACHED words are
+    kept for the worker's later tasks too."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, cached)
         try:
             yield from made(codec, batches)
         finally:
-            codec.forget()  # the worker may go on with other work
+            if cached is not None:
+                _codecs.clear()  # the worker goes on with other work
 
     def made(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for text in batch.column(1):
-                found = list(codec.pieces(text.as_py() or ""))
-                ids = b"".join([a for a, _ in found])
+                ids = codec.ids(text.as_py() or "")
                 counts.append(len(ids) // 4)
                 ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(" ".join([s for a, s in found if a]).encode()).hexdigest())
+                text_hex.append(hashlib.sha256(codec.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
