@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
-    return bpe.digests(docs, tokenizer_path())
+    return bpe.digests(docs, tokenizer_path(), cached=50_000)  # workers also hold what earlier stages left
 
 
 STAGES = [

@@ -23,6 +23,8 @@ the sample. Only ``text`` is an input of a prediction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from itertools import chain
 
 import numpy as np
@@ -298,21 +300,16 @@ def fit(docs: DataFrame) -> tuple[str, int, list[tuple[str, int, bytes]]]:
     return alphabet, classes, [(r["lang"], r["n"], bytes(r["model"])) for r in built]
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def predictor(spark, model):
     """A column function: text -> struct(lang_pred, score)."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        value = shared.value
-        if id(value) not in _parsers:
-            _parsers.clear()
-            _parsers[id(value)] = Parser(*value)
-        langs, scores = _parsers[id(value)].predict(texts.fillna("").tolist())
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parser = Parser(*shared.value)  # one a task: nothing stays in the worker
+        for texts in batches:
+            langs, scores = parser.predict(texts.fillna("").tolist())
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return predict
 
