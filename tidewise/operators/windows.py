@@ -89,11 +89,11 @@ def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str
                 for i, (days, _) in enumerate(frames.values())]
     columns = list(dict.fromkeys(c for _, c in frames.values() if c))
     scales = _scales(df, columns)
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], own.alias("_own"),
+    own = {c: f"_o{i}" for i, c in enumerate(df.columns)}  # one by one, so that unused ones are pruned
+    rows = df.select(F.col(key), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], *[F.col(f"`{c}`").alias(o) for c, o in own.items()],
                      F.explode(F.when(F.col(ts).isNull(), F.array(changes[0])).otherwise(F.array(*changes))).alias("_c"))
     rows = rows.select("*", F.col("_c.at").alias("_at"), F.col("_c.frame").alias("_f")).drop("_c")
-    rows = rows.withColumn("_own", F.when(F.col("_f") == -1, F.col("_own"))).withColumn("_slice", F.floor(F.col("_at") / (2 * slice_us)))
+    rows = rows.withColumns({o: F.when(F.col("_f") == -1, F.col(o)) for o in own.values()}).withColumn("_slice", F.floor(F.col("_at") / (2 * slice_us)))
     deltas = {}
     for i, (_, column) in enumerate(frames.values()):
         add, take = F.col("_f") == -1, F.col("_f") == i
@@ -108,12 +108,12 @@ def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str
         for what, holds in counted.items():
             deltas[f"_{what}{i}"] = F.when(holds & add, 1).when(holds & take, -1)
     rows = rows.withColumns(deltas).drop(*[f"_v{i}" for i in range(len(columns))])
-    within = Window.partitionBy("_key", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.select("_key", "_slice", "_own", "_f", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
-    left = rows.groupBy(F.col("_key").alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
+    within = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select(key, "_slice", *own.values(), "_f", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
+    left = rows.groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
     before = Window.partitionBy("_k").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     left = left.filter("_sl is not null").select("_k", "_sl", *[F.sum(d).over(before).alias(f"_b{d}") for d in deltas])
-    out = running.join(left, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
+    out = running.join(left, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
 
     def total(d: str):
         none = F.lit(0)
@@ -130,7 +130,7 @@ def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str
             mean = F.try_divide(scales[frames[name][1]].value(total(f"_s{i}")), total(f"_n{i}").cast("double"))
             mean = F.when(nan | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(mean)
             results.append(mean.alias(name))
-    return out.select(*[F.col(f"_own.`{c}`") for c in df.columns], *results)
+    return out.select(*[F.col(o).alias(c) for c, o in own.items()], *results)
 
 
 def velocity(df: DataFrame, key: str = "user_id", ts: str = "ts", days: int = 1,
