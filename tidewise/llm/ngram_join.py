@@ -26,9 +26,13 @@ Steps, each a distributed job:
 
 A part that more than GROUP classes share (a very common passage) is skipped in
 step 4 for every class that has enough other parts for the pigeonhole: both
-partners must be short of parts to need it. Pairs of those are compared in
-blocks of BLOCK by sketches, spread over tasks. So no part, however common,
-is in one task or expanded into pairs of all its documents.
+partners must be short of parts to need it. Those are compared in blocks of
+BLOCK by sketches, spread over tasks, and parts with the same members once. A
+block first gives a forest, at most one pair for each of its classes, which is
+verified; only pairs whose classes are in different components even then are
+verified one by one. So no part, however common, is in one task or expanded
+into pairs of all its documents, and sketches are compared where rows meet,
+before a pair is shuffled.
 
 Defined results: null and blank texts have no shingle and are linked with
 nothing; fewer than five words are one shingle; repeated rows are copies; a
@@ -39,7 +43,8 @@ empty table. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -58,6 +63,9 @@ GROUP, FLUSH_GROUP, BLOCK = 64, 16, 512
 #: Parts that a task holds before it sorts and packs them; parts a range.
 FLUSH, RANGE = 1 << 18, 1 << 18
 SKETCH_BITS = 1024
+#: A forest takes pairs below this share of the allowed distance first; salts
+#: that spread the members of one part.
+SURE, SALTS = 0.8, 16
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -134,18 +142,21 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, n, hi, lo, sketch: size, digest and sketch of every document's set."""
+    """id, n, hi, lo, sketch: size, digest and sketch (SKETCH_BITS / 64 words,
+    null without shingles) of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            sketches = [b""] * batch.num_rows
+            sketches = [None] * batch.num_rows
             for i, s in shingle_sets(batch.column(1), words):
-                n[i], sketches[i] = len(s), sketch(s)
+                n[i] = len(s)
+                if len(s):
+                    sketches[i] = np.frombuffer(sketch(s), np.int64)
                 hi[i], lo[i] = digest(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, pa.binary())], names=["id", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "hi", "lo", "sketch"])
 
-    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch binary")
+    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch array<long>")
 
 
 def _pack(keys: np.ndarray, entities: np.ndarray) -> bytes:
@@ -294,21 +305,11 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return semi(_source(docs), ids, ["id"]).mapInArrow(run, "entity long, lo long, n long, shingles binary")
 
 
-def near_enough(ka: bytes, kb: bytes, na: int, nb: int, percent: int) -> bool:
-    """Whether sketches allow a link."""
-    far = np.bitwise_count(np.frombuffer(ka, np.uint64) ^ np.frombuffer(kb, np.uint64)).sum()
-    return bool(far <= difference(na + nb, percent))
-
-
-def _sketched(pairs: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b, na, nb, ka, kb) that sketches allow."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [near_enough(*row, percent) for row in zip(pdf["ka"], pdf["kb"], pdf["na"], pdf["nb"])]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return pairs.select("a", "b", "na", "nb", "ka", "kb").mapInPandas(run, "a long, b long").distinct()
+def _allowed(percent: int):
+    """Whether the sizes na, nb and sketches ka, kb of a pair allow a link."""
+    words = (F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH_BITS // 64))
+    near = reduce(add, words) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & near
 
 
 def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -329,36 +330,49 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, p
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long").distinct()
 
 
-def _compatible(percent: int):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-
-def _common_pairs(groups: DataFrame, percent: int) -> DataFrame:
+def _common_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs within common parts (columns part, node, n, component, sketch)
-    that different components and sketches allow, block against block."""
-    counts = groups.groupBy("part").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
-    rows = groups.join(counts.select("part", F.ceil(F.col("size") / BLOCK).alias("blocks")), "part")
+    that different components and sketches allow, block against block. With
+    ``forest`` a block gives only pairs that join its components into the
+    fewest possible, the nearest ones first."""
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS))
+    counts = groups.groupBy("part").agg(
+        F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    counts = counts.filter("c1 <> c2").groupBy("size", "members").agg(F.min("part").alias("part"))
+    counts = counts.select("part", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    rows = groups.withColumn("salt", salt).join(counts, ["part", "salt"]).drop("salt")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        node, n, comp, block = (pdf[c].to_numpy() for c in ("node", "n", "component", "block"))
+        bits = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        node, n, label, block = (pdf[c].to_numpy().copy() for c in ("node", "n", "component", "block"))
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
         left = np.arange(len(pdf)) if same else np.flatnonzero(block == pdf["lo"].iloc[0])
         right = left if same else np.flatnonzero(block == pdf["hi"].iloc[0])
-        out = []
-        for i in left:
-            far = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1)
-            fits = (far * (100 + percent) <= (100 - percent) * (n[right] + n[i])) & (comp[right] != comp[i])
-            fits &= np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent
-            hits = right[fits]
-            out.append(np.stack([np.minimum(node[hits], node[i]), np.maximum(node[hits], node[i])], axis=1))
-        out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for share in (SURE, 1.0) if forest else (1.0,):
+            for i in left:
+                others = right[label[right] != label[i]]
+                others = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent]
+                if not len(others):
+                    continue
+                far = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) * (100 + percent) / ((n[others] + n[i]) * (100 - percent))
+                fits = far <= share
+                hits = others[fits]
+                if forest and len(hits):
+                    hits = hits[np.argsort(far[fits], kind="stable")]
+                    joined, nearest = np.unique(label[hits], return_index=True)
+                    hits = hits[nearest]
+                    label[np.isin(label, joined)] = label[i]
+                out.append(np.stack([np.minimum(node[hits], node[i]), np.maximum(node[hits], node[i])], axis=1))
+        out = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
-    return rows.groupBy("part", "lo", "hi").applyInPandas(run, "a long, b long")
+    # by block, not by part alone: the join's exchange would serve the grouping
+    rows = rows.repartition("part", "lo", "hi")
+    return rows.groupBy("part", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -377,34 +391,41 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     named = stored(classes.join(ends, "entity", "left_semi"), "candidates")
 
     stars = found.filter(F.col("kind") == PAIR).select(F.col("a").alias("ea"), F.col("b").alias("eb")).distinct()
-    end = lambda x: named.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"))
-    stars = stars.join(end("a"), "ea").join(end("b"), "eb").filter(_compatible(percent)).filter("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: named.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    stars = stored(_sketched(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
-    links = stored(_verified(docs, named, stars, words, percent), "star-links")
+    end = lambda x: named.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    stars = stars.join(end("a"), "ea").join(end("b"), "eb").filter(_allowed(percent)).filter("a <> b")
+    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    links, tried = stored(_verified(docs, named, stars, words, percent), "star-links"), stars
 
-    own = components(links)
-    placed = stored(named.drop("sketch").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-
-    small = found.filter(F.col("kind") == PART).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct().join(placed, "entity").select("part", "node", "n", "component")
-    spread = small.groupBy("part").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("part")
-    small = stored(small.join(spread, "part", "left_semi"), "small-groups")
-    one = small.select("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = small.select("part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = one.join(two, (one["part"] == two["part"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(percent)).select("a", "b")
+    def placed() -> DataFrame:
+        own = components(links)
+        return stored(named.join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
+    now = placed()
     common = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct()
     common = common.withColumn("band", F.col("part").bitwiseAND(F.lit(255)))
     taken = common.groupBy("entity", "band").agg(F.count("*").alias("common"))
     extra = found.filter(F.col("kind") == EXTRA).select(F.col("b").alias("entity"), F.shiftright("a", 32).alias("band"), (F.col("a").bitwiseAND(F.lit((1 << 32) - 1)) - _ZERO).alias("extra"))
-    short = stored(taken.join(extra, ["entity", "band"]).filter("common > extra").select("entity", "band").distinct(), "short-classes")
-    if not short.isEmpty():
-        members = common.join(short, ["entity", "band"]).select("part", "entity").join(placed, "entity").select("part", "node", "n", "component")
-        members = members.join(named.select("node", "sketch"), "node")
-        pairs = pairs.union(_common_pairs(members, percent))
-    pairs = pairs.distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = stored(_sketched(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "late-pairs")
+    short = taken.join(extra, ["entity", "band"]).filter("common > extra").select("entity", "band").distinct()
+    members = stored(common.join(short, ["entity", "band"]).select("part", "entity"), "short-members")
+    any_short = not members.isEmpty()
+    in_common = lambda: members.join(now, "entity").select("part", "node", "n", "component", "sketch")
+    if any_short:
+        pairs = _common_pairs(in_common(), percent, forest=True).join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "forest")
+        if not pairs.isEmpty():
+            tried = tried.union(pairs)
+            links = stored(links.union(_verified(docs, named, pairs, words, percent)), "forest-links")
+            now = placed()
+
+    small = found.filter(F.col("kind") == PART).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct().join(now, "entity").select("part", "node", "n", "component", "sketch")
+    spread = small.groupBy("part").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("part")
+    small = stored(small.join(spread, "part", "left_semi"), "small-groups")
+    one = small.select("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
+    two = small.select(F.col("part").alias("part_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
+    pairs = one.join(two, F.col("part") == F.col("part_b")).filter("a < b and ca <> cb").filter(_allowed(percent)).select("a", "b").distinct()
+    if any_short:
+        pairs = pairs.union(_common_pairs(in_common(), percent, forest=False)).distinct()
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "late-pairs")
     if pairs.isEmpty():
         return links
     return links.union(_verified(docs, named, pairs, words, percent))
