@@ -95,6 +95,31 @@ def test_common_passages_and_large_groups(spark, monkeypatch, group, flush):
     agrees(spark, list(enumerate(texts)))
 
 
+def test_long_documents(spark):
+    """Sets beyond the plain sketch, with wide sketches of equal and of
+    different sizes (1900 and 2100 words), linked and unlinked."""
+    rng = random.Random(5)
+    texts = []
+    for k, (n, m) in enumerate([(1900, 2100), (2040, 2060), (1000, 1100), (5000, 5100)]):
+        words = [f"l{k}w{i}" for i in range(m)]
+        texts += [" ".join(words), " ".join(words[:n]), edited(words, m // 60, rng), edited(words, m // 15, rng), edited(words, m // 44, rng)]
+    agrees(spark, list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("n, m", [(1030, 1200), (2000, 2100), (4000, 4090), (70000, 80000)])
+def test_wide_sketches_allow_links(spark, n, m):
+    """The distance of wide sketches never exceeds the differing shingles; sets
+    with nothing in common are refused."""
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 2**63, m, dtype=np.uint64))
+    sets = {1: a, 2: np.sort(rng.permutation(a)[:n]), 3: np.unique(rng.integers(0, 2**63, m, dtype=np.uint64))}
+    rows = [(k, len(s), np.frombuffer(ngram_join.sketch(s, ngram_join.wide_bits(len(s))), np.int64).tolist()) for k, s in sets.items()]
+    rows.append((4, 1000, None))
+    named = spark.createDataFrame(rows, "node long, n long, wide array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert sorted(map(tuple, ngram_join._sharper(named, pairs, 80).collect())) == [(1, 2), (1, 4)]
+
+
 def test_parts_beside_a_common_one(spark):
     """Parts 1, common in one flush, and 2 have the same holders: the ordinary
     part is kept."""

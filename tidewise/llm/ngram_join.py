@@ -10,7 +10,8 @@ sets share a part (pigeonhole), and they are found by joining on parts. m and
 D belong to a size band; a set also enters the next bands that a larger
 partner may be in. Empty parts are left out wherever the parts that remain
 still exceed D. Candidates are verified: first by the Hamming distance of a
-folded sketch, then exactly on the shingle sets.
+folded sketch, then, for sets that fill it, of a wide one whose size follows the
+set's, then exactly on the shingle sets.
 
 Steps, each a distributed job:
 
@@ -63,6 +64,9 @@ GROUP, FLUSH_GROUP, BLOCK = 64, 16, 512
 #: Parts that a task holds before it sorts and packs them; parts a range.
 FLUSH, RANGE = 1 << 18, 1 << 18
 SKETCH_BITS = 1024
+#: Sets of more shingles than SKETCH_BITS also have a sketch of at least one bit
+#: a shingle, up to this many bits (past it the filter is weaker, not the result).
+WIDE_BITS = 1 << 16
 #: A forest takes pairs below this share of the allowed distance first; salts
 #: that spread the members of one part.
 SURE, SALTS = 0.8, 16
@@ -131,32 +135,41 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """The parity sketch folded to SKETCH_BITS."""
-    ones = np.bincount((shingles & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """The parity sketch folded to so many bits, a power of two."""
+    ones = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
 
+def wide_bits(n: int) -> int:
+    """Bits of the wide sketch of n shingles; 0: it has none."""
+    return 0 if n <= SKETCH_BITS else min(WIDE_BITS, 1 << (n - 1).bit_length())
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, n, hi, lo, sketch: size, digest and sketch (SKETCH_BITS / 64 words,
-    null without shingles) of every document's set."""
+    """id, n, hi, lo, sketch, wide: size, digest, sketch (SKETCH_BITS / 64 words,
+    null without shingles) and wide sketch (null if it has none) of every
+    document's set."""
+    words64 = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            sketches = [None] * batch.num_rows
+            sketches, wide = [None] * batch.num_rows, [None] * batch.num_rows
             for i, s in shingle_sets(batch.column(1), words):
                 n[i] = len(s)
                 if len(s):
                     sketches[i] = np.frombuffer(sketch(s), np.int64)
+                if wide_bits(len(s)):
+                    wide[i] = np.frombuffer(sketch(s, wide_bits(len(s))), np.int64)
                 hi[i], lo[i] = digest(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, words64), pa.array(wide, words64)], names=["id", "n", "hi", "lo", "sketch", "wide"])
 
-    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch array<long>")
+    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch array<long>, wide array<long>")
 
 
 def _pack(keys: np.ndarray, entities: np.ndarray) -> bytes:
@@ -312,8 +325,28 @@ def _allowed(percent: int):
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & near
 
 
+def _sharper(named: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide sketches allow as well; a pair of sets of
+    which one has none stays. Allowed sizes differ by less than two, so one
+    fold makes two wide sketches equally long."""
+    side = lambda x: named.filter("wide IS NOT NULL").select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    size = F.least(F.size("wa"), F.size("wb"))
+
+    def folded(w: str):
+        halves = F.zip_with(F.slice(w, F.lit(1), size), F.slice(w, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(w) > size, halves).otherwise(F.col(w))
+
+    far = F.aggregate(F.zip_with(folded("wa"), folded("wb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    alone = F.col("wa").isNull() | F.col("wb").isNull()
+    return both.filter(F.when(alone, F.lit(True)).otherwise(near)).select("a", "b")
+
+
 def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b: nodes) that are linked, by their shingle sets."""
+    """The pairs (a, b: nodes) that are linked, by their wide sketches and then
+    their shingle sets."""
+    pairs = stored(_sharper(named, pairs, percent), "sharper")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = candidate_sets(docs, nodes, words).join(named.select("entity", "lo", "n", "node"), ["entity", "lo", "n"])
     sets = stored(sets.select("node", "shingles"), "candidate-sets")
@@ -380,7 +413,7 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     the components of all linked documents. ``table``: ``set_table(docs)``."""
     empty = docs.sparkSession.createDataFrame([], "a long, b long")
     first = F.min(F.when(F.col("id") > NO_ID, F.col("id")))
-    classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.coalesce(first, F.lit(NO_ID)).alias("node"), F.min("sketch").alias("sketch"))
+    classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.coalesce(first, F.lit(NO_ID)).alias("node"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"))
     classes = stored(classes.withColumnRenamed("hi", "entity"), "classes")
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
@@ -398,7 +431,7 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
 
     def placed() -> DataFrame:
         own = components(links)
-        return stored(named.join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        return stored(named.drop("wide").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
     now = placed()
     common = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct()
@@ -438,7 +471,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         table = stored(set_table(docs, words), "sets")
         links = stored(link_table(docs, table, words, percent), "all-links")
     named = components(links)
-    table = table.drop("sketch")
+    table = table.drop("sketch", "wide")
     classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.when(F.col("id") > NO_ID, F.col("id"))).alias("first"))
     classes = classes.withColumn("node", F.coalesce("first", F.lit(NO_ID))).join(named, "node", "left")
     classes = classes.select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
