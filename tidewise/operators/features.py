@@ -13,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.functions.expressions import flag
 from tidewise.functions.quantiles import quantile
 from tidewise.roles import Roles
+from tidewise.session import discard, materialize
 
 _DAY_US = 86_400_000_000
 
@@ -173,19 +174,23 @@ class FeatureSet:
         return FeatureModel(plan, created, skipped, self.source, fitted)
 
 
-def one_hot_fit(df: DataFrame, cols: list[str], max_categories: int = 10_000) -> dict[str, list[str]]:
+def category_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct non-missing (k = column, v = value as text) pairs."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
+                                for c in cols]))
+    return df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL").distinct()
+
+
+def one_hot_fit(df: DataFrame, cols: list[str], max_categories: int = 10_000) -> dict[str, list[str]] | None:
     """Sorted distinct non-missing values per column, from one distributed
-    distinct over (column, value) pairs. The category count is checked
-    against ``max_categories`` before anything is collected."""
+    distinct over (column, value) pairs; None where there are more than
+    ``max_categories`` in all, which is checked before anything is collected."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
-                                for c in cols]))
-    distinct = df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL").distinct()
-    rows = distinct.limit(max_categories + 1).collect()  # one job, bounded
+    rows = category_pairs(df, cols).limit(max_categories + 1).collect()  # one job, bounded
     if len(rows) > max_categories:
-        raise ValueError(f"one-hot: more than max_categories={max_categories} categories")
+        return None
     found: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         found[r["k"]].append(r["v"])
@@ -209,12 +214,85 @@ class OneHotModel:
         return df.withColumns(out) if out else df
 
 
+#: Copies of each dictionary entry that rows are joined with, so that a value
+#: of a third of the rows is spread over so many tasks.
+SALTS = 16
+
+
+@dataclass
+class WideOneHotModel:
+    """Categories as a table instead of columns: ``dictionary`` (k, v, i) gives
+    the place i of value v in the vector of column k, the alphabetically first
+    value of a column having none; ``sizes`` the length of each vector."""
+    dictionary: DataFrame
+    sizes: dict[str, int]
+    out: str = "onehot"
+
+    @property
+    def categories(self) -> dict[str, int]:
+        return self.sizes
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.out]
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the place of each column's value, the vector's length
+        where it has none (missing, first or never seen), as ``_i0``, ``_i1``..."""
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+        names = list(df.columns)
+        df = df.withColumn("_salt", salt)
+        for j, (c, n) in enumerate(self.sizes.items()):
+            places = (self.dictionary.filter(F.col("k") == c)
+                      .select(F.col("v").alias("_v"), F.col("i").cast("double").alias("_at"),
+                              F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_s")))
+            df = (df.join(places, (F.col(f"`{c}`").cast("string") == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left")
+                  .select(*[F.col(f"`{x}`") for x in names], "_salt", *[f"_i{k}" for k in range(j)],
+                          F.coalesce("_at", F.lit(float(n)))
+                          .alias(f"_i{j}", metadata={"ml_attr": {"type": "nominal", "num_vals": max(n, 1)}})))
+        return df.drop("_salt")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds the sparse vector ``out``: the columns' 0/1 vectors side by side."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+        at = [f"_i{j}" for j in range(len(self.sizes))]
+        vectors = [f"_x{j}" for j in range(len(self.sizes))]
+        known = self.indexed(df)
+        encoder = OneHotEncoder(inputCols=at, outputCols=vectors, handleInvalid="keep").fit(known)
+        joined = VectorAssembler(inputCols=vectors, outputCol=self.out).transform(encoder.transform(known))
+        return joined.drop(*at, *vectors)
+
+
+def wide_one_hot_fit(df: DataFrame, cols: list[str]) -> WideOneHotModel:
+    """A dictionary of any number of categories: the distinct values are dealt
+    out by ranges, numbered within their range and moved by the sizes of the
+    ranges before, so no list of values reaches the driver or one task."""
+    cols = [c for c in cols if c in df.columns]
+    ranged = materialize(category_pairs(df, cols).repartitionByRange("k", "v")
+                         .withColumn("_p", F.spark_partition_id()), "categories")
+    held = ranged.groupBy("k", "_p").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each range and column
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("k", "_p").orderBy("v"))
+    numbered = (ranged.join(held.select("k", "_p", before.alias("_before")), ["k", "_p"])
+                .select("k", "v", (F.col("_before") + place - 2).alias("i")).filter("i >= 0"))
+    dictionary = materialize(numbered, "dictionary")
+    counts = {r["k"]: r["n"] for r in dictionary.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    discard(ranged)
+    return WideOneHotModel(dictionary, {c: counts.get(c, 0) for c in cols})
+
+
 class OneHot:
-    def __init__(self, cols: list[str]):
-        self.cols = cols
+    """0/1 columns for up to ``max_categories`` values in all columns together,
+    one sparse vector column beyond."""
+
+    def __init__(self, cols: list[str], max_categories: int = 10_000):
+        self.cols, self.max_categories = cols, max_categories
 
-    def fit(self, df: DataFrame) -> OneHotModel:
-        return OneHotModel(one_hot_fit(df, self.cols))
+    def fit(self, df: DataFrame) -> OneHotModel | WideOneHotModel:
+        few = one_hot_fit(df, self.cols, self.max_categories)
+        return OneHotModel(few) if few is not None else wide_one_hot_fit(df, self.cols)
 
 
 def drop_roles(df: DataFrame, roles: Roles | None = None, keep: list[str] | None = None) -> DataFrame:

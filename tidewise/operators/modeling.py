@@ -30,12 +30,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.functions.grouped import group_order_statistics
 from tidewise.functions.quantiles import order_statistics
 from tidewise.operators import kernel_svc
+from tidewise.session import checkpoint_dir, materialize
 
 # Models that get standard scaling, and the first-round model.
 NEEDS_SCALING = {"LogisticRegression", "SVC"}
@@ -53,6 +55,10 @@ FOREST_FIT_ROWS = 200_000
 TREE_TUNING = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 
 
+def vector_columns(df: DataFrame, features: list[str]) -> list[str]:
+    return [c for c in features if isinstance(df.schema[c].dataType, VectorUDT)]
+
+
 def fill_zero(df: DataFrame, features: list[str]) -> DataFrame:
     """Remaining missing feature values -> 0."""
     return df.fillna(0, subset=features)
@@ -228,7 +234,7 @@ def make_estimator(model_name: str, hyperparameters: dict | None, n_train: float
                              seed=SEED, **TREE_TUNING, **common)
     if model_name == "SVC":
         c = float(hp.get("C", 1.0))
-        return LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=100,
+        return LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=1000,
                          weightCol=weight_col, **common)
     if model_name == "RandomForestClassifier":
         depth = hp.get("max_depth")
@@ -252,15 +258,25 @@ class Trained:
     rff: RffModel | None = None
     n_train: int = 0
     n_test: int = 0
+    #: Steps of a linear model's solver; ``converged`` is False where it ran
+    #: out of steps. None for other models.
+    iterations: int | None = None
+    converged: bool | None = None
     split: DataFrame | None = field(default=None, repr=False)
 
+    @property
+    def vectors(self) -> list[str]:
+        """Features that are vectors (a wide one-hot encoding)."""
+        return vector_columns(self.split, self.features)
+
     @property
     def full_name(self) -> str:
         hp = ", ".join(f"{k}={v}" for k, v in self.hyperparameters.items())
         return f"{self.model_name}({hp})" if hp else self.model_name
 
     def report(self) -> str:
-        return f"Model: {self.full_name}\nTrain size: {self.n_train}, Test size: {self.n_test}"
+        text = f"Model: {self.full_name}\nTrain size: {self.n_train}, Test size: {self.n_test}"
+        return text if self.converged is not False else f"{text}\nNot converged after {self.iterations} iterations"
 
     def prepare(self, df: DataFrame) -> DataFrame:
         df = fill_zero(df, self.features)
@@ -292,28 +308,36 @@ class Trained:
             vals = np.abs(m.coefficients.toArray())
         else:
             return spark.createDataFrame([], schema)
+        names = [c for c in self.features if c not in self.vectors]
+        if self.vectors:  # one vector of categories, after the others
+            names += [f"{self.vectors[0]}[{j}]" for j in range(len(vals) - len(names))]
         order = sorted(range(len(vals)), key=lambda i: (-vals[i], i))[:top]
-        return spark.createDataFrame([(r + 1, self.features[i], float(vals[i])) for r, i in enumerate(order)],
+        return spark.createDataFrame([(r + 1, names[i], float(vals[i])) for r, i in enumerate(order)],
                                      schema)
 
 
 def train(features: DataFrame, target: str, key: str, config: dict | None = None,
           frac: float = 0.2, seed: int = SEED) -> Trained:
     """split -> fill -> weight -> scale where needed -> fit. Default:
-    logistic regression, C = 1, when no recommendation is given."""
-    from tidewise.session import checkpoint_dir
+    logistic regression, C = 1, when no recommendation is given. A vector
+    column among the features (a wide one-hot encoding) is used as it is,
+    unscaled, by every model but SVC with the RBF kernel."""
     checkpoint_dir(features.sparkSession)  # tree training checkpoints node ids there
     if not config or "model_name" not in config:
         config = dict(DEFAULT_MODEL_CONFIG)
     name = config["model_name"]
     hp = dict(config.get("hyperparameters") or {})
     feats = [c for c in features.columns if c not in (target, key)]
-    split = stratified_split(fill_zero(features, feats), target, key, frac, seed).persist()
+    wide = vector_columns(features, feats)
+    feats = [c for c in feats if c not in wide] + wide
+    split = materialize(stratified_split(fill_zero(features, feats), target, key, frac, seed), "split")
     train_df = split.filter("split = 'train'")
-    scaler = Scaler(feats).fit(train_df) if name in NEEDS_SCALING else None
+    scaler = Scaler([c for c in feats if c not in wide]).fit(train_df) if name in NEEDS_SCALING else None
     rff = None
     prepared = scaler.transform(train_df) if scaler else train_df
     rbf = name == "SVC" and hp.get("kernel", "rbf") == "rbf"
+    if rbf and wide:
+        raise ValueError("SVC with the RBF kernel takes plain columns, not vectors")
     if rbf and not hp.get("exact"):
         rff = fit_rff(prepared, feats, seed=seed)
     weighted = (balanced_weights(train_df, target) if name != "GradientBoostingClassifier"
@@ -330,10 +354,38 @@ def train(features: DataFrame, target: str, key: str, config: dict | None = None
         est = make_estimator(name, hp, float(n_train),
                              None if name == "GradientBoostingClassifier" else "weight")
         t.model = est.fit(data)
+        if isinstance(est, (LogisticRegression, LinearSVC)):
+            done = t.model.summary if isinstance(est, LogisticRegression) else t.model.summary()
+            t.iterations = done.totalIterations
+            t.converged = t.iterations < est.getMaxIter()
     data.unpersist()
     t.n_test = split.filter("split = 'test'").count()
     return t
 
 
+def logistic_gradient(trained: Trained) -> DataFrame:
+    """Certificate of a fitted logistic regression: (term, gradient) of
+    ``sum(w * log loss) / sum(w) + regParam * |b|^2 / 2`` at the fitted point,
+    a row per coefficient and one for the intercept, from one aggregate over
+    the training rows. All are 0 at the optimum, and the coefficients are
+    within ``|gradient| / regParam`` of it. Vector features are not covered."""
+    if not isinstance(trained.scaler, ScalerModel) or trained.vectors or not hasattr(trained.model, "interceptVector"):
+        raise ValueError("logistic_gradient: a logistic regression on plain columns is needed")
+    rows = balanced_weights(trained.split.filter("split = 'train'"), trained.target)
+    rows = trained.scaler.transform(fill_zero(rows, trained.features))
+    coef = [float(v) for v in trained.model.coefficients.toArray()]
+    margin = F.lit(float(trained.model.intercept))
+    for c, b in zip(trained.features, coef):
+        margin = margin + F.col(c) * F.lit(b)
+    rows = rows.withColumn("_r", F.col("weight") * (1.0 / (1.0 + F.exp(-margin)) - F.col(trained.target).cast("double")))
+    one = rows.agg(F.sum("weight").alias("w"), F.sum("_r").alias("g"),
+                   *[F.sum(F.col("_r") * F.col(c)).alias(f"g{i}") for i, c in enumerate(trained.features)])
+    reg = 1.0 / (float(trained.hyperparameters.get("C", 1.0)) * trained.n_train)
+    terms = [F.struct(F.lit(c).alias("term"), (F.col(f"g{i}") / F.col("w") + reg * b).alias("gradient"))
+             for i, (c, b) in enumerate(zip(trained.features, coef))]
+    terms.append(F.struct(F.lit("(intercept)").alias("term"), (F.col("g") / F.col("w")).alias("gradient")))
+    return one.select(F.explode(F.array(*terms)).alias("t")).select("t.*")
+
+
 def to_array(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn(col, vector_to_array(F.col(col)))

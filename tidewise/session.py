@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int | None = None,
@@ -51,14 +54,57 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and the path as its object."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a DataFrame reading it back. Used where several passes (fit
     aggregates, then the transform) would otherwise recompute an expensive
     lineage (a window shuffle); it also cuts the lineage, so a lost
-    executor costs a re-read, not a recomputation."""
-    import uuid
+    executor costs a re-read, not a recomputation. The table is removed by
+    ``discard``, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df) -> None:
+    """Remove the table that ``materialize`` returned; nothing may read it
+    afterwards. Any other DataFrame is left alone."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        fs, at = _file_system(df.sparkSession, path)
+        fs.delete(at, True)
+
+
+_shared: dict[tuple, str] = {}
+_sharing = threading.Lock()
+
+
+def shared(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, written by the first call and read by the later ones of an
+    application, as long as ``source`` (a file or folder) keeps its length,
+    number of files and time of change. The table of an older state of
+    ``source`` stays until the driver ends, as plans may still read it."""
+    fs, at = _file_system(spark, source)
+    held = fs.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, name, source, held.getLength(), held.getFileCount(),
+           fs.getFileStatus(at).getModificationTime())
+    with _sharing:
+        path = _shared.get(key)
+        if path:
+            fs, at = _file_system(spark, f"{path}/_SUCCESS")
+            if fs.exists(at):
+                return spark.read.parquet(path)
+        df = materialize(build(), name)
+        _shared[key] = df.stored_at
+        return spark.read.parquet(df.stored_at)
