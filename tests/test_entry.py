@@ -9,7 +9,7 @@ def test_entry_smoke(spark):
 def test_every_key_has_a_query():
     from tidewise.plans.catalog import QUERIES
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(QUERIES) <= set(q) and len(QUERIES) == 108
+    assert set(QUERIES) <= set(q) and len(QUERIES) == 109
     assert set(o) <= set(q)
 
 

@@ -502,6 +502,17 @@ QUERIES["train_svc_rbf_exact"] = _train_query({"model_name": "SVC", "hyperparame
 QUERIES["train"] = _train_query(None)
 
 
+#: Largest gradient entry at which a logistic fit counts as optimal.
+OPTIMAL = 1e-4
+
+
+@query("optimality_logistic")
+def _optimality_logistic(spark, sf):
+    trained = M.train(_fk(spark, sf), R.target, R.key, {"model_name": "LogisticRegression", "hyperparameters": {"C": 1.0}})
+    return M.logistic_gradient(trained).select("term", F.lit(trained.n_train).cast("bigint").alias("n_train"),
+                                               (F.abs("gradient") <= OPTIMAL).alias("optimal"))
+
+
 @query("predict")
 def _predict(spark, sf):
     trained = M.train(_fk(spark, sf), R.target, R.key)
@@ -526,7 +537,7 @@ from tidewise.plans import loop as LP  # noqa: E402
 
 @query("profile_and_clean")
 def _profile_and_clean(spark, sf):
-    return LP.analyse(V.raw(spark, sf), R).clean
+    return LP.analysis_report(LP.analyse(V.raw(spark, sf), R))
 
 
 @query("improve_loop")

