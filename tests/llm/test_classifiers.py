@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewise.llm import quality, toxicity
+from tidewise.llm.scratch import labelled_sample
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -85,3 +86,12 @@ def test_ftrl_separates():
     rows = list(quality.features(texts))
     w = quality.train(rows, [1, 0] * 20)
     assert w[rows[0][0]] @ rows[0][1] > 1 and w[rows[1][0]] @ rows[1][1] < -1
+
+
+def test_other_labels_are_refused(edge_docs, spark):
+    for value in ("2", "0.5", "toxic"):
+        odd = spark.createDataFrame([(1, "1"), (6, value), (7, None)], "doc_id long, toxic string")
+        with pytest.raises(ValueError, match="other than 0 and 1"):
+            labelled_sample(edge_docs, odd, "toxic", F.lit(False), 10)
+    fine = spark.createDataFrame([(1, "1"), (6, "0.0"), (7, None)], "doc_id long, toxic string")
+    assert {(r.doc_id, r.label) for r in labelled_sample(edge_docs, fine, "toxic", F.lit(False), {0: 9, 1: 9}).collect()} == {(1, 1), (6, 0)}

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewise.llm import exact_dedup
 
@@ -39,6 +40,13 @@ def test_deduplicate(edge_docs, no_docs):
     assert exact_dedup.find_copies(no_docs).count() == 0
 
 
+def test_helper_columns_leave_the_callers_alone(edge_docs):
+    own = edge_docs.withColumn("__id", F.lit("mine")).withColumn("__SHA256", F.col("doc_id") * 2)
+    out = exact_dedup.deduplicate(own)
+    assert out.columns == own.columns and out.count() == 8
+    assert all(r["__id"] == "mine" and r["__SHA256"] == (None if r.doc_id is None else 2 * r.doc_id) for r in out.collect())
+
+
 def test_runs_are_merged_by_sorting(docs):
     table = exact_dedup.digest_table(docs)
     _, root = exact_dedup.classes(table)

@@ -54,6 +54,8 @@ def test_edge_cases(edge_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
     out = language_id.identified(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count() - 3
+    own = language_id.identified(edge_docs.withColumn("__lang", F.lit("mine")))
+    assert own.columns[-1] == "__lang" and {r["__lang"] for r in own.collect()} == {"mine"}
     unlabelled = language_id.identify(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
 

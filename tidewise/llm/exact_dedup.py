@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import anti, stored
+from .scratch import anti, free_names, stored
 
 #: Number of runs and of runs merged at once; runs is a power of radix.
 RUNS, RADIX = 256, 16
@@ -85,9 +85,10 @@ def find_copies(docs: DataFrame, runs: int = RUNS, radix: int = RADIX) -> DataFr
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     found = stored(find_copies(docs), "copies")
-    marked = docs.withColumn("__sha256", F.sha2(normalised(F.col("text")), 256)).withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keys = ["__id", "__sha256"]
-    found = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha256"), "kept")
+    keys = free_names(docs, "__id", "__sha256")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    marked = docs.withColumns(dict(zip(keys, [name, F.sha2(normalised(F.col("text")), 256)])))
+    found = found.select(name.alias(keys[0]), F.col("text_sha256").alias(keys[1]), "kept")
     rows = found.groupBy(*keys).agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
     out = anti(marked, rows.filter("kept = 0").select(*keys), keys)
     if not rows.filter("kept = 1 and n > 1").isEmpty():  # rows that repeat id and text

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import attach, is_held_out, stored
+from .scratch import attach, free_names, is_held_out, stored
 
 LANG_CHARS, SAMPLE_CHARS = 24576, 1 << 18
 #: The first share of a language's letters that is drawn, in budgets; what its
@@ -331,4 +331,5 @@ def identified(docs: DataFrame) -> DataFrame:
     if not model[2]:
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     predict = predictor(docs.sparkSession, model)
-    return docs.withColumn("__lang", predict(F.col("text").cast("string"))).filter("__lang.score > 0").drop("__lang")
+    name, = free_names(docs, "__lang")
+    return docs.withColumn(name, predict(F.col("text").cast("string"))).filter(F.col(name)["score"] > 0).drop(name)

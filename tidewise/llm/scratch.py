@@ -33,6 +33,19 @@ def small_batches(spark: SparkSession, rows: int = 512):
         spark.conf.set(name, before)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no
+    column of ``df``: helper columns never replace the caller's."""
+    held = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        free.append(name)
+    return free
+
+
 def _by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     return df.join(F.broadcast(keys) if small else keys, on, how)
@@ -68,12 +81,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held, rows:
     About ``rows`` of them by a hash of the text (a dict: that many for each
     label, as far as there are); ``n_class`` is how many distinct labelled texts
     with that label there are in all. Only ids and hashes are shuffled; the
-    chosen ids are few enough to be shipped."""
-    known = labels.filter(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("label"))
+    chosen ids are few enough to be shipped. Labels are 0, 1 or null; any other
+    value is an error."""
+    value = F.col(column).try_cast("double")
+    if not labels.filter(F.col(column).isNotNull() & ~F.coalesce(value.isin(0.0, 1.0), F.lit(False))).isEmpty():
+        raise ValueError(f"labels.{column} has values other than 0 and 1")
+    known = labels.filter(value.isNotNull()).select("doc_id", value.cast("int").alias("label"))
     hashed = docs.filter(~held).select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     texts = hashed.join(known, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("r"))
     texts = stored(texts.select("h", "r.doc_id", "r.label"), "labelled")
-    counts = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).limit(3).collect()}
+    counts = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     want = {k: min(1.0, rows.get(k, 0) / n if isinstance(rows, dict) else rows / total) for k, n in counts.items()}
     share, n_class = F.lit(0.0), F.lit(0)
