@@ -75,3 +75,11 @@ def test_huge_and_tiny_values(spark):
     _against_plain(spark, [1e-13, 3e-14, 2e-13, 5e-13] * 3)
     _against_plain(spark, [1e-290, 3e-291, 2e-290, 5e-290] * 3)
     _against_plain(spark, [0.1, 0.2, 0.3, -0.6] * 4)
+
+
+def test_frames_need_no_join(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 2.0), (None, "2024-01-09 00:00:00", 4.0), (1, "2024-01-07 12:00:00", 6.0)],
+                               "user_id int, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = trailing(df, "user_id", "ts", {"n": (1, None), "a": (7, "value")})
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.value, r.n, r.a) for r in out.collect()) == [(2.0, 0, 2.0), (4.0, 0, 4.0), (6.0, 0, 4.0)]

@@ -5,8 +5,8 @@ busy entity, and a window per entity puts all its rows into one task. Here a
 row adds itself at its time t and takes itself away just after t + width; the
 frame's total at any time is the running total of these changes, which is
 linear after the sort. Running totals restart in every time slice, and what the
-slices before have left is added from a table of one row per (entity, slice),
-so an entity is spread over as many tasks as it has slices. Only a row's own
+slices before have left enters as a row of its own ahead of a slice, so an
+entity is spread over as many tasks as it has slices. Only a row's own
 entry carries its other columns, so these are shuffled once.
 
 Sums are DECIMAL, so adding and taking away leaves no rounding error. Their
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewise.functions.expressions import micros
 
 _DAY_US = 86_400_000_000
-SLICE_US = 3_600_000_000
+SLICE_US = _DAY_US
 _DIGITS = 37
 
 
@@ -37,6 +37,8 @@ class _Scale:
     with so many digits after the point."""
     shift: int
     digits: int
+    #: Whether the column holds NaN or infinite values.
+    odd: bool = False
 
     def steps(self) -> list[float]:
         """Powers of ten that a double can hold."""
@@ -65,12 +67,14 @@ def _scales(df: DataFrame, columns: list[str]) -> dict[str, _Scale]:
     if not columns:
         return {}
     finite = {c: F.when(~_odd(F.col(c)), F.abs(F.col(c).cast("double"))) for c in columns}
-    row = df.agg(*[F.max(v).alias(f"m{i}") for i, v in enumerate(finite.values())], *[F.count(c).alias(f"n{i}") for i, c in enumerate(finite)]).first()
+    row = df.agg(*[F.max(v).alias(f"m{i}") for i, v in enumerate(finite.values())], *[F.count(c).alias(f"n{i}") for i, c in enumerate(finite)],
+                 *[F.count(v).alias(f"f{i}") for i, v in enumerate(finite.values())]).first()
     out = {}
     for i, c in enumerate(columns):
         most, n = row[f"m{i}"] or 0.0, max(1, row[f"n{i}"])
         whole = math.ceil(math.log10(most) + math.log10(n) + 1e-9) + 1 if most > 0 else 1  # digits of any total
-        out[c] = _Scale(0, _DIGITS - max(whole, 1)) if -5 <= whole <= 30 else _Scale(whole - 9, _DIGITS - 9)
+        odd = row[f"f{i}"] < row[f"n{i}"]
+        out[c] = _Scale(0, _DIGITS - max(whole, 1), odd) if -5 <= whole <= 30 else _Scale(whole - 9, _DIGITS - 9, odd)
     return out
 
 
@@ -104,31 +108,35 @@ def trailing(df: DataFrame, key: str, ts: str, frames: dict[str, tuple[int, str
             amount = scales[column].stored(F.when(odd, None).otherwise(v))
             deltas[f"_s{i}"] = F.when(add, amount).when(take, -amount)
             wide = v.cast("double")
-            counted |= {"nan": F.isnan(wide), "pos": wide == float("inf"), "neg": wide == float("-inf")}
+            if scales[column].odd:
+                counted |= {"nan": F.isnan(wide), "pos": wide == float("inf"), "neg": wide == float("-inf")}
         for what, holds in counted.items():
             deltas[f"_{what}{i}"] = F.when(holds & add, 1).when(holds & take, -1)
     rows = rows.withColumns(deltas).drop(*[f"_v{i}" for i in range(len(columns))])
     within = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.select(key, "_slice", *own.values(), "_f", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
-    left = rows.groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_sl")).agg(*[F.sum(d).alias(d) for d in deltas])
-    before = Window.partitionBy("_k").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
-    left = left.filter("_sl is not null").select("_k", "_sl", *[F.sum(d).over(before).alias(f"_b{d}") for d in deltas])
-    out = running.join(left, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_sl")), "left")
+    left = rows.filter("_slice IS NOT NULL").groupBy(key, "_slice").agg(*[F.sum(d).alias(d) for d in deltas], F.max(F.col("_f") == -1).alias("_own"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select(key, "_slice", "_own", *[F.sum(d).over(before).alias(d) for d in deltas]).filter("_own").drop("_own")
+    left = left.withColumns({"_at": F.col("_slice") * (2 * slice_us) - 1, "_f": F.lit(-2)})  # ahead of all rows of the slice
+    out = rows.unionByName(left, allowMissingColumns=True)
+    out = out.select(*own.values(), "_f", *[F.sum(d).over(within).alias(f"_r{d}") for d in deltas]).filter("_f = -1")
 
     def total(d: str):
         none = F.lit(0)
         if d.startswith("_s"):
             none = none.cast(f"decimal(38,{scales[frames[names[int(d[2:])]][1]].digits})")
-        return F.coalesce(F.col(f"_r{d}"), none) + F.coalesce(F.col(f"_b{d}"), none)
+        return F.coalesce(F.col(f"_r{d}"), none)
 
     results = []
     for i, name in enumerate(names):
         if frames[name][1] is None:
             results.append((total(f"_n{i}") - 1).cast("long").alias(name))
         else:
-            nan, up, down = (total(f"_{what}{i}") > 0 for what in ("nan", "pos", "neg"))
-            mean = F.try_divide(scales[frames[name][1]].value(total(f"_s{i}")), total(f"_n{i}").cast("double"))
-            mean = F.when(nan | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(mean)
+            scale = scales[frames[name][1]]
+            mean = F.try_divide(scale.value(total(f"_s{i}")), total(f"_n{i}").cast("double"))
+            if scale.odd:
+                nan, up, down = (total(f"_{what}{i}") > 0 for what in ("nan", "pos", "neg"))
+                mean = F.when(nan | (up & down), float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(mean)
             results.append(mean.alias(name))
     return out.select(*[F.col(o).alias(c) for c, o in own.items()], *results)
 
