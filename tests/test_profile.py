@@ -111,3 +111,11 @@ def test_text_target_is_not_missing(spark):
     df = spark.createDataFrame([("1",), ("0",), ("x",), (None,)] * 5, "y string")
     found = {r["kind"]: r["n"] for r in P.issues(df, "y").collect()}
     assert found["target_missing"] == 5
+
+
+def test_box_groups_are_not_shuffled(spark):
+    df = spark.range(200).selectExpr("cast(id % 2 as double) as g", "cast(id as double) as x")
+    out = P.box_stats(df, ["x"], by="g")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert sorted((r.g, r.q1, r.median, r.q3, r.n_fliers) for r in out.collect()) == [(0.0, 49.5, 99.0, 148.5, 0), (1.0, 50.5, 100.0, 149.5, 0)]

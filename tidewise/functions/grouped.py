@@ -16,11 +16,28 @@ Three shuffles, however many groups there are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.session import materialize
 
+#: Copies of each row of a large table of groups that rows are joined with, so
+#: that the rows of one group are spread over so many tasks.
+SALTS = 16
+
+
+def join_groups(rows: DataFrame, group: Column, table: DataFrame, name: str, few: bool, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row per value ``name`` of
+    ``group``. A table of few groups is broadcast: the plan cannot know its
+    size, and a shuffle by group would leave all of a group's rows to one task.
+    Any other is joined on a salt as well."""
+    if few:
+        return rows.join(F.broadcast(table), group == F.col(name), how)
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    copies = table.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, (group == F.col(name)) & (F.col("_salt") == F.col("_s")), how).drop("_salt", "_s")
+
 
 def group_order_statistics(rows: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
     """keys, tag, value: for each group and each (tag, k) of ``ranks``, the k-th

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewise.functions.expressions import as_number, safe_corr
-from tidewise.functions.grouped import group_quantiles
+from tidewise.functions.grouped import group_quantiles, join_groups
 from tidewise.functions.quantiles import quantiles
 
 NUMERIC_TYPES = (T.NumericType,)
@@ -463,20 +463,21 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 GROUPS_AT_ONCE = 32
 
 
-def _quartiles(df: DataFrame, cols: list[str], g: Column) -> DataFrame:
-    """g, column, q1, med, q3 of every numeric column in every group."""
+def _quartiles(df: DataFrame, cols: list[str], g: Column) -> tuple[DataFrame, bool]:
+    """g, column, q1, med, q3 of every numeric column in every group, and
+    whether the groups are few."""
     few = df.select(g.alias("g")).filter("g IS NOT NULL").distinct().limit(GROUPS_AT_ONCE + 1).collect()
     qs = {"q1": 0.25, "med": 0.5, "q3": 0.75}
     if len(few) > GROUPS_AT_ONCE:
         cells = F.array(*[F.struct(F.lit(i).alias("i"), _c(c).cast("double").alias("x")) for i, c in enumerate(cols)])
         long = df.filter(g.isNotNull()).select(g.alias("g"), F.explode(cells).alias("e")).select("g", "e.i", "e.x")
         names = F.array(*map(F.lit, cols))
-        return group_quantiles(long, ["g", "i"], "x", qs).select("g", F.element_at(names, F.col("i") + 1).alias("column"), *qs)
+        return group_quantiles(long, ["g", "i"], "x", qs).select("g", F.element_at(names, F.col("i") + 1).alias("column"), *qs), False
     groups = sorted(r["g"] for r in few)
     series = [(_c(c), g == F.lit(v)) for v in groups for c in cols]
     found = quantiles(df, series, [list(qs.values())] * len(series)) if series else []
     rows = [(v, c, *q) for (v, c), q in zip([(v, c) for v in groups for c in cols], found)]
-    return df.sparkSession.createDataFrame(rows, "g double, column string, q1 double, med double, q3 double")
+    return df.sparkSession.createDataFrame(rows, "g double, column string, q1 double, med double, q3 double"), True
 
 
 def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud") -> DataFrame:
@@ -486,11 +487,11 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, by: str = "is_fraud"
     quartiles and aggregates."""
     cols = cols or numeric_columns(df, by)
     g = _c(by).cast("double")
-    qdf = _quartiles(df, cols, g)
+    qdf, few = _quartiles(df, cols, g)
     wide = qdf.groupBy("g").pivot("column", cols).agg(
-        F.first("q1").alias("q1"), F.first("q3").alias("q3"))
-    joined = df.select(g.alias("g"), *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
-        .join(wide, "g")
+        F.first("q1").alias("q1"), F.first("q3").alias("q3")).withColumnRenamed("g", "_g")
+    joined = join_groups(df.select(g.alias("g"), *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]),
+                         F.col("g"), wide, "_g", few, "inner")
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"x{i}")
