@@ -98,3 +98,11 @@ def test_read_csv_na_tokens(spark):
     assert [r["d"] for r in rows] == [None, None, None]
     assert rows[1]["c"] is None
     assert fit_types(df) == {"a": "bigint", "b": "string", "c": "double", "d": "double"}
+
+
+def test_number_text_with_odd_space(spark):
+    from tidewise.functions.expressions import to_number
+    texts = ["12", " 12", "12\n", "12 ", " -1.5e2", "1d", "+.5", "", None, "1 2", "\x0012"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(to_number(F.col("t"))).collect()]
+    assert got == [12.0, 12.0, 12.0, 12.0, -150.0, None, 0.5, None, None, None, None]

@@ -65,3 +65,9 @@ def test_build_features_drops_ids(dirty):
     assert "is_fraud" in cols and "account_age_days" in cols
     assert drop_roles(clean).columns == ["amount", "avg_amount_7d", "is_international",
                                          "prior_transactions_24h", "is_fraud"]
+
+
+def test_clean_table_is_written_once_for_the_fits(spark):
+    from tidewise.plans import views
+    plan = views.features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan

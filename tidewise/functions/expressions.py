@@ -19,6 +19,8 @@ STRING_NA = ["nan", "n/a", "none", ""]
 # The layouts pandas' numeric parser accepts (no 1d / 1f suffixes).
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+# The same without white space around, so that most cells need no stripping.
+_PLAIN_NUMBER = NUMBER_PATTERN[:-1] + r"\z"
 
 _WS = r"(?U)^\s+|\s+$"
 
@@ -32,8 +34,9 @@ def strip_ws(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Text -> DOUBLE the way ``pd.to_numeric(errors='coerce')`` does;
     anything that is not a plain decimal number becomes NULL."""
-    s = strip_ws(c.cast("string"))
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    text = c.cast("string")
+    s = strip_ws(text)
+    return F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("double")).when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
 def is_number_text(c: Column) -> Column:

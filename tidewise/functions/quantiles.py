@@ -216,8 +216,11 @@ def _solve(df: DataFrame, series, ranks, dtype: str, extra=None, extra_out=None,
     if not series and not extra:
         return []
     integral = dtype in ("bigint", "int", "long", "integer", "smallint", "tinyint")
-    vals = [c.cast(dtype) for c, _ in series]
-    preds = [p if p is not None else F.lit(True) for _, p in series]
+    # columns of their own, so that a row's values are computed once in a pass
+    df = df.withColumns({f"_qv{i}": c.cast(dtype) for i, (c, _) in enumerate(series)}
+                        | {f"_qp{i}": p for i, (_, p) in enumerate(series) if p is not None}) if series else df
+    vals = [F.col(f"_qv{i}") for i in range(len(series))]
+    preds = [F.lit(True) if p is None else F.col(f"_qp{i}") for i, (_, p) in enumerate(series)]
     grid_p = [j / GRID for j in range(GRID + 1)]
     aggs = []
     for i, (v, p) in enumerate(zip(vals, preds)):

@@ -47,7 +47,10 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def features(spark: SparkSession, sf: str, names: list[str] | None = None,
              keep_key: bool = False) -> DataFrame:
-    return build_features(clean(spark, sf), names, ROLES, [ROLES.key] if keep_key else None)
+    """The modelling table, from the clean table written once per session and
+    source: its fit passes would otherwise clean every row again."""
+    stored = shared(spark, "clean", f"{sf}/events.parquet", lambda: clean(spark, sf))
+    return build_features(stored, names, ROLES, [ROLES.key] if keep_key else None)
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:

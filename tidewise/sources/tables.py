@@ -52,9 +52,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"nn{i}"))
         if isinstance(f.dataType, T.StringType):
-            s = strip_ws(c)
-            aggs.append(F.count_if(s.rlike(INTEGER_PATTERN)).alias(f"ni{i}"))
-            aggs.append(F.count_if(s.rlike(NUMBER_PATTERN)).alias(f"nf{i}"))
+            s, digit = strip_ws(c), c.rlike("[0-9]")  # no digit, no number: nothing to strip
+            aggs.append(F.count_if(digit & s.rlike(INTEGER_PATTERN)).alias(f"ni{i}"))
+            aggs.append(F.count_if(digit & s.rlike(NUMBER_PATTERN)).alias(f"nf{i}"))
     aggs.append(F.count(F.lit(1)).alias("_n"))
     one = df.agg(*aggs)
     for i, f in enumerate(df.schema.fields):
