@@ -118,3 +118,32 @@ def test_split_quota_counts_rows_without_key(spark):
     assert {r.y: r["count"] for r in split.filter("split = 'test'").groupBy("y").count().collect()} == {0: 18, 1: 22}
     again = M.stratified_split(df.repartition(5), "y", "k")
     assert split.exceptAll(again).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_class_meets_in_one_task(table):
+    """Few classes are joined without a shuffle of the rows by class."""
+    split = M.stratified_split(table, "y", "key")
+    weighted = M.balanced_weights(split, "y")
+    for plan in (_plan(split), _plan(weighted)):
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "md5" not in _plan(split)  # the hashes were written once
+
+
+def test_weights_of_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(M, "CLASSES_AT_ONCE", 3)
+    df = spark.range(90).selectExpr("case when id < 10 then null when id < 50 then 0.0 else cast(id % 4 + 1 as double) end as y", "id as k")
+    weighted = M.balanced_weights(df, "y")
+    got = {(r.y, r.weight): r["count"] for r in weighted.groupBy("y", "weight").count().collect()}
+    assert got == {(None, None): 10, (0.0, 90 / (6 * 40)): 40} | {(float(i), 90 / (6 * 10)): 10 for i in range(1, 5)}
+    assert "_salt" in _plan(weighted)
+
+
+def test_fitted_rows_are_spread(spark, table):
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fit_partitions(spark, 400) == 1
+    assert M.fit_partitions(spark, 100_000) == min(2 * cores, 100)
+    assert M.fit_partitions(spark, 40_000_000) == max(2 * cores, 400)
