@@ -147,3 +147,21 @@ def test_fitted_rows_are_spread(spark, table):
     assert M.fit_partitions(spark, 400) == 1
     assert M.fit_partitions(spark, 100_000) == min(2 * cores, 100)
     assert M.fit_partitions(spark, 40_000_000) == max(2 * cores, 400)
+
+
+def test_forest_in_groups_votes_as_one(spark, table):
+    """Many partitions: trees are fitted in groups of few partitions, none is
+    lost, and a class is that of most votes of all trees."""
+    est = M.make_estimator("RandomForestClassifier", {"n_estimators": 11, "max_depth": 4}, 1.0)
+    data = M.assemble(table.withColumnsRenamed({"y": "label"}).withColumn("weight", F.lit(1.0)), ["x1", "x2"])
+    data = data.repartition(M.FOREST_PARTS + 3).persist()
+    forest = M.fit_forest(est, data, M.FOREST_PARTS + 3)
+    assert isinstance(forest, M.Forest) and len(forest.groups) > 1
+    trees = [t for m in forest.groups for t in m.trees]
+    assert len(trees) == 11
+    assert abs(forest.featureImportances.toArray().sum() - 1.0) < 1e-9
+    rows = forest.transform(data).select("features", "prediction").limit(50).collect()
+    for r in rows:
+        votes = sum(raw / raw.sum() for raw in (t.predictRaw(r.features).toArray() for t in trees))
+        assert r.prediction == float(np.argmax(votes))
+    assert not isinstance(M.fit_forest(est, data.coalesce(1), 1), M.Forest)
