@@ -165,3 +165,17 @@ def test_forest_in_groups_votes_as_one(spark, table):
         votes = sum(raw / raw.sum() for raw in (t.predictRaw(r.features).toArray() for t in trees))
         assert r.prediction == float(np.argmax(votes))
     assert not isinstance(M.fit_forest(est, data.coalesce(1), 1), M.Forest)
+
+
+def test_fourier_features_pass_as_flat_buffers(table):
+    """The map equals the formula, and its plan builds no array per row before
+    the Python step."""
+    train = table.fillna(0.0)
+    rff = M.fit_rff(train, ["x1", "x2"], components=7)
+    out = rff.transform(train)
+    assert "array(" not in _plan(out).split("ArrowEvalPython")[-1]
+    rows = out.select("x1", "x2", "rff").collect()
+    x = np.array([[r.x1, r.x2] for r in rows])
+    want = np.sqrt(2 / 7) * np.cos(x @ rff.omega.T + rff.phase)
+    assert np.allclose(np.stack([r.rff.toArray() for r in rows]), want, atol=1e-12)
+    assert rff.transform(train.limit(0)).count() == 0
