@@ -55,3 +55,39 @@ def test_digests(spark, both, edge_docs, no_docs):
     assert sorted(map(tuple, bpe.digests(edge_docs, tokenizer_path(), cached=4).collect()), key=key) == sorted(want, key=key)
     got = {r.doc_id: r.ids for r in bpe.encode(edge_docs.filter("doc_id = 9"), tokenizer_path()).collect()}
     assert got[9] == both[1].encode("émile zola écrivit naïvement à Σίσυφος", add_special_tokens=False).ids
+
+
+def test_workers_are_shipped_the_packed_file(both):
+    """A few hundred KB in one object, not the parsed file's several hundred thousand."""
+    assert len(bpe.packed(tokenizer_path())) < 2_000_000
+
+    class Shared:
+        value = bpe.packed(tokenizer_path())
+
+    codec = bpe._codec(Shared, 10)
+    assert codec.encode("alpha beta") == both[1].encode("alpha beta", add_special_tokens=False).ids
+    bpe._codecs.clear()
+
+
+def test_freed_memory_is_given_back():
+    """Blocks freed below one still in use stay with the process unless given back."""
+    import ctypes
+
+    from tidewise.llm.scratch import give_back, lean
+
+    def held() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    blocks = [libc.malloc(100_000) for _ in range(3000)]
+    for b in blocks:
+        ctypes.memset(b, 1, 100_000)
+    for b in blocks[:-1]:
+        libc.free(b)
+    before = held()
+    give_back()
+    assert held() < before - 200
+    libc.free(blocks[-1])
+    assert list(lean(iter)([1, 2])) == [1, 2]

@@ -7,8 +7,8 @@ symbols have changed since they were queued are skipped. Decoding concatenates
 the vocabulary strings with the separator that the file's (absent) decoder
 implies, one space.
 
-The file is read on the driver and its merges are broadcast (1 to 2 MB, a
-constant of the vocabulary). Encoding is a map over Arrow batches: no shuffle,
+The file is read on the driver and broadcast compressed (1 MB, a constant of the
+vocabulary); a worker holds only the codec made from it, not the parsed file. Encoding is a map over Arrow batches: no shuffle,
 whole texts, and memory bounded by one batch plus a cache of CACHED words
 in a worker, so a lost executor costs its unfinished batches.
 
@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
+
 #: Words, and blank-separated stretches, whose ids a worker keeps (about 120 MB
 #: together); the older half is dropped when full.
 CACHED = 300_000
@@ -179,6 +182,12 @@ def load(path: str) -> dict:
         return json.load(f)
 
 
+def packed(path: str) -> bytes:
+    """The file, as it is shipped to the workers."""
+    with open(path, "rb") as f:
+        return zlib.compress(f.read())
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -186,13 +195,13 @@ def _codec(shared, cached: int | None = None) -> Codec:
     """One codec per worker process and broadcast file."""
     if id(shared.value) not in _codecs:
         _codecs.clear()
-        _codecs[id(shared.value)] = Codec(shared.value, cached)
+        _codecs[id(shared.value)] = Codec(json.loads(zlib.decompress(shared.value)), cached)
     return _codecs[id(shared.value)]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids (array<int>) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(path))
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -206,7 +215,7 @@ def digests(docs: DataFrame, path: str, cached: int | None = None) -> DataFrame:
     little-endian 32-bit integers, and that of the decoded text. ``cached``
     words are kept by a worker until its task ends; without it, CACHED words are
     kept for the worker's later tasks too."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, cached)
@@ -228,4 +237,4 @@ def digests(docs: DataFrame, path: str, cached: int | None = None) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)

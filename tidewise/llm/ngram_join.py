@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import anti, semi, small_batches, stored
+from .scratch import anti, lean, semi, small_batches, stored
 from .words import mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -169,7 +169,7 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 hi[i], lo[i] = digest(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sketches, words64), pa.array(wide, words64)], names=["id", "n", "hi", "lo", "sketch", "wide"])
 
-    return _source(docs).mapInArrow(run, "id long, n long, hi long, lo long, sketch array<long>, wide array<long>")
+    return _source(docs).mapInArrow(lean(run), "id long, n long, hi long, lo long, sketch array<long>, wide array<long>")
 
 
 def _pack(keys: np.ndarray, entities: np.ndarray) -> bytes:
@@ -257,7 +257,7 @@ def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> Data
         if held:
             yield batch_of(list(packed()))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, range int, block binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "kind int, range int, block binary")
 
 
 def shared_parts(packed: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    return semi(_source(docs), ids, ["id"]).mapInArrow(run, "entity long, lo long, n long, shingles binary")
+    return semi(_source(docs), ids, ["id"]).mapInArrow(lean(run), "entity long, lo long, n long, shingles binary")
 
 
 def _allowed(percent: int):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,29 @@ def small_batches(spark: SparkSession, rows: int = 512):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system: a worker
+    goes on with later stages, beside the executor that needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, in a worker that keeps no freed memory of
+    earlier tasks, nor of this one afterwards."""
+    def task(batches: Iterator) -> Iterator:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be no
     column of ``df``: helper columns never replace the caller's."""
