@@ -56,3 +56,22 @@ def test_one_vector_repeated(spark):
     table = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     vectors = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
     assert recall(ann.nearest(table).collect(), vectors) == 1
+
+
+def test_queries_side_by_side_find_what_each_finds_alone():
+    """A block of queries follows the graph together: the same nodes as a
+    best-first search of each query by itself."""
+    rng = np.random.default_rng(3)
+    nodes, queries = rng.normal(size=(900, 12)), rng.normal(size=(70, 12))
+    flat = ann.Graph(nodes).flat()
+    searcher = ann.Searcher(flat["start"], flat["widths"], flat["links"], flat["vectors"], 12)
+    alone = [[[j for j in row if j >= 0] for row in level.tolist()] for level in searcher.near]
+    for width in (1, 30, 1200):
+        found = searcher.nearest(queries, width)
+        assert found.shape == (70, width)
+        for q, got in zip(queries, found):
+            at = [searcher.start]
+            for near in alone[:0:-1]:
+                at = [ann.Graph._search(searcher, q, at, 1, near.__getitem__, nodes)[0][1]]
+            want = [i for _, i in ann.Graph._search(searcher, q, at, width, alone[0].__getitem__, nodes)]
+            assert got[got >= 0].tolist() == want

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+#: Queries of a block that are searched side by side.
+HOP_QUERIES = 128
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 96
 EVERY, TOP = 20, 20
 
@@ -121,7 +123,7 @@ class Graph:
 
 
 class Searcher:
-    """Searches a graph stored as flat arrays."""
+    """Searches a graph stored as flat arrays, for many queries a hop at a time."""
 
     def __init__(self, start: int, widths: bytes, links: bytes, vectors: bytes, dim: int):
         self.start = start
@@ -129,14 +131,55 @@ class Searcher:
         n, flat, at = len(self.vectors), np.frombuffer(links, np.int32), 0
         self.near = []
         for w in np.frombuffer(widths, np.int32).tolist():
-            self.near.append([[j for j in row if j >= 0] for row in flat[at: at + n * w].reshape(n, w).tolist()])
+            self.near.append(flat[at: at + n * w].reshape(n, w))
             at += n * w
 
-    def nearest(self, q: np.ndarray, width: int) -> list[tuple[float, int]]:
-        at = [self.start]
+    def _beams(self, queries: np.ndarray, at: np.ndarray, width: int, links: np.ndarray) -> np.ndarray:
+        """The best ``width`` nodes found for each query from its node ``at``,
+        best first, -1 where there are fewer. A hop takes every query's best
+        node that was not followed yet; a query ends when all it holds were."""
+        every = np.arange(len(queries))
+        held = np.full((len(queries), width), -2)  # twice the node, and 1 if it is to be followed
+        score = np.full((len(queries), width), -np.inf)
+        seen = np.zeros((len(queries), len(self.vectors)), bool)
+        held[:, 0], seen[every, at] = 2 * at + 1, True
+        score[:, 0] = np.einsum("ij,ij->i", self.vectors[at], queries)
+        rows = every
+        while True:
+            best = np.where(held[rows] & 1, score[rows], -np.inf).argmax(axis=1)
+            follow = held[rows, best]
+            going = (follow & 1).astype(bool)
+            rows, best, follow = rows[going], best[going], follow[going] >> 1
+            if not len(rows):
+                break
+            held[rows, best] -= 1
+            near = links[follow]
+            of, place = np.nonzero((near >= 0) & ~seen[rows[:, None], near])
+            nodes = near[of, place]
+            seen[rows[of], nodes] = True
+            gained = np.einsum("ij,ij->i", self.vectors[nodes], queries[rows[of]])
+            better = gained > score[rows].min(axis=1)[of]
+            of, nodes, gained = of[better], nodes[better], gained[better]
+            # the gains of a query beside what it holds, as many columns as the most that one has
+            some, of, many = np.unique(of, return_inverse=True, return_counts=True)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            own, more = rows[some], max(many, default=0)
+            if not more:
+                continue
+            codes, scores = np.full((len(some), width + more), -2), np.full((len(some), width + more), -np.inf)
+            codes[:, :width], scores[:, :width] = held[own], score[own]
+            codes[of, width + place], scores[of, width + place] = 2 * nodes + 1, gained
+            keep = scores.argpartition(more - 1, axis=1)[:, more:]
+            held[own], score[own] = np.take_along_axis(codes, keep, 1), np.take_along_axis(scores, keep, 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        return np.take_along_axis(held >> 1, order, 1)
+
+    def nearest(self, queries: np.ndarray, width: int) -> np.ndarray:
+        """A row of up to ``width`` nodes per query, best first, filled up with -1."""
+        at = np.full(len(queries), self.start)
         for near in self.near[:0:-1]:
-            at = [Graph._search(self, q, at, 1, near.__getitem__, self.vectors)[0][1]]
-        return Graph._search(self, q, at, width, self.near[0].__getitem__, self.vectors)
+            at = self._beams(queries, at, 1, near)[:, 0]
+        return self._beams(queries, at, width, self.near[0])
 
 
 def valid_vectors(table: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -189,10 +232,15 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, width: int = SE
                 ids, counts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int32)
                 at = np.append(0, np.cumsum(counts))
                 out: list[tuple[int, int, float]] = []
-                for query, q in zip(np.frombuffer(r.query_ids, np.int64).tolist(), np.frombuffer(r.query_vectors, np.float64).reshape(-1, r.dim)):
-                    hits = [(s, j) for _, i in searcher.nearest(q, max(width, top + 1)) for s in [float((searcher.vectors[i] * q).sum())] for j in ids[at[i]: at[i + 1]].tolist() if j != query]
-                    hits.sort(key=lambda x: (-x[0], x[1]))
-                    out += [(query, j, s) for s, j in hits[:top]]
+                queries, vectors = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.query_vectors, np.float64).reshape(-1, r.dim)
+                for a in range(0, len(queries), HOP_QUERIES):
+                    found = searcher.nearest(vectors[a: a + HOP_QUERIES], max(width, top + 1))
+                    for query, q, nodes in zip(queries[a: a + HOP_QUERIES].tolist(), vectors[a: a + HOP_QUERIES], found):
+                        nodes = nodes[nodes >= 0]
+                        scores = (searcher.vectors[nodes] * q).sum(axis=1).tolist()
+                        hits = [(s, j) for s, i in zip(scores, nodes.tolist()) for j in ids[at[i]: at[i + 1]].tolist() if j != query]
+                        hits.sort(key=lambda x: (-x[0], x[1]))
+                        out += [(query, j, s) for s, j in hits[:top]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     count = max(1, -(-queries.count() // QUERY_BLOCK))
