@@ -179,3 +179,17 @@ def test_fourier_features_pass_as_flat_buffers(table):
     want = np.sqrt(2 / 7) * np.cos(x @ rff.omega.T + rff.phase)
     assert np.allclose(np.stack([r.rff.toArray() for r in rows]), want, atol=1e-12)
     assert rff.transform(train.limit(0)).count() == 0
+
+
+def test_exact_svc_caches_no_fitted_rows(table, monkeypatch):
+    """The partitions of the fitted rows grow with the table: none may be cached whole."""
+    held = []
+    solve = M.kernel_svc.fit
+
+    def fit(data, *args):
+        held.append(data.storageLevel)
+        return solve(data, *args)
+
+    monkeypatch.setattr(M.kernel_svc, "fit", fit)
+    M.train(table, "y", "key", {"model_name": "SVC", "hyperparameters": {"C": 1.0, "exact": True}})
+    assert not held[0].useMemory and not held[0].useDisk
