@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewise.llm import ngram_join
+from tidewise.llm import ngram_join, scratch
 from tidewise.llm.components import components
 
 
@@ -147,3 +147,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {i: 1 for i in range(1, 41)} | {i: 50 for i in [100, *range(50, 59)]} | {200: 200, 201: 200}
     assert got == want
+
+
+def test_group_steps_give_memory_back(monkeypatch):
+    """After each large group, also one that fails."""
+    called = []
+    monkeypatch.setattr(scratch, "give_back", lambda: called.append(1))
+    assert scratch.lean_group(lambda pdf: pdf + 1)(2) == 3
+    with pytest.raises(ZeroDivisionError):
+        scratch.lean_group(lambda pdf: pdf / 0)(2)
+    assert len(called) == 2

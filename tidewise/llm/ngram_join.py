@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import anti, lean, semi, small_batches, stored
+from .scratch import anti, lean, lean_group, semi, small_batches, stored
 from .words import mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -293,7 +293,7 @@ def shared_parts(packed: DataFrame) -> DataFrame:
         out = [pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}).drop_duplicates() for k, a, b in found if len(a)]
         return pd.concat(out) if out else pd.DataFrame({"kind": pd.Series(dtype="int32"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
-    return packed.groupBy("range").applyInPandas(run, "kind int, a long, b long")
+    return packed.groupBy("range").applyInPandas(lean_group(run), "kind int, a long, b long")
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, p
             yield pdf.loc[keep, ["a", "b"]]
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def _common_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:

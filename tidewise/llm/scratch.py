@@ -60,6 +60,17 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
+def lean_group(run: Callable) -> Callable:
+    """``run`` over one large group, in a worker that keeps no memory freed by it."""
+    def group(pdf):
+        try:
+            return run(pdf)
+        finally:
+            give_back()
+
+    return group
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be no
     column of ``df``: helper columns never replace the caller's."""
