@@ -157,3 +157,25 @@ def test_group_steps_give_memory_back(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         scratch.lean_group(lambda pdf: pdf / 0)(2)
     assert len(called) == 2
+
+
+def test_half_common_passage_is_not_compared_in_blocks(spark, monkeypatch):
+    """A passage that is 6 in 10 of each of 150 documents: fine parts leave
+    enough others, so no membership in it is compared block by block; links
+    that rest on the other words are found."""
+    compared, plain = [], ngram_join._common_pairs
+    monkeypatch.setattr(ngram_join, "_common_pairs", lambda groups, *a, **k: compared.append(groups.count()) or plain(groups, *a, **k))
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(64)]
+    texts = [" ".join(passage + [f"u{d}w{i}" for i in range(40)]) for d in range(150)]
+    texts += [edited(texts[d].split(), 1, rng) for d in range(0, 150, 15)]
+    agrees(spark, list(enumerate(texts)))
+    assert sum(compared) == 0
+
+
+def test_short_classes_enter_as_few_parts_as_they_are_short_of(spark):
+    part = lambda k: k << 8 | 3  # noqa: E731  band 3
+    rows = [(ngram_join.MEMBER, part(k), e) for k, e in [(9, 1), (5, 1), (7, 1), (5, 1), (5, 2), (7, 2)]]
+    rows += [(ngram_join.EXTRA, 3 << 32 | x + ngram_join._ZERO, e) for e, x in [(1, 1), (2, 2), (4, 0)]]
+    got = ngram_join._short(spark.createDataFrame(rows, "kind int, a long, b long")).collect()
+    assert [(r.entity, r.band, r.parts) for r in got] == [(1, 3, [part(5), part(7)])]

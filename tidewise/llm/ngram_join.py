@@ -27,7 +27,12 @@ Steps, each a distributed job:
 
 A part that more than GROUP classes share (a very common passage) is skipped in
 step 4 for every class that has enough other parts for the pigeonhole: both
-partners must be short of parts to need it. Those are compared in blocks of
+partners must be short of parts to need it. Steps 2 to 4 are repeated for the
+short classes alone with FINE parts, of about one shingle: there a class is
+short only if common shingles are most of its set (nearly 8 in 10 at 80 %), not
+half of it. Of its common parts it enters only as many as it is short of, the
+first ones by their keys: the first part that two linked sets share is then
+among those of both. These few are compared in blocks of
 BLOCK by sketches, spread over tasks, and parts with the same members once. A
 block first gives a forest, at most one pair for each of its classes, which is
 verified; only pairs whose classes are in different components even then are
@@ -60,16 +65,20 @@ from .words import mix, shingle_sets
 WORDS, PERCENT = 5, 80
 #: Size bands grow by this factor; parts exceed D + 1 by this share.
 BAND, SPARE = 1.4, 0.15
-GROUP, FLUSH_GROUP, BLOCK = 64, 16, 512
-#: Parts that a task holds before it sorts and packs them; parts a range.
-FLUSH, RANGE = 1 << 18, 1 << 18
+#: The same share for classes short of other than common parts: about 7 parts a
+#: shingle, most of them empty.
+FINE = 31.0
+GROUP, FLUSH_GROUP, BLOCK = 64, 16, 2048
+#: Parts that a task holds before it sorts and packs them; parts a range; the
+#: fewest ranges of fine parts.
+FLUSH, RANGE, FINE_RANGES = 1 << 18, 1 << 18, 64
 SKETCH_BITS = 1024
 #: Sets of more shingles than SKETCH_BITS also have a sketch of at least one bit
 #: a shingle, up to this many bits (past it the filter is weaker, not the result).
 WIDE_BITS = 1 << 16
-#: A forest takes pairs below this share of the allowed distance first; salts
-#: that spread the members of one part.
-SURE, SALTS = 0.8, 16
+#: A forest takes pairs below this share of the allowed distance first, from so
+#: many parts of each class; salts that spread the members of one part.
+SURE, FOREST_PARTS, SALTS = 0.8, 4, 16
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -81,7 +90,7 @@ def difference(sizes: int, percent: int) -> int:
 
 
 @cache
-def bands(percent: int) -> tuple[list[int], list[tuple[int, int]]]:
+def bands(percent: int, spare: float = SPARE) -> tuple[list[int], list[tuple[int, int]]]:
     """(smallest size of each band, (D, m) of each band)."""
     lows = [1]
     while lows[-1] < 1 << 40:
@@ -89,7 +98,7 @@ def bands(percent: int) -> tuple[list[int], list[tuple[int, int]]]:
     limits = []
     for high in lows[1:]:
         d = difference(2 * (high - 1), percent)
-        limits.append((d, d + 1 + max(1, int(SPARE * (d + 1)))))
+        limits.append((d, d + 1 + max(1, int(spare * (d + 1)))))
     return lows, limits
 
 
@@ -107,10 +116,10 @@ def bands_of(n: int, percent: int) -> list[int]:
     return found
 
 
-def parts(shingles: np.ndarray, band: int, percent: int) -> np.ndarray:
+def parts(shingles: np.ndarray, band: int, percent: int, spare: float = SPARE) -> np.ndarray:
     """Keys of the parts of a sorted set of shingle hashes; the band is in the
     low byte."""
-    d, m = bands(percent)[1][band]
+    d, m = bands(percent, spare)[1][band]
     where = ((shingles >> _U(32)) * _U(m)) >> _U(32)  # rises with the hash
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     part, value = where[first], np.bitwise_xor.reduceat(mix(shingles), first)
@@ -205,8 +214,9 @@ PART, COMMON, PAIR, MEMBER, EXTRA = range(5)
 _ZERO = 1 << 31
 
 
-def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> DataFrame:
-    """kind, range, block of every document's parts."""
+def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int, spare: float, flush_group: int) -> DataFrame:
+    """kind, range, block of every document's parts; those that more than
+    ``flush_group`` documents of a flush share are common."""
 
     def ranged(kind: int, keys: np.ndarray, entities: np.ndarray, by: np.ndarray):
         where = ((by >> _U(32)) * _U(ranges)) >> _U(32)
@@ -219,7 +229,7 @@ def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> Data
     def flush(held):
         keys, entities = np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held])
         unique, times = np.unique(keys, return_counts=True)
-        common = np.isin(keys, unique[times > FLUSH_GROUP])
+        common = np.isin(keys, unique[times > flush_group])
         # in the order of documents, so that equal neighbours compress
         yield from ranged(PART, keys[~common], entities[~common], keys[~common])
         if common.any():
@@ -247,7 +257,7 @@ def packed_parts(docs: DataFrame, ranges: int, words: int, percent: int) -> Data
                 if len(s):
                     entity = digest(s)[0]
                     for band in bands_of(len(s), percent):
-                        keys = parts(s, band, percent)
+                        keys = parts(s, band, percent, spare)
                         held.append((keys, np.full(len(keys), entity, np.int64)))
                         extra.append((band << 32 | len(keys) - bands(percent)[1][band][0] - 1 + _ZERO, entity))
                         size += len(keys)
@@ -365,13 +375,16 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, p
 
 def _common_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs within common parts (columns part, node, n, component, sketch)
-    that different components and sketches allow, block against block. With
+    that different components and sketches allow, block against block. Linked
+    sets meet in the larger one's own band, so parts of a band above that of
+    all their members are left out. With
     ``forest`` a block gives only pairs that join its components into the
     fewest possible, the nearest ones first."""
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS))
+    low = F.element_at(F.array(*[F.lit(x) for x in bands(percent)[0]]), F.col("part").bitwiseAND(F.lit(255)).cast("int") + 1)
     counts = groups.groupBy("part").agg(
-        F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    counts = counts.filter("c1 <> c2").groupBy("size", "members").agg(F.min("part").alias("part"))
+        F.max("n").alias("largest"), F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    counts = counts.filter("c1 <> c2").filter(F.col("largest") >= low).groupBy("size", "members").agg(F.min("part").alias("part"))
     counts = counts.select("part", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
     rows = groups.withColumn("salt", salt).join(counts, ["part", "salt"]).drop("salt")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -386,8 +399,9 @@ def _common_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
         right = left if same else np.flatnonzero(block == pdf["hi"].iloc[0])
         out = [np.zeros((0, 2), np.int64)]
         for share in (SURE, 1.0) if forest else (1.0,):
-            for i in left:
-                others = right[label[right] != label[i]]
+            for k, i in enumerate(left):
+                others = right[k + 1:] if same else right
+                others = others[label[others] != label[i]]
                 others = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent]
                 if not len(others):
                     continue
@@ -408,6 +422,34 @@ def _common_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     return rows.groupBy("part", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
+def _shared_of(docs: DataFrame, ranges: int, words: int, percent: int, spare: float, flush_group: int) -> DataFrame:
+    """``shared_parts`` of these documents, stored."""
+    return stored(shared_parts(packed_parts(docs, ranges, words, percent, spare, flush_group)), "shared-parts")
+
+
+def _stars(found: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes of the stars in ``found`` that sizes and sketches allow."""
+    stars = found.filter(F.col("kind") == PAIR).select(F.col("a").alias("ea"), F.col("b").alias("eb")).distinct()
+    end = lambda x: named.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    stars = stars.join(end("a"), "ea").join(end("b"), "eb").filter(_allowed(percent)).filter("a <> b")
+    return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _short(found: DataFrame) -> DataFrame:
+    """entity, band, parts: classes with more common parts than parts beyond
+    D + 1, and as many of their common parts as they have more, the first by
+    their keys. Linked sets share more parts than either has beyond D + 1, so
+    two that share only common parts are both short, and the first part that
+    they share is among these of both."""
+    member = F.col("kind") == MEMBER
+    rows = found.filter(member | (F.col("kind") == EXTRA)).select(
+        F.col("b").alias("entity"), F.when(member, F.col("a").bitwiseAND(F.lit(255))).otherwise(F.shiftright("a", 32)).alias("band"), F.when(member, F.col("a")).alias("part"),
+        F.when(~member, F.col("a").bitwiseAND(F.lit((1 << 32) - 1)) - _ZERO).alias("extra"))
+    held = rows.groupBy("entity", "band").agg(F.collect_set("part").alias("parts"), F.min("extra").alias("extra"))
+    held = held.withColumn("short", F.greatest(F.size("parts") - F.col("extra"), F.lit(0)).cast("int")).filter("short > 0")
+    return held.select("entity", "band", F.slice(F.array_sort("parts"), F.lit(1), F.col("short")).alias("parts"))
+
+
 def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes, named by their smallest ids, that give
     the components of all linked documents. ``table``: ``set_table(docs)``."""
@@ -418,15 +460,11 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
         return empty
-    ranges = max(8, -(-total * 6 // (10 * RANGE)))
-    found = stored(shared_parts(packed_parts(docs, ranges, words, percent)), "shared-parts")
+    found = _shared_of(docs, max(8, -(-total * 6 // (10 * RANGE))), words, percent, SPARE, FLUSH_GROUP)
     ends = found.filter(F.col("kind") != EXTRA).select(F.explode(F.when(F.col("kind") == PAIR, F.array("a", "b")).otherwise(F.array("b"))).alias("entity")).distinct()
     named = stored(classes.join(ends, "entity", "left_semi"), "candidates")
 
-    stars = found.filter(F.col("kind") == PAIR).select(F.col("a").alias("ea"), F.col("b").alias("eb")).distinct()
-    end = lambda x: named.select(F.col("entity").alias(f"e{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    stars = stars.join(end("a"), "ea").join(end("b"), "eb").filter(_allowed(percent)).filter("a <> b")
-    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    stars = stored(_stars(found, named, percent), "stars")
     links, tried = stored(_verified(docs, named, stars, words, percent), "star-links"), stars
 
     def placed() -> DataFrame:
@@ -434,30 +472,34 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
         return stored(named.drop("wide").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
     now = placed()
-    common = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct()
-    common = common.withColumn("band", F.col("part").bitwiseAND(F.lit(255)))
-    taken = common.groupBy("entity", "band").agg(F.count("*").alias("common"))
-    extra = found.filter(F.col("kind") == EXTRA).select(F.col("b").alias("entity"), F.shiftright("a", 32).alias("band"), (F.col("a").bitwiseAND(F.lit((1 << 32) - 1)) - _ZERO).alias("extra"))
-    short = taken.join(extra, ["entity", "band"]).filter("common > extra").select("entity", "band").distinct()
-    members = stored(common.join(short, ["entity", "band"]).select("part", "entity"), "short-members")
-    any_short = not members.isEmpty()
-    in_common = lambda: members.join(now, "entity").select("part", "node", "n", "component", "sketch")
+    short = named.join(_short(found).select("entity").distinct(), "entity", "left_semi").select(F.col("node").alias("id"), "n")
+    short = stored(short, "short")
+    n_short = short.agg(F.sum("n")).first()[0]
+    any_short = bool(n_short)
+    cold = found.filter(F.col("kind") == PART)
+    if any_short:
+        few = semi(_source(docs), short.select("id"), ["id"])
+        fine = _shared_of(few, max(FINE_RANGES, -(-n_short * 22 // (10 * RANGE))), words, percent, FINE, GROUP)
+        cold = cold.union(fine.filter(F.col("kind") == PART))
+        members = stored(_short(fine).select("entity", F.posexplode("parts").alias("place", "part")), "short-members")
+    in_common = lambda rows: rows.join(now, "entity").select("part", "node", "n", "component", "sketch")
     if any_short:
-        pairs = _common_pairs(in_common(), percent, forest=True).join(tried, ["a", "b"], "left_anti")
+        pairs = _common_pairs(in_common(members.filter(F.col("place") < FOREST_PARTS)), percent, forest=True).union(_stars(fine, named, percent)).distinct()
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "forest")
         if not pairs.isEmpty():
             tried = tried.union(pairs)
             links = stored(links.union(_verified(docs, named, pairs, words, percent)), "forest-links")
             now = placed()
 
-    small = found.filter(F.col("kind") == PART).select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct().join(now, "entity").select("part", "node", "n", "component", "sketch")
+    small = cold.select(F.col("a").alias("part"), F.col("b").alias("entity")).distinct().join(now, "entity").select("part", "node", "n", "component", "sketch")
     spread = small.groupBy("part").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("part")
     small = stored(small.join(spread, "part", "left_semi"), "small-groups")
     one = small.select("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
     two = small.select(F.col("part").alias("part_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
     pairs = one.join(two, F.col("part") == F.col("part_b")).filter("a < b and ca <> cb").filter(_allowed(percent)).select("a", "b").distinct()
     if any_short:
-        pairs = pairs.union(_common_pairs(in_common(), percent, forest=False)).distinct()
+        pairs = pairs.union(_common_pairs(in_common(members), percent, forest=False)).distinct()
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "late-pairs")
     if pairs.isEmpty():
         return links
