@@ -179,3 +179,10 @@ def test_short_classes_enter_as_few_parts_as_they_are_short_of(spark):
     rows += [(ngram_join.EXTRA, 3 << 32 | x + ngram_join._ZERO, e) for e, x in [(1, 1), (2, 2), (4, 0)]]
     got = ngram_join._short(spark.createDataFrame(rows, "kind int, a long, b long")).collect()
     assert [(r.entity, r.band, r.parts) for r in got] == [(1, 3, [part(5), part(7)])]
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(scratch, "give_back", lambda: called.append(1))
+    scratch.lean_driver(spark)
+    assert called == [1]

@@ -59,7 +59,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import anti, lean, lean_group, semi, small_batches, stored
+from .scratch import anti, lean, lean_driver, lean_group, semi, small_batches, stored
 from .words import mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -468,6 +468,7 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
     links, tried = stored(_verified(docs, named, stars, words, percent), "star-links"), stars
 
     def placed() -> DataFrame:
+        lean_driver(docs.sparkSession)
         own = components(links)
         return stored(named.drop("wide").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
@@ -509,9 +510,11 @@ def link_table(docs: DataFrame, table: DataFrame, words: int = WORDS, percent: i
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the smallest id
     reachable by links, its own included."""
+    lean_driver(docs.sparkSession)
     with small_batches(docs.sparkSession):
         table = stored(set_table(docs, words), "sets")
         links = stored(link_table(docs, table, words, percent), "all-links")
+    lean_driver(docs.sparkSession)
     named = components(links)
     table = table.drop("sketch", "wide")
     classes = table.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.when(F.col("id") > NO_ID, F.col("id"))).alias("first"))

@@ -71,6 +71,14 @@ def lean_group(run: Callable) -> Callable:
     return group
 
 
+def lean_driver(spark: SparkSession) -> None:
+    """Between jobs: the driver gives freed memory back. A full collection of
+    its JVM shrinks the heap and lets Spark's cleaner drop the shuffles and
+    broadcasts that no table refers to any more."""
+    give_back()
+    spark._jvm.System.gc()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be no
     column of ``df``: helper columns never replace the caller's."""
